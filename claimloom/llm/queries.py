@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, packing, secrets, urls
+from . import chat, decontaminate, packing, secrets, simhash, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity_crf": toxicity.query,
+        "op2_decontaminate": decontaminate.query,
         "op3_packing": packing.query,
         "op5_chat_format": chat.query,
+        "op6_simhash": simhash.query,
         "op9_secret_scan": secrets.query,
         "op10_url_filter": urls.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": decontaminate.oracle_sql()}

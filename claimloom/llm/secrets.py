@@ -95,8 +95,11 @@ def _text(spans: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(6)]
-    return found.select("doc_id", *counts, F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("found")).alias("spans"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, copied_from: int = 3, mask: str = "[SECRET]") -> DataFrame:
