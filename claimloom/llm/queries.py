@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, secrets, simhash, toxicity, urls
+from . import chat, decontaminate, language, packing, quality, secrets, simhash, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_toxicity_crf": toxicity.query,
         "op2_decontaminate": decontaminate.query,
         "op3_packing": packing.query,
+        "op4_language_id": language.query,
         "op5_chat_format": chat.query,
         "op6_simhash": simhash.query,
+        "op7_quality_rules": quality.query,
         "op9_secret_scan": secrets.query,
         "op10_url_filter": urls.query,
     }
