@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, packing, quality, secrets, simhash, toxicity, urls
+from . import chat, decontaminate, language, packing, quality, secrets, simhash, substrings, toxicity, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_chat_format": chat.query,
         "op6_simhash": simhash.query,
         "op7_quality_rules": quality.query,
+        "op8_suffix_dedup": substrings.query,
         "op9_secret_scan": secrets.query,
         "op10_url_filter": urls.query,
     }
