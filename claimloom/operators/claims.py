@@ -45,8 +45,8 @@ def formula_candidate(formula: Column) -> Column:
 def with_claims(rows: DataFrame, question: str | None = "question", answer: str = "answer") -> DataFrame:
     """rows plus a column for each name of IR: the claims and the answer's flags. Null texts are empty.
 
-    They are columns of their own, and not of one struct, lest the optimizer put the claims' whole expression in
-    each place that uses them."""
+    They come out of a generator of one row, through which no filter is pushed and no expression is inlined, so
+    the patterns are matched once for a record whatever is asked of the claims."""
     a, q = F.coalesce(F.col(answer), F.lit("")), F.coalesce(F.col(question), F.lit("")) if question else F.lit("")
     kept = rows.columns
     df = rows.withColumns({"_a": a, "_q": q, "_low": F.lower(a), "_quantity": quantity_of(q)})
@@ -95,7 +95,7 @@ def with_claims(rows: DataFrame, question: str | None = "question", answer: str
         "metal": low.rlike(r"\b(?:metallic|metal)\b"), "insulator": low.rlike(r"\b(?:insulator|insulating)\b"),
         "systems": F.array_compact(F.array(*(F.when(F.contains(low, F.lit(s)), F.lit(s)) for s in L.CRYSTAL_SYSTEMS))),
     }
-    return df.select(*kept, *(v.alias(IR[k]) for k, v in found.items()))
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(IR[k]) for k, v in found.items())))))
 
 
 def claims_long(rows: DataFrame, key: str) -> DataFrame:

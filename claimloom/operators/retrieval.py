@@ -35,5 +35,5 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: st
         scored = scored.unionByName(boosted).groupBy(query, doc).agg(F.sum("score").alias("score"))
     filler = queries.select(query).join(docs.select(doc).orderBy(doc).limit(k), F.lit(True)).withColumn("score", F.lit(0.0))  # k rows a query
     every = scored.unionByName(filler).groupBy(query, doc).agg(F.max("score").alias("score"))
-    order = Window.partitionBy(query).orderBy(F.col("score").desc(), doc)
+    order = Window.partitionBy(query).orderBy(F.round("score", 4).desc(), doc)  # sums differ in their last bits with the order of terms
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -51,8 +51,8 @@ def _div(a: str, b: str) -> str:
 
 
 PRF = f"round({_div('tp', 'tp + fp')}, 6) AS precision, round({_div('tp', 'tp + fn')}, 6) AS recall, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1"
-EST = SCORED + f""", l AS (SELECT *, {LEX} AS lex FROM s), n AS (SELECT *, {NLI} AS nli, {_overlap('answer', 'retrieved_context')} AS overlap FROM l),
-e AS (SELECT response_id, clean, 'lexical' AS estimator, lex AS support FROM n UNION ALL SELECT response_id, clean, 'nli', nli FROM n UNION ALL SELECT response_id, clean, 'overlap', overlap FROM n),
+EST = SCORED + f""", el AS (SELECT *, {LEX} AS lex FROM s), en AS (SELECT *, {NLI} AS nli, {_overlap('answer', 'retrieved_context')} AS overlap FROM el),
+e AS (SELECT response_id, clean, 'lexical' AS estimator, lex AS support FROM en UNION ALL SELECT response_id, clean, 'nli', nli FROM en UNION ALL SELECT response_id, clean, 'overlap', overlap FROM en),
 d AS (SELECT * FROM e WHERE support >= 0.8 AND clean = 0)"""
 
 _UNC, _UNR, _INC = (_has(t, w) for t, w in (("lower(answer)", L.UNCERTAINTY), ("lower(retrieved_context)", L.UNRELIABLE_CONTEXT), ("lower(retrieved_context)", L.INCOMPLETE_CONTEXT)))
@@ -86,8 +86,8 @@ def _boot(clusters: str, sums: str, statistic: str) -> str:
     """clusters: SQL with columns c and the sums; statistic over the sums."""
     return f""", k AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS slot FROM ({clusters})),
 g AS (SELECT rep, slot, ('0x' || substr(md5(rep || '|' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS pick FROM (SELECT unnest(range(200)) AS rep), (SELECT slot FROM k)),
-b AS (SELECT {statistic} AS v FROM (SELECT rep, {sums} FROM g JOIN k ON g.pick = k.slot GROUP BY rep))
-SELECT round((SELECT {statistic} FROM (SELECT {sums} FROM k)), 6) AS point, round((SELECT quantile_cont(v, 0.025) FROM b), 6) AS ci_low, round((SELECT quantile_cont(v, 0.975) FROM b), 6) AS ci_high"""
+bb AS (SELECT {statistic} AS v FROM (SELECT rep, {sums} FROM g JOIN k ON g.pick = k.slot GROUP BY rep))
+SELECT round((SELECT {statistic} FROM (SELECT {sums} FROM k)), 6) AS point, round((SELECT quantile_cont(v, 0.025) FROM bb), 6) AS ci_low, round((SELECT quantile_cont(v, 0.975) FROM bb), 6) AS ci_high"""
 
 
 def _ablated(test) -> str:
@@ -128,7 +128,7 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term), q AS (SELECT query_
 sc AS (SELECT query_id, doc_id, sum(times * ln(1 + (n_docs - df.df + 0.5) / (df.df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / al))) AS score FROM q JOIN post USING (term) JOIN df USING (term), tot GROUP BY query_id, doc_id),
 fl AS (SELECT item_id AS query_id, f.doc_id, 0.0 AS score FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3) f),
 al AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM sc UNION ALL SELECT * FROM fl) GROUP BY ALL)
-SELECT query_id, doc_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al) WHERE rank <= 3"""
+SELECT query_id, doc_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM al) WHERE rank <= 3"""
 
 _GRAMS = "list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 
@@ -156,13 +156,13 @@ def oracle_sql() -> dict[str, str]:
         "segmented_support": TURNS + f", p AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(trim(answer, e' \\n\\t'), '([.!?])\\s+', e'\\\\1\\x01', 'g'), e'\\x01'), lambda x: trim(x, e' \\n\\t')), lambda x: x <> '') AS ps, {_tokens('retrieved_context')} AS ct FROM t) SELECT conv_id, turn, CASE WHEN trim(answer) = '' THEN 0.0 ELSE round({LEX}, 6) END AS whole, CASE WHEN len(ps) = 0 THEN 0.0 ELSE round(list_sum(list_transform(ps, lambda x: {_share(_tokens('x'), 'ct')})) / len(ps), 6) END AS sentence FROM p",
         "ngram_cosine": RECORDS + f""", w AS (SELECT response_id, regexp_extract_all(lower(answer), '\\b[a-z0-9_][a-z0-9_]+\\b') AS aw, regexp_extract_all(lower(retrieved_context), '\\b[a-z0-9_][a-z0-9_]+\\b') AS cw FROM r),
           g AS (SELECT response_id, {_GRAMS.format('aw')} AS a, {_GRAMS.format('cw')} AS c FROM w), h AS (SELECT *, list_distinct(a) AS ka, list_distinct(c) AS kc FROM g),
-          n AS (SELECT response_id, {_dot('list_intersect(ka, kc)', 'a', 'c')} AS d, sqrt({_dot('ka', 'a', 'a')}) * sqrt({_dot('kc', 'c', 'c')}) AS n FROM h) SELECT response_id, round(CASE WHEN n > 0 THEN least(1.0, d / n) ELSE 0 END, 6) AS cosine FROM n""",
+          nn AS (SELECT response_id, {_dot('list_intersect(ka, kc)', 'a', 'c')} AS d, sqrt({_dot('ka', 'a', 'a')}) * sqrt({_dot('kc', 'c', 'c')}) AS n FROM h) SELECT response_id, round(CASE WHEN n > 0 THEN least(1.0, d / n) ELSE 0 END, 6) AS cosine FROM nn""",
         "dense_cosine": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS w FROM embeddings GROUP BY label) SELECT e.vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.w AS DOUBLE[])))), 6) AS cosine FROM embeddings e JOIN f USING (label)",
         "divergence_cases": EST + " SELECT estimator, response_id, round(support, 6) AS support FROM d",
         "threshold_grid": SCORED + f", l AS (SELECT *, {LEX} AS lex FROM s), f AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in L.TAU_F)}]) AS tau_f), g AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in L.TAU_G)}]) AS tau_g) SELECT tau_f, tau_g, count(*) AS n, count(*) FILTER (WHERE lex >= tau_f AND clean < tau_g) AS n_divergent FROM l, f, g GROUP BY ALL",
-        "estimator_jaccard": EST + ", z AS (SELECT estimator, count(*) AS n FROM d GROUP BY 1), b AS (SELECT x.estimator AS a, y.estimator AS b, count(*) AS nb FROM d x JOIN d y USING (response_id) GROUP BY ALL) SELECT x.estimator AS a, y.estimator AS b, coalesce(nb, 0) AS n_both, x.n + y.n - coalesce(nb, 0) AS n_union, round(coalesce(nb, 0)::DOUBLE / (x.n + y.n - coalesce(nb, 0)), 6) AS jaccard FROM z x, z y LEFT JOIN b ON b.a = x.estimator AND b.b = y.estimator",
+        "estimator_jaccard": EST + ", z AS (SELECT estimator, count(*) AS n FROM d GROUP BY 1), jb AS (SELECT x.estimator AS a, y.estimator AS b, count(*) AS nb FROM d x JOIN d y USING (response_id) GROUP BY ALL) SELECT x.estimator AS a, y.estimator AS b, coalesce(nb, 0) AS n_both, x.n + y.n - coalesce(nb, 0) AS n_union, round(coalesce(nb, 0)::DOUBLE / (x.n + y.n - coalesce(nb, 0)), 6) AS jaccard FROM z x CROSS JOIN z y LEFT JOIN jb ON jb.a = x.estimator AND jb.b = y.estimator",
         "estimator_set_sizes": EST + ", k AS (SELECT response_id, count(*) AS k FROM d GROUP BY 1) SELECT count(*) AS n_union, count(*) FILTER (WHERE k = 3) AS n_all, count(*) FILTER (WHERE k = 1) AS n_unique FROM k",
-        "quantile_matched_threshold": RECORDS + f", l AS (SELECT *, {LEX} AS lex FROM r), m AS (SELECT round(lex, 6) AS v, {NLI} AS nli FROM l), t AS (SELECT avg(CAST(nli >= 0.8 AS DOUBLE)) AS rate, count(*) AS n FROM m), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM m), h AS (SELECT (n - 1) * (1 - rate) AS h, rate FROM t) SELECT round((SELECT v FROM o, h WHERE i = floor(h)) + ((SELECT v FROM o, h WHERE i = ceil(h)) - (SELECT v FROM o, h WHERE i = floor(h))) * (h - floor(h)), 6) AS threshold, round(rate, 6) AS rate FROM h",
+        "quantile_matched_threshold": RECORDS + f", l AS (SELECT *, {LEX} AS lex FROM r), m AS (SELECT round(lex, 6) AS v, {NLI} AS nli FROM l), tt AS (SELECT avg(CAST(nli >= 0.8 AS DOUBLE)) AS rate, count(*) AS n FROM m), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM m), h AS (SELECT (n - 1) * (1 - rate) AS h, rate FROM tt) SELECT round((SELECT v FROM o, h WHERE i = floor(h)) + ((SELECT v FROM o, h WHERE i = ceil(h)) - (SELECT v FROM o, h WHERE i = floor(h))) * (h - floor(h)), 6) AS threshold, round(rate, 6) AS rate FROM h",
         "confusion_matrix": RATERS + ", c AS (SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, count(*) AS n FROM x GROUP BY ALL) SELECT g.a, g.b, coalesce(c.n, 0) AS n FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(a, b) LEFT JOIN c ON g.a = c.a AND g.b = c.b",
         "cohen_kappa": RATERS + f", c AS (SELECT {COUNTS} FROM x) SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS agreement, round({KAPPA}, 6) AS kappa FROM c",
         "family_prf": RATERS + f", c AS (SELECT lang, {COUNTS} FROM x GROUP BY lang) SELECT lang, tp, fp, fn, tn, {PRF}, round({KAPPA}, 6) AS kappa FROM c",
