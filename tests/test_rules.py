@@ -1,0 +1,101 @@
+"""Golden sentences for each rule, the scopes of rejections, and invariants."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimloom.functions import lexicon as L
+from claimloom.operators import physics, rules
+
+#: question, answer, violations
+CASES = [
+    ("", "The band gap of GaAs is -1.2 eV.", ["non_negative_band_gap"]),
+    ("", "A -0.3 eV band gap was listed.", ["non_negative_band_gap"]),
+    ("", "The band gap is 15.1 eV.", ["band_gap_physical_range"]),
+    ("", "The band gap is 15 eV.", []),
+    ("", "The band gap is -1 eV, but that value is unreliable.", []),
+    ("", "The band gap is -1 eV; the unrelated run was noisy.", ["non_negative_band_gap"]),
+    ("", "The band gap is -1 eV. It is unreliable.", ["non_negative_band_gap"]),
+    ("", "If the band gap is -1 eV it is strange.", ["non_negative_band_gap"]),
+    ("", "The formation energy is -4.0 eV/atom.", []),
+    ("", "The formation energy is -4.1 eV/atom.", ["formation_energy_typical_range"]),
+    ("", "The formation energy is 1.01 eV per atom.", ["formation_energy_typical_range"]),
+    ("", "It was held at -5 K.", ["non_negative_absolute_temperature"]),
+    ("", "It was held at -5 Kelvin, which is not physically valid.", []),
+    ("", "It was held at 300 K.", []),
+    ("", "A pressure of -2 GPa was applied.", ["non_negative_pressure"]),
+    ("", "A pressure of -2 GPa in the stress convention.", []),
+    ("", "The formula is Qz2O3.", ["valid_chemical_symbols"]),
+    ("", "The formula is M2O3 and DFT was used with 3 GPa.", []),
+    ("", "NaCl and Fe2O3 are salts.", []),
+    ("", "TiO2 is stable.", ["cautious_stability_claim"]),
+    ("", "TiO2 is not stable.", []),
+    ("", "TiO2 is dynamically stable.", []),
+    ("", "TiO2 is stable relative to its hull distance.", []),
+    ("", "It is stable with a formation energy of 0.4 eV/atom.", ["positive_formation_energy_stability_conflict"]),
+    ("", "It is a stable allotrope with a formation energy of 0.4 eV/atom.", []),
+    ("", "It is metallic with a band gap of 0.5 eV.", ["conductivity_band_gap_consistency"]),
+    ("", "The insulator has a band gap of 0.05 eV.", ["conductivity_band_gap_consistency"]),
+    ("", "It is cubic in space group 194.", ["crystal_system_space_group_consistency"]),
+    ("", "It is cubic in space group 225.", []),
+    ("", "It is rhombohedral, space group 166.", []),
+    ("", "It is rhombohedral, space group 165.", ["crystal_system_space_group_consistency"]),
+    ("", "YBCO is a superconductor.", ["cautious_superconductivity_claim"]),
+    ("", "YBCO is a superconductor with zero resistance.", []),
+    ("", "YBCO is superconducting without any evidence.", ["cautious_superconductivity_claim"]),
+    ("What is the band gap?", "-0.1 eV", ["non_negative_band_gap"]),
+    ("What is the bandgap?", "16 eV", ["band_gap_physical_range"]),
+    ("What is the mass?", "-0.1 eV", []),
+    ("What is the formation energy of Fe?", "0.2 eV/atom", ["elemental_formation_energy_reference_conflict"]),
+    ("What is the formation energy of Fe?", "0.2 eV/atom for a metastable phase", []),
+    ("What is the formation energy of Fe?", "0.04 eV/atom", []),
+    ("What is the formation energy of FeO?", "0.2 eV/atom", []),
+    ("At what temperature?", "-10 K", ["non_negative_absolute_temperature"]),
+    (None, None, []),
+    ("", "", []),
+]
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    rows = [(i, q, a, "ctx " + (a or ""), "current") for i, (q, a, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "id int, question string, answer string, retrieved_context string, document_status string")
+    return rules.score_rows(df).cache()
+
+
+def test_golden_sentences(scored):
+    got = {r["id"]: r for r in scored.collect()}
+    for i, (q, a, want) in enumerate(CASES):
+        assert got[i]["violations"] == want, (q, a)
+        assert got[i]["constraint_score"] == (0.0 if want else 1.0)
+
+
+def test_a_sweep_moves_only_its_own_rule(spark):
+    from claimloom.operators.claims import with_claims
+
+    df = with_claims(spark.createDataFrame([("", "The band gap is 12 eV.")], "question string, answer string"))
+    tight = {**rules.default_thresholds(), "gap_upper": F.lit(10.0)}
+    assert df.select(rules.violations(tight).alias("v")).first()["v"] == ["band_gap_physical_range"]
+    assert df.select(rules.violations().alias("v")).first()["v"] == []
+
+
+def test_chemistry(spark):
+    cases = [("The pH is 15.", ["aqueous_ph_range"]), ("The pH is 7 and the yield is 101 %.", ["yield_percentage_range"]), ("A yield of -3% is invalid.", []), ("-2 bar at -1 K", ["non_negative_absolute_temperature", "non_negative_pressure"]), ("Zz2O", ["valid_molecular_formula"]), (None, [])]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "id int, answer string")
+    got = {r["id"]: r["v"] for r in df.select("id", rules.chemistry_violations(F.col("answer")).alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [v for _, v in cases]
+
+
+def test_physics_bounds_and_repair_is_clean(scored):
+    rows = physics.with_physics(scored)
+    for r in rows.collect():
+        assert all(0 <= r[c] <= 1.0 + 1e-9 for c in ("symbolic", "plausibility", "prior", "uncertainty", "total"))
+        assert bool(r["violations"]) == (r["symbolic"] == 0.0)
+    once = physics.repair_rows(scored)
+    assert once.filter(F.size("violations_after") > 0).count() == 0
+    guided = physics.guided_repair(rows)
+    again = rules.score_rows(guided.drop("violations", "constraint_score"), "question", "guided_answer")
+    assert again.filter((F.size("violations") > 0) & (F.col("guided_action") != "none")).count() == 0
+
+
+def test_levels_and_families_cover_all_rules():
+    assert len(L.RULES) == 12 and sum(v[0] == "L0" for v in L.RULES.values()) == 5
