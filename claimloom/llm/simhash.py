@@ -65,6 +65,28 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, key long, fp long")
 
 
+def word_fingerprints(text: bytes, count: int, seed: int = 42) -> list[int]:
+    """`count` fingerprints of the text's distinct words, whose hashes are stirred anew for each."""
+    from xxhash import xxh64_intdigest
+
+    kinds = set(text.lower().split())
+    if not kinds:
+        return [0] * count
+    h = np.fromiter(map(xxh64_intdigest, kinds, repeat(seed)), np.uint64, len(kinds))
+    out = []
+    for i in range(count):
+        g = h
+        if i:
+            g = h * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1))
+            g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            g ^= g >> np.uint64(29)
+        ones = np.zeros(BITS, np.int64)
+        for j in range(0, len(g), 4096):
+            ones += np.unpackbits(g[j : j + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(g), bitorder="little").view("<u8")[0]))
+    return out
+
+
 def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, WIDTH * (i % SEGMENTS)).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
@@ -157,9 +179,42 @@ def cluster(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 3
     return rows.join(known, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
-    """The row of docs with the smallest doc_id (then key) of each component, with all columns."""
-    found = cluster(docs, shingle, seed, distance)
+def _word_prints(count: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, 1000):
+                fps = np.array([word_fingerprints(t, count, seed) for t in raw(b)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.tolist(), pa.list_(pa.int64()))], names=["doc_id", "key", "fps"])
+
+    return run
+
+
+def cluster_words(docs: DataFrame, count: int = 4, seed: int = 42, distance: int = 3) -> DataFrame:
+    """doc_id, key, component_id for each row of docs, by several fingerprints of distinct words: rows link if any
+    of them is within the distance. Sets of words move far less than shingles when a few words are changed, so this
+    finds copies that share 0.8 of their shingles of five words, which one fingerprint of shingles does not; common
+    words count once, so texts of one language stay apart."""
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = saved(taken.mapInArrow(_word_prints(count, seed), "doc_id long, key long, fps array<long>").withColumn("node", F.xxhash64("fps")), "word-prints")
+    nodes = saved(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("least")), "nodes")
+    edges = None
+    for i in range(count):
+        here = nodes.select("node", F.element_at("fps", i + 1).alias("fp"))
+        first = saved(here.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+        same = here.join(first, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+        near = links(first.select("fp"), distance)
+        near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        edges = (same if edges is None else edges.unionByName(same)).unionByName(near)
+    joined = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = joined.select("node", "component").join(names, "component").select("node", "component_id")
+    return rows.join(known, "node").select("doc_id", "key", "component_id")
+
+
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The row of docs with the smallest doc_id (then key) of each component, with all columns. found: of cluster or
+    cluster_words, by default the latter."""
+    found = saved((cluster_words(docs) if found is None else found).select("doc_id", "key", "component_id"), "clusters")
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     keys = saved(best.select(F.col("best.key").alias("_key")).distinct(), "kept")
     rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))).join(keys, "_key", "left_semi")

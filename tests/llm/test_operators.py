@@ -308,12 +308,36 @@ def test_simhash(spark):
     got = {r["doc_id"]: r for r in simhash.cluster(docs).collect()}
     assert [got[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == fps
     assert [got[i]["component_id"] for i in range(len(texts))] == want
-    kept = simhash.keep_one(docs.unionAll(docs.limit(3)))
+    twice = docs.unionAll(docs.limit(3))
+    kept = simhash.keep_one(twice, simhash.cluster(twice))
     rows = kept.collect()
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in rows) == sorted(set(want))
     assert simhash.cluster(docs.limit(0)).count() == 0
 
 
+def test_simhash_of_words_catches_edited_copies(spark):
+    rng = random.Random(13)
+    vocab = [f"tok{i}" for i in range(3000)] + ["the"] * 2000
+    texts, want = [], []
+    for g in range(30):
+        base = words(rng, rng.choice([80, 200, 600]), vocab).split()
+        want.append(len(texts))
+        for c in range(1 + g % 4):
+            copy = list(base)
+            for _ in range(0 if c == 0 else max(1, len(base) // 60)):  # about 0.85 of shingles of five words stay
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+    texts += [None, "", "", "| " * 50 + "qa qb qc", "| " * 50 + "ra rb rc"]
+    want += [len(texts) - 5, len(texts) - 2, len(texts) - 1]
+    docs = docs_of(spark, texts)
+    kept = simhash.keep_one(docs.unionAll(docs.limit(2)))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+    fps = [simhash.word_fingerprints((t or "").encode(), 4) for t in texts]
+    parts = [brute_components([f[i] for f in fps], list(range(len(texts)))) for i in range(4)]
+    assert len(set(map(tuple, zip(*parts, strict=True)))) >= len(want)
+
+
 def test_simhash_links_in_hot_keys(spark):
     rng = np.random.default_rng(9)
     base = int(rng.integers(0, 2**63))
