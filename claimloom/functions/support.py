@@ -98,8 +98,8 @@ def proxy(question: Column, answer: Column, context: Column) -> Column:
 def pieces(answer: Column, how: str) -> Column:
     """whole, sentence or atomic parts of an answer, without empty ones."""
     whole = F.array(F.trim(_text(answer)))
-    sentences = F.transform(F.split(F.trim(_text(answer)), r"(?<=[.!?])\s+", -1), F.trim)
-    atoms = F.flatten(F.transform(sentences, lambda s: F.transform(F.split(s, r"(?i)\s*;\s*|,\s+(?:and|but)\s+|\s+(?:and|but)\s+", -1), F.trim)))
+    sentences = F.transform(F.split(F.trim(_text(answer)), r"(?<=[.!?])\s+", -1), lambda x: F.trim(x))
+    atoms = F.flatten(F.transform(sentences, lambda s: F.transform(F.split(s, r"(?i)\s*;\s*|,\s+(?:and|but)\s+|\s+(?:and|but)\s+", -1), lambda x: F.trim(x))))
     return F.filter({"whole": whole, "sentence": sentences, "atomic": atoms}[how], lambda s: s != "")
 
 

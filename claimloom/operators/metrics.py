@@ -75,7 +75,7 @@ def set_prf(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Micro precision, recall and F1 of predicted against gold `;`-lists by category, and over all."""
 
     def items(c: str) -> Column:
-        return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ";"), F.trim), lambda x: x != ""))
+        return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ";"), lambda x: F.trim(x)), lambda x: x != ""))
 
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("category"), items(p).alias("p"), items(g).alias("g")) for k, (p, g) in pairs.items()))).alias("x")).select("x.*")
     n = long.rollup("category").agg(F.sum(F.size(F.array_intersect("p", "g"))).alias("tp"), F.sum(F.size(F.array_except("p", "g"))).alias("fp"), F.sum(F.size(F.array_except("g", "p"))).alias("fn"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import support as S
+from ..operators import audit as A
 from ..operators import claims as C
 from ..operators import metrics as M
 from ..operators import physics as P
@@ -427,6 +428,52 @@ def space_group_systems(spark, sf_dir):
     return parts.join(F.broadcast(systems), "number").groupBy("crystal_system").agg(F.count("*").alias("n"))
 
 
+# Audits and judges
+
+
+def extraction_sheet(spark, sf_dir):
+    found = A.sheet(F.col("answer"))
+    return records(spark, sf_dir).select("response_id", *(found[c].alias(c) for c in ("predicted_value", "predicted_unit", "predicted_property", "predicted_phase", "predicted_evidence", "predicted_qualifier")))
+
+
+def normalised_items(spark, sf_dir):
+    k = F.col("p_partkey").cast("long")
+    value = F.concat((k % 50).cast("string"), F.lit("."), F.rpad((k % 10).cast("string"), 3, "0"))
+    unit = F.element_at(F.array(F.lit(" Kelvin "), F.lit("eV  per atom"), F.lit("GPa")), (k % 3).cast("int") + 1)
+    return table(spark, sf_dir, "part").select(k.alias("part_id"), A.item("numeric_value", value).alias("number"), A.item("unit", unit).alias("unit"))
+
+
+def salient_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(A.salient(F.col("text"))).alias("sentence_md5"))
+
+
+def judge_replies(spark, sf_dir):
+    """Replies in fences, in prose and bare; scores out of range are held."""
+    k = F.col("p_partkey").cast("long")
+    word = F.element_at(F.array(F.lit("true"), F.lit('"Yes"'), F.lit("false"), F.lit("0"), F.lit('"maybe"')), (k % 5).cast("int") + 1)
+    score = F.when(k % 4 == 0, ', "score": 1.75').when(k % 4 == 1, ', "score": 0.25').otherwise("")
+    body = F.concat(F.lit('{"violation": '), word, score, F.lit(', "rationale": "r"}'))
+    reply = F.when(k % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit("I judge: "), body, F.lit(" as said."))).otherwise(body)
+    bad, points, _ = A.judge_reply(reply)
+    return table(spark, sf_dir, "part").select(k.alias("part_id"), F.coalesce(bad.cast("int"), F.lit(-1)).alias("violation"), F.coalesce(points, F.lit(-1.0)).alias("score"))
+
+
+def judge_disagreements(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("judge", (F.col("part_id") + F.col("template")) % 5 == 0)
+    kind = A.disagreement(F.size("violations") > 0, F.col("judge"), F.array_join("violations", ";"), F.col("constraint_family"), F.when(F.col("part_id") % 2 == 0, "not in the context").otherwise("odd"))
+    return rows.withColumn("kind", kind).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def relabelled_agreement(spark, sf_dir):
+    """Rules run anew on cached answers, against cached judgements."""
+    rows = scored(spark, sf_dir).select((F.size("violations") > 0).alias("a"), ((F.col("part_id") + F.col("template")) % 3 == 0).alias("b"), "model")
+    return M.agreement(rows, "a", "b", "model").select("model", "tp", "fp", "fn", "tn", r6("agreement").alias("agreement"), r6("kappa").alias("kappa"))
+
+
+def source_log(spark, sf_dir):
+    return A.source_log(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
 # Streaming
 
 
@@ -458,6 +505,7 @@ QUERIES = [
     physics_scores, taxonomy_counts, physics_by_status, attribution_accuracy, repair_metrics, repair_usefulness, guided_repair, generate_answers,
     bm25_topk, corpus_build_dedupe, balanced_primary_split, stratified_sample, simple_sample, mismatched_pairs, paired_systems,
     validate_records, duplicate_keys, subset_violations, cache_latest, cache_keys, incremental_antijoin, id_manifest_hash, paired_design_check,
+    extraction_sheet, normalised_items, salient_sentences, judge_replies, judge_disagreements, relabelled_agreement, source_log,
     space_group_systems, stream_scores, event_flag_rates,
 ]
 

@@ -204,6 +204,20 @@ def oracle_sql() -> dict[str, str]:
         "incremental_antijoin": RECORDS + " SELECT response_id FROM r WHERE part_id % 3 <> 0",
         "id_manifest_hash": "WITH i AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents), p AS (SELECT ('0x' || substr(md5(id), 1, 2))::INT AS part, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM i GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_ids, sha256(string_agg(h, chr(10) ORDER BY part)) AS sha256 FROM p",
         "paired_design_check": "SELECT 16::BIGINT AS n, 16::BIGINT AS n_templates, 1::BIGINT AS n_models, count(*) AS n_parts FROM part",
+        "extraction_sheet": RECORDS + """, o AS (SELECT r.*, b.g, b.e FROM r JOIN b ON b.k = r.part_id) SELECT response_id,
+          CASE WHEN template IN (0, 2, 3, 11) THEN g WHEN template IN (4, 7) THEN e WHEN template IN (8, 9, 10) THEN CAST(whole AS VARCHAR) WHEN template = 14 THEN '12' ELSE '' END AS predicted_value,
+          CASE WHEN template IN (0, 2, 3, 11) THEN 'eV' WHEN template IN (4, 7) THEN 'eV/atom' WHEN template IN (8, 14) THEN 'K' WHEN template IN (9, 10) THEN 'GPa' ELSE '' END AS predicted_unit,
+          CASE WHEN template IN (0, 2, 3, 15) THEN 'band_gap' WHEN template = 4 THEN 'formation_energy' WHEN template = 6 THEN 'stability' WHEN template = 7 THEN 'formation_energy; stability' WHEN template = 8 THEN 'temperature'
+            WHEN template IN (9, 10) THEN 'pressure' WHEN template = 11 THEN 'band_gap; conductivity' WHEN template = 13 THEN 'superconductivity' WHEN template = 14 THEN 'temperature; superconductivity' ELSE '' END AS predicted_property,
+          CASE WHEN template = 12 THEN 'cubic; space group ' || sg ELSE '' END AS predicted_phase,
+          CASE WHEN template IN (4, 7) THEN 'formation energy' WHEN template = 14 THEN 'measured; transition temperature' ELSE '' END AS predicted_evidence,
+          CASE WHEN template = 2 THEN 'unreliable' WHEN template = 3 THEN 'noisy' ELSE '' END AS predicted_qualifier FROM o""",
+        "normalised_items": "SELECT CAST(p_partkey AS BIGINT) AS part_id, CAST(p_partkey % 50 AS VARCHAR) || CASE WHEN p_partkey % 10 = 0 THEN '' ELSE '.' || CAST(p_partkey % 10 AS VARCHAR) END AS number, ['k', 'ev/atom', 'gpa'][CAST(p_partkey % 3 AS INT) + 1] AS unit FROM part",
+        "salient_sentences": "WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents), s AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) ', e'\\\\1\\x01', 'g'), e'\\x01'), lambda x: trim(x)), lambda x: length(x) >= 40) AS ss FROM f) SELECT doc_id, md5(coalesce(list_filter(ss, lambda x: " + _has("lower(x)", L.PRIORITY_TERMS) + ")[1], ss[1], substr(t, 1, 500))) AS sentence_md5 FROM s",
+        "judge_replies": "WITH k AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), b AS (SELECT k, CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS v FROM k) SELECT k AS part_id, coalesce(v, -1) AS violation, CASE WHEN v IS NULL THEN -1.0::DOUBLE ELSE CASE k % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.25 ELSE 1.0 - v END END AS score FROM b",
+        "judge_disagreements": SCORED + ", j AS (SELECT *, (part_id + template) % 5 = 0 AS judge, array_to_string(v, ';') AS vs FROM s), k AS (SELECT CASE WHEN clean = 0 AND NOT judge THEN CASE WHEN constraint_family = 'formation_energy' OR contains(vs, 'formation_energy') THEN 'auto_stricter_formation_energy_boundary' WHEN constraint_family = 'pressure' OR contains(vs, 'pressure') THEN 'auto_stricter_pressure_sign_convention' WHEN contains(vs, 'cautious_stability_claim') THEN 'auto_stricter_stability_evidence_requirement' WHEN contains(vs, 'valid_chemical_symbols') THEN 'auto_stricter_formula_or_symbol_parsing' ELSE 'auto_stricter_constraint_interpretation' END WHEN judge AND clean = 1 THEN CASE WHEN part_id % 2 = 0 THEN 'judge_detects_context_support_issue' ELSE 'judge_stricter_unmodeled_scientific_issue' END ELSE 'other' END AS kind FROM j) SELECT kind, count(*) AS n FROM k GROUP BY kind",
+        "relabelled_agreement": SCORED + f", x AS (SELECT model, clean = 0 AS a, (part_id + template) % 3 = 0 AS b FROM s), c AS (SELECT model, {COUNTS} FROM x GROUP BY model) SELECT model, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS agreement, round({KAPPA}, 6) AS kappa FROM c",
+        "source_log": "WITH i AS (SELECT DISTINCT source, CAST(doc_id AS VARCHAR) AS id FROM documents), p AS (SELECT source, ('0x' || substr(md5(id), 1, 2))::INT AS part, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM i GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY part)) AS sha256 FROM p GROUP BY 1",
         "space_group_systems": f"WITH s AS ({_SYSTEMS}) SELECT crystal_system, count(*) AS n FROM part JOIN s ON p_partkey % 230 + 1 = s.number GROUP BY 1",
         "stream_scores": SCORED + " SELECT response_id, CAST(clean AS DOUBLE) AS constraint_score, array_to_string(v, ';') AS violations FROM s WHERE template < 4",
         "event_flag_rates": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(CAST(event_id % 10 = 0 AS DOUBLE)), 6) AS rate FROM events GROUP BY 1",

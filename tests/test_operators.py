@@ -118,3 +118,20 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     want = {r["response_id"]: r["violations"] for r in rules.score_rows(rows).collect()}
     assert got == want and spark.read.parquet(out).count() == 7
     assert scoring.finalized(spark, out).first()["n"] == 7
+
+
+def test_audit(spark):
+    from claimloom.operators import audit as A
+
+    r = one(spark, n=A.item("numeric_value", F.lit(" 1.10 ")), m=A.item("numeric_value", F.lit("10")), w=A.item("numeric_value", F.lit("Ten")), u=A.item("unit", F.lit("Kelvin")), t=A.item("phase", F.lit(" A  b")))
+    assert tuple(r) == ("1.1", "10", "ten", "k", "a b")
+    sheet = A.sheet(F.lit("NaCl melts at 10 K; 0 trailing 30 GPa, XRD measurement."))
+    r = one(spark, v=sheet["predicted_value"], u=sheet["predicted_unit"], m=sheet["predicted_method"], f=sheet["predicted_formula"])
+    assert tuple(r) == ("10; 30", "K; GPa", "XRD; measurement", "NaCl")
+    bad, score, why = A.judge_reply(F.lit('```json\n{"violation": 1, "score": -2, "rationale": "x"}\n```'))
+    r = one(spark, b=bad, s=score, w=why)
+    assert r["b"] is True and r["s"] == 0.0 and r["w"] == "x"
+    none, score, _ = A.judge_reply(F.lit("no object"))
+    assert tuple(one(spark, b=none, s=score)) == (None, None)
+    rows = spark.createDataFrame([("yes",), ("no",), (None,)], "annotation_complete string")
+    assert A.completeness(rows).first()["n_incomplete"] == 2
