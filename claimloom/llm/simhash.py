@@ -108,13 +108,18 @@ def _flipped(fp: Column, i: int) -> Column:
 
 def links(nodes: DataFrame, distance: int = 3, direct: int = 48, block: int = 2048) -> DataFrame:
     """Pairs (u, v) of nodes(fp) that differ in at most `distance` bits; within a key of more than `direct` nodes
-    a spanning forest of such pairs."""
+    a spanning forest of such pairs. With a column `tag` (a small number), pairs are of equal tag, which is returned."""
     if distance >= SEGMENTS:
         raise ValueError("the budgets are for distances below the number of segments")
-    own = F.array(*(F.struct(F.lit(i).alias("i"), _keys(F.col("fp"), i, _segment(F.col("fp"), i + 1)).alias("key")) for i in range(SEGMENTS)))
-    index = nodes.select("fp", F.explode(own).alias("k")).select("fp", "k.i", "k.key")
-    flips = F.flatten(F.array(*(_flipped(F.col("fp"), i) for i in range(SEGMENTS))))
-    probes = nodes.select("fp", F.explode(flips).alias("k")).select("fp", "k.i", "k.key")
+    tagged = "tag" in nodes.columns
+    nodes = nodes if tagged else nodes.withColumn("tag", F.lit(0))
+    tag = F.shiftleft(F.col("tag").cast("long"), 2 * WIDTH + 2)
+
+    def keyed(keys: Column) -> DataFrame:
+        return nodes.select("fp", "tag", F.explode(keys).alias("k")).select("fp", "tag", "k.i", (F.col("k.key") + tag).alias("key"))
+
+    index = keyed(F.array(*(F.struct(F.lit(i).alias("i"), _keys(F.col("fp"), i, _segment(F.col("fp"), i + 1)).alias("key")) for i in range(SEGMENTS))))
+    probes = keyed(F.flatten(F.array(*(_flipped(F.col("fp"), i) for i in range(SEGMENTS)))))
     # a probe meets index rows, index rows meet each other
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
     hot = saved(sizes.filter(F.col("n") > direct).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "hot-keys")
@@ -123,32 +128,32 @@ def links(nodes: DataFrame, distance: int = 3, direct: int = 48, block: int = 20
     def near(rows: DataFrame) -> DataFrame:
         a, b = F.col("a"), F.col("b")
         three = sum((F.when(F.col("i") == i, _apart(_segment(a, i), _segment(b, i)) + _apart(_segment(a, i + 1), _segment(b, i + 1)) + _apart(_segment(a, i + 2), _segment(b, i + 2))).otherwise(0) for i in range(SEGMENTS)), F.lit(0))
-        return rows.filter(three <= distance * 3 // SEGMENTS).filter(_apart(a, b) <= distance).select(a.alias("u"), b.alias("v"))
+        return rows.filter(three <= distance * 3 // SEGMENTS).filter(_apart(a, b) <= distance).select("tag", a.alias("u"), b.alias("v"))
 
     def cold(rows: DataFrame) -> DataFrame:
         return rows.join(hot, "key", "left_anti") if some_hot else rows
 
-    held = cold(index).select("key", "i", F.col("fp").alias("b"))
-    out = near(held.join(cold(index).select("key", F.col("fp").alias("a")), "key").filter("a < b")).unionByName(near(held.join(cold(probes).select("key", F.col("fp").alias("a")), "key")))
+    held = cold(index).select("key", "tag", "i", F.col("fp").alias("b"))
+    asked = cold(index.withColumn("own", F.lit(True)).unionByName(probes.withColumn("own", F.lit(False)))).select("key", "own", F.col("fp").alias("a"))
+    out = near(held.join(asked, "key").filter(~F.col("own") | (F.col("a") < F.col("b"))))
     if some_hot:
         out = out.unionByName(_hot_links(index, probes, hot, distance))
-    return out.distinct()
+    out = out.distinct()
+    return out if tagged else out.select("u", "v")
 
 
 def _hot_links(index: DataFrame, probes: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
     """Every pair of blocks of a hot key's nodes in a group of its own."""
-    rows = index.select("key", "fp").unionByName(probes.select("key", "fp")).join(hot, "key")
+    rows = index.select("key", "tag", "fp").unionByName(probes.select("key", "tag", "fp")).join(hot, "key")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "fp")
+    rows = rows.select("key", "tag", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        fp = np.unique(pdf["fp"].to_numpy())
-        out = spanning(fp, distance)
-        return pd.DataFrame({"u": [p[0] for p in out], "v": [p[1] for p in out]}, dtype="int64") if x <= y else None
+        out = spanning(np.unique(pdf["fp"].to_numpy()), distance)
+        return pd.DataFrame({"tag": [int(pdf["tag"].iloc[0])] * len(out), "u": [p[0] for p in out], "v": [p[1] for p in out]}, dtype="int64")
 
-    return rows.groupBy("key", "x", "y").applyInPandas(forest, "u long, v long")
+    return rows.groupBy("key", "x", "y").applyInPandas(forest, "tag int, u long, v long")
 
 
 def spanning(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -197,14 +202,12 @@ def cluster_words(docs: DataFrame, count: int = 4, seed: int = 42, distance: int
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     rows = saved(taken.mapInArrow(_word_prints(count, seed), "doc_id long, key long, fps array<long>").withColumn("node", F.xxhash64("fps")), "word-prints")
     nodes = saved(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = None
-    for i in range(count):
-        here = nodes.select("node", F.element_at("fps", i + 1).alias("fp"))
-        first = saved(here.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
-        same = here.join(first, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-        near = links(first.select("fp"), distance)
-        near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = (same if edges is None else edges.unionByName(same)).unionByName(near)
+    here = nodes.select("node", F.posexplode("fps").alias("tag", "fp"))
+    first = saved(here.groupBy("tag", "fp").agg(F.min("node").alias("first")), "firsts")
+    same = here.join(first, ["tag", "fp"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(first.select("tag", "fp"), distance)
+    near = near.join(first.select("tag", F.col("fp").alias("u"), F.col("first").alias("a")), ["tag", "u"]).join(first.select("tag", F.col("fp").alias("v"), F.col("first").alias("b")), ["tag", "v"])
+    edges = same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.select("node", "component").join(names, "component").select("node", "component_id")
