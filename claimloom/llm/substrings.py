@@ -12,8 +12,8 @@ Removes each byte that a string of `length` bytes covers which starts anywhere e
 3. Marks are united for each text, and the bytes that are left are kept.
 
 Equal texts are one text, of which one row is refined; if they have `length` bytes or more they go whole. A
-bucket of more than `hot` suffixes is refined in rows of single strings, which Spark pre-aggregates and deals
-by their pair of identifiers, so no task holds an unbounded bucket.
+bucket of more than `hot` suffixes, beyond what a task should hold, is refined in rows of single strings, which
+Spark pre-aggregates and deals by their pair of identifiers; no task holds an unbounded bucket.
 
 Defined cases: a null text is empty; repeated rows are equal texts; texts of fewer than `length` bytes stay;
 matches never cross documents; rows with a null doc_id count like any other; extra columns are ignored.
@@ -126,15 +126,17 @@ def _around(length: int):
     return run
 
 
-def _identify(around: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of all strings of all rows, end to end, and how many each row has. Buckets are looked up at a
-    stroke in the rows laid end to end, as no identifier depends on what is before or behind its bytes."""
-    sizes = np.fromiter(map(len, around), np.int64, len(around))
-    ids = strings(np.frombuffer(b"".join(around), np.uint8), length)
-    ends = np.cumsum(sizes)
-    own = sizes - length + 1
-    take = np.repeat(ends - sizes, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-    return ids[take], own
+def _identify(around: list[bytes], length: int, rows: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of all strings of all rows, end to end, and how many each row has. Rows are laid end to end and
+    looked up at a stroke, so many at a time, as no identifier depends on what is before or behind its bytes."""
+    own = np.fromiter(map(len, around), np.int64, len(around)) - length + 1
+    out = []
+    for i in range(0, len(around), rows):
+        n = own[i : i + rows]
+        ends = np.cumsum(n + length - 1)
+        ids = strings(np.frombuffer(b"".join(around[i : i + rows]), np.uint8), length)
+        out.append(ids[np.repeat(ends - n - length + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+    return np.concatenate(out) if out else np.zeros(0, _U), own
 
 
 def _refine(length: int):
@@ -183,7 +185,7 @@ def _single(length: int):
     return run
 
 
-def repeated(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 400, hot: int = 32_768) -> DataFrame:
     """doc_id, text, whole (all of it goes), marks (byte runs to remove, in no order, may overlap): one row for each row of docs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     own = saved(rows.filter(F.octet_length("text") >= length).groupBy("key", "id").agg(F.count("*").alias("n")), "texts")
