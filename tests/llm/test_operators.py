@@ -338,6 +338,52 @@ def test_simhash_of_words_catches_edited_copies(spark):
     assert len(set(map(tuple, zip(*parts, strict=True)))) >= len(want)
 
 
+def jaccard(a, b, size=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_finds_cut_and_lengthened_copies(spark):
+    rng = random.Random(22)
+    vocab = [f"tok{i}" for i in range(4000)]
+    texts, want = [], []
+    for g in range(90):
+        base = words(rng, (60, 200, 700)[g % 3], vocab).split()
+        n = len(base)
+        cut = base[: n - (n - 4) // 5]  # 0.8 of the shingles or a little more
+        more = base + words(rng, (n - 4) // 4, vocab).split()
+        want.append(len(texts))
+        texts += [" ".join(base), " ".join((cut, more)[g % 2])]
+        assert 0.8 <= jaccard(texts[-2], texts[-1]) < 0.82
+    kept = simhash.keep_one(docs_of(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_verified_links_in_blocks(spark):
+    rng = random.Random(23)
+    base = words(rng, 150, [f"tok{i}" for i in range(500)]).split()
+    texts = [" ".join(base[: rng.randrange(60, 150)]) for _ in range(60)]
+    docs = docs_of(spark, texts)
+    nodes = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("key"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
+    members = nodes.select(F.lit(1).cast("long").alias("group"), "node")
+    for block in (1024, 7):
+        found = simhash.verified(docs.select("doc_id", "text").withColumnRenamed("doc_id", "key"), nodes, members, block=block).collect()
+        assert all(jaccard(texts[r["u"]], texts[r["v"]]) >= 0.8 for r in found)
+        root = list(range(60))
+        for u, v in [(r["u"], r["v"]) for r in found]:
+            root = [root[u] if x == root[v] else x for x in root]
+        want = list(range(60))
+        for u in range(60):
+            for v in range(u):
+                if jaccard(texts[u], texts[v]) >= 0.8:
+                    want = [want[u] if x == want[v] else x for x in want]
+        assert len(set(zip(root, want, strict=True))) == len(set(root)) == len(set(want))
+
+
 def test_simhash_links_in_hot_keys(spark):
     rng = np.random.default_rng(9)
     base = int(rng.integers(0, 2**63))
