@@ -10,8 +10,8 @@ Documents with equal fingerprints are one node. A key that many nodes share is n
 dealt into blocks, and each pair of blocks, bounded in size, returns a spanning forest of its links, so no
 group emits all its pairs and no task holds an unbounded group. Links go to components().
 
-The pipeline's stage (cluster_words, keep_one) also takes pairs of equal bands of least shingle hashes, each
-verified by the exact Jaccard similarity of the texts' five-word shingles before it goes to components().
+The pipeline's stage (cluster_words, keep_one) takes such pairs as candidates only: each link is verified by the
+exact Jaccard similarity of the texts' five-word shingles before it goes to components().
 
 Defined cases: a null text has no words; without words the fingerprint is zero, linked like any other; a
 null doc_id stands in its group but is no component's name unless nothing else is there; repeated rows are
@@ -324,15 +324,20 @@ def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int =
     return rows.mapInArrow(_verified, "u long, v long")
 
 
+def _pair_groups(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.xxhash64(F.lit("pair"), "u", "v").alias("group"), F.explode(F.array("u", "v")).alias("node"))
+
+
 def cluster_words(docs: DataFrame, count: int = 4, seed: int = 42, distance: int = 3) -> DataFrame:
     """doc_id, key, component_id for each row of docs. Texts that are equal but for case and white space are one node;
-    nodes link if one of several fingerprints of distinct words is within the distance, or if a band of least shingle
-    hashes is equal and the exact Jaccard similarity of their five-word shingles is LEAST or more. The bands find what fingerprints do not: cut or lengthened copies at 0.8 differ in 6 to 10 bits of 64."""
+    nodes of which one of several fingerprints of distinct words is within the distance, or a band of least shingle
+    hashes is equal, are candidates, and link if the exact Jaccard similarity of their five-word shingles is LEAST or
+    more. The bands find what fingerprints do not: cut or lengthened copies at 0.8 differ in 6 to 10 bits of 64."""
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     rows = saved(taken.mapInArrow(_word_prints(count, seed), "doc_id long, key long, node long, n_words long, fps array<long>, bands array<long>"), "word-prints")
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n_words").alias("n_words"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("group"), "node")
-    edges = verified(taken.select("key", "text"), nodes, members, seed).unionByName(_word_pairs(nodes, distance))
+    edges = verified(taken.select("key", "text"), nodes, members.unionByName(_pair_groups(_word_pairs(nodes, distance))), seed)
     joined = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.select("node", "component").join(names, "component").select("node", "component_id")

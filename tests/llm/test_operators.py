@@ -347,6 +347,24 @@ def jaccard(a, b, size=5):
     return len(a & b) / len(a | b)
 
 
+def test_near_dedup_keeps_texts_that_are_no_near_copies(spark):
+    rng = random.Random(21)
+    vocab = [f"tok{i}" for i in range(2000)]
+    texts, want = [], []
+    for g in range(30):
+        base = words(rng, rng.choice([60, 200, 500]), vocab).split()
+        blocks = [base[i : i + 5] for i in range(0, len(base), 5)]
+        rng.shuffle(blocks)
+        other = list(base)
+        for i in range(0, len(other), 25):  # about 0.66 of the shingles stay
+            other[i] = rng.choice(vocab)
+        want += [len(texts), len(texts) + 1, len(texts) + 2]
+        texts += [" ".join(base), " ".join(w for b in blocks for w in b), " ".join(other), " ".join(base).upper()]
+        assert max(jaccard(texts[-4], texts[-3]), jaccard(texts[-4], texts[-2])) < 0.8
+    kept = simhash.keep_one(docs_of(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_near_dedup_finds_cut_and_lengthened_copies(spark):
     rng = random.Random(22)
     vocab = [f"tok{i}" for i in range(4000)]
