@@ -2,8 +2,8 @@
 
 Base kinds (assign, access, hex) are found by pattern. Every found value, and every opaque mixed-case token
 of 32 or more characters, is a candidate; candidates are hashed and counted by distinct repositories
-(`source`) and owners (documents). A value in many repositories is a copied example; one that few own looks
-live. The method adds spans: `live` or `example` over each candidate's value, and `opaque` over live opaque
+(`source`) and owners (documents). A value in many repositories, or in many documents of few, is a copied
+example; one that few own looks live. The method adds spans: `live` or `example` over each candidate's value, and `opaque` over live opaque
 tokens. Base spans always stay.
 
 Offsets: the lengths of the parts that split() leaves and of the matches sum up to every match's start, in
@@ -62,18 +62,19 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.concat(*found).alias("spans"))
 
 
-def ownership(found: DataFrame, copied_from: int = 3) -> DataFrame:
-    """value, n_repositories, n_owners, copied for each candidate hash. Counted in two steps, so that a value
-    that a third of all documents hold is pre-aggregated before each shuffle."""
-    rows = found.select(F.coalesce(F.col("source"), F.lit("")).alias("repository"), F.col("doc_id").cast("string").alias("owner"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    owned = rows.groupBy("value", "repository", F.pmod(F.xxhash64("owner"), F.lit(64)).alias("part")).agg(F.countDistinct(F.coalesce("owner", F.lit(""))).alias("n"))
-    return owned.groupBy("value").agg(F.countDistinct("repository").alias("n_repositories"), F.sum("n").alias("n_owners")).withColumn("copied", F.col("n_repositories") >= copied_from)
+def ownership(found: DataFrame, copied_from: int = 3, owners_from: int = 10) -> DataFrame:
+    """value, n_repositories, n_owners, copied for each candidate hash: copied if either count reaches its bound.
+    Spark counts distinct names in steps of their own, so that a value that a third of all documents hold is
+    pre-aggregated before each shuffle."""
+    rows = found.select(F.coalesce(F.col("source"), F.lit("")).alias("repository"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("owner"), F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    counted = rows.groupBy("value").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
+    return counted.withColumn("copied", (F.col("n_repositories") >= copied_from) | (F.col("n_owners") >= owners_from))
 
 
-def scan_secrets(docs: DataFrame, copied_from: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, copied_from: int = 3, owners_from: int = 10) -> DataFrame:
     """doc_id, key, found: array of (start, kind name, end, value start and end), base spans and the method's."""
     found = saved(find_candidates(docs), "secrets")
-    live = ownership(found, copied_from)
+    live = ownership(found, copied_from, owners_from)
     some = found.filter(F.size("spans") > 0).select("key", F.explode("spans").alias("s")).select("key", F.col("s.value").alias("value")).distinct()
     known = some.join(live, "value").groupBy("key").agg(F.collect_set(F.when(F.col("copied"), F.col("value"))).alias("copied"))
     rows = found.join(known, "key", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))
@@ -102,10 +103,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, copied_from: int = 3, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, copied_from: int = 3, mask: str = "[SECRET]", owners_from: int = 10) -> DataFrame:
     """docs with every base span and live opaque token masked in text, n_chars set anew; all rows and columns
     stay. Overlapping spans are masked as one."""
-    found = scan_secrets(docs, copied_from).select("key", F.filter("found", lambda s: s["kind"] < 4).alias("_found")).filter(F.size("_found") > 0).dropDuplicates(["key"])
+    found = scan_secrets(docs, copied_from, owners_from).select("key", F.filter("found", lambda s: s["kind"] < 4).alias("_found")).filter(F.size("_found") > 0).dropDuplicates(["key"])
     text, at = F.col("text"), F.col("_found")
 
     def step(acc: Column, s: Column) -> Column:

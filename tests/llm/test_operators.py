@@ -534,6 +534,20 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_copied_within_one_repository(spark):
+    token, own = "Abcdefgh1234567890Abcdefgh1234567890", "Zyxwvuts0987654321Zyxwvuts0987654321"
+    texts = [f"{token} n{i}" for i in range(12)] + [f"{own} n{i}" for i in range(4)]
+    for sources in (["hot"] * 16, [None] * 16, ["a", "b"] * 8):
+        docs = docs_of(spark, texts, sources=sources)
+        kinds = {r["doc_id"]: {s["kind"] for s in r["found"]} for r in secrets.scan_secrets(docs).select("doc_id", "found").collect()}
+        names = {i: {secrets.KINDS[k] for k in v} for i, v in kinds.items()}
+        assert all(names[i] == {"example"} for i in range(12)) and all(names[i] == {"opaque", "live"} for i in range(12, 16))
+        masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+        assert masked[0] == texts[0] and masked[12] == "[SECRET] n0"
+    again = secrets.ownership(secrets.find_candidates(docs_of(spark, [token]).unionAll(docs_of(spark, [token], sources=["other"])))).first()
+    assert (again["n_repositories"], again["n_owners"]) == (2, 1)  # one document in two repositories is one owner
+
+
 # 10
 
 
