@@ -306,12 +306,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 1024, words: int = 2_000_000) -> DataFrame:
-    """Links (u, v) within the groups of members(group, node) whose exact Jaccard similarity of five-word shingles is
+    """Links (u, v) within the groups of members(group, node, n_words) whose exact Jaccard similarity of five-word shingles is
     LEAST or more: of each group a spanning forest. Groups are compared in blocks of bounded rows and words.
-    docs: key, text; nodes: node, key, n_words."""
-    members = members.join(nodes.select("node", "n_words"), "node").filter("n_words > 0")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_words").alias("all_words")).filter("n > 1")
-    sizes = sizes.select("group", F.ceil(F.greatest(F.col("n") / block, F.col("all_words") / words)).cast("int").alias("blocks"))
+    docs: key, text; nodes: node, key. members is read twice."""
+    members = members.filter("n_words > 0")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_words").alias("all_words"), F.bit_xor("node").alias("who")).filter("n > 1")
+    sizes = sizes.groupBy("n", "all_words", "who").agg(F.min("group").alias("group"))  # bands with the same nodes are compared once
+    sizes = saved(sizes.select("group", F.ceil(F.greatest(F.col("n") / block, F.col("all_words") / words)).cast("int").alias("blocks")), "sizes")
     shared = saved(members.join(sizes, "group").select("group", "node", "blocks"), "shared")
     asked = nodes.select("node", "key").join(shared.select("node").distinct(), "node", "left_semi")
     found = docs.join(asked, "key").dropDuplicates(["node"]).select("node", "text")
@@ -336,8 +337,9 @@ def cluster_words(docs: DataFrame, count: int = 4, seed: int = 42, distance: int
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     rows = saved(taken.mapInArrow(_word_prints(count, seed), "doc_id long, key long, node long, n_words long, fps array<long>, bands array<long>"), "word-prints")
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n_words").alias("n_words"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
-    members = nodes.select(F.explode("bands").alias("group"), "node")
-    edges = verified(taken.select("key", "text"), nodes, members.unionByName(_pair_groups(_word_pairs(nodes, distance))), seed)
+    pairs = saved(_word_pairs(nodes, distance), "word-pairs")
+    members = nodes.select(F.explode("bands").alias("group"), "node", "n_words").unionByName(_pair_groups(pairs).join(nodes.select("node", "n_words"), "node"))
+    edges = verified(taken.select("key", "text"), nodes, members, seed)
     joined = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.select("node", "component").join(names, "component").select("node", "component_id")

@@ -386,8 +386,8 @@ def test_verified_links_in_blocks(spark):
     base = words(rng, 150, [f"tok{i}" for i in range(500)]).split()
     texts = [" ".join(base[: rng.randrange(60, 150)]) for _ in range(60)]
     docs = docs_of(spark, texts)
-    nodes = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("key"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
-    members = nodes.select(F.lit(1).cast("long").alias("group"), "node")
+    nodes = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("key"))
+    members = docs.select(F.lit(1).cast("long").alias("group"), F.col("doc_id").alias("node"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
     for block in (1024, 7):
         found = simhash.verified(docs.select("doc_id", "text").withColumnRenamed("doc_id", "key"), nodes, members, block=block).collect()
         assert all(jaccard(texts[r["u"]], texts[r["v"]]) >= 0.8 for r in found)
