@@ -1,21 +1,22 @@
-"""Interpolated modified Kneser-Ney models over the characters of words, one for each group of documents.
+"""Interpolated modified Kneser-Ney models over characters, one for each group of documents.
 
-Counting: each task counts the words of its documents by group and turns unique words into n-grams, so what
-is shuffled is one row for each (group, n-gram) and task; Spark adds them up over all documents. A word is
-read between one space in front and one behind. N-grams that start at the front space and are shorter than
-the order are counted as they are, all other lower orders by distinct continuations, as usual.
+A unit (a document's words between single spaces, or one word) is read between one space in front and one
+behind; no n-gram leaves its unit. The order is the same at every size of the corpus.
 
-The model is held in one sorted array of 64-bit hashes for each order, with a row of log-probabilities for
-all groups, and one for each order of contexts with the back-off weights: a look-up is a binary search. Its
-size is bounded by `max_types` n-grams: where the corpus has more of the wanted order, the next lower order is
-used, down to single characters.
+Counting: each task counts n-grams of the order by group and emits one row for each it has seen; Spark adds them
+up over all documents. N-grams that start at the front space and are shorter than the order are counted as they
+are, all other lower orders by distinct continuations. Discounts, back-off weights and interpolated
+probabilities of every order are then made by joins and aggregates (model_rows), nothing of which is gathered.
 
-Scoring: the words of a batch are scored once each, all together, and summed up by document.
+Scoring: a Model holds rows in arrays sorted by 64-bit hash, one for each order, so that a look-up is a binary
+search. A model of at most `max_rows` rows is broadcast. A larger one stays in Spark: documents are dealt into
+chunks of bounded text, the rows whose n-grams a chunk holds are joined to it, and each chunk is scored under a
+Model of those rows (`scored`). Both ways give the same scores.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, saved
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
+#: rows of counts that a task holds before it emits them, and points that are looked up at a time
+HELD, WINDOW = 1 << 20, 1 << 20
 
 
 def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -32,200 +37,396 @@ def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S)
 
 
-def _hashes(points: np.ndarray) -> np.ndarray:
-    """Of rows of code points, read from the last to the first."""
+def hashes_of(grams: list[str], k: int) -> np.ndarray:
+    """Of strings of k code points each, read from the last point to the first."""
+    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), k)
     h = np.zeros(len(points), np.uint64)
-    for j in range(points.shape[1] - 1, -1, -1):
+    for j in range(k - 1, -1, -1):
         h = _mix(h, points[:, j])
     return h
 
 
-def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the words between single spaces; of each point but the first its word and how many points
-    lie between it and the front space, itself included."""
-    points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = points == 32
-    word = np.cumsum(space)[:-1] - 1
-    front = np.flatnonzero(space)
-    depth = np.arange(1, len(points)) - front[word]
-    return points, word, depth
-
-
-def count_grams(words: dict[str, int], order: int) -> dict[str, int]:
-    """Counts of n-grams of the order, and of shorter ones where a word begins."""
-    if not words:
-        return {}
-    points, word, depth = laid_out(list(words))
-    weight = np.fromiter(words.values(), np.int64, len(words))[word]
-    out: dict[str, int] = {}
-    for k in range(2, order + 1):
-        at = np.flatnonzero(depth >= order - 1 if k == order else depth == k - 1) + 1
-        if not len(at):
-            continue
-        grams = points[at[:, None] + np.arange(1 - k, 1)]
-        _, first, back = np.unique(_hashes(grams), return_index=True, return_inverse=True)
-        n = np.bincount(back, weight[at - 1]).astype(np.int64)
-        text = grams[first].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        out.update(zip((text[i : i + k] for i in range(0, len(text), k)), n.tolist(), strict=True))
+def _name(group: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(group or "")
+
+
+def joint(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams of a group."""
+    h = (keys ^ names) * _M
+    return h ^ (h >> np.uint64(32))
+
+
+def laid_out(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the units, each between spaces of its own, and how many points of its unit precede each."""
+    size = np.fromiter(map(len, units), np.int64, len(units)) + 2
+    points = np.frombuffer((" " + "  ".join(units) + " ").encode("utf-32-le", "surrogatepass"), np.uint32) if units else np.zeros(0, np.uint32)
+    return points, np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def rolled(points: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each k up to the order the hash of the k points that end at each place; where fewer precede it has no meaning."""
+    out = [np.zeros(len(points), np.uint64)]
+    for k in range(1, order + 1):
+        h = out[-1].copy()
+        if len(points) >= k:
+            h[k - 1 :] = _mix(h[k - 1 :], points[: len(points) - k + 1])
+        out.append(h)
     return out
 
 
-def _counting(words_of: Callable, order: int, flush: int):
+def windows(points: np.ndarray, depth: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Points and depths in stretches of bounded length; of each, the first place that is new and its place in the whole."""
+    for a in range(0, len(points), WINDOW):
+        b = max(0, a - order)
+        yield points[b : a + WINDOW], depth[b : a + WINDOW], a - b, a
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in an order in which equal ones lie together, and where each such run starts. Sorted by the
+    high bits of the key with the place in the low ones; of two keys with equal high bits the runs may come in parts."""
+    n = len(keys)
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    at = (np.sort((keys & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    full = keys[at]
+    return at, np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), full[1:] != full[:-1])))
+
+
+class Counts:
+    """N-grams of one length: keys, points and counts, merged now and then."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, keys: np.ndarray, points: np.ndarray, ends: np.ndarray, weight: np.ndarray | None) -> None:
+        """Of n-grams that end at these places of the points."""
+        at, start = grouped(keys)
+        n = np.diff(np.append(start, len(at))) if weight is None else np.add.reduceat(weight[at], start)
+        first = at[start]
+        self.parts.append((keys[first], points[ends[first][:, None] + np.arange(1 - self.k, 1)], n))
+        self.held += len(first)
+        if len(self.parts) > 1 and self.held > 2 * len(self.parts[0][0]) + 200_000:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            keys, points, n = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+            keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            self.parts = [(keys, points[first], np.bincount(back, n, len(keys)).astype(np.int64))]
+            self.held = len(keys)
+
+    def rows(self) -> tuple[list[str], np.ndarray]:
+        """Of a key whose runs came in parts there may be several rows where nothing was merged; Spark adds them up."""
+        self.merge()
+        if not self.parts:
+            return [], np.zeros(0, np.int64)
+        _, points, n = self.parts[0]
+        text = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[i : i + self.k] for i in range(0, len(text), self.k)], n
+
+
+def count_grams(units: list[str], order: int, weights: list[int] | None = None, into: dict[int, Counts] | None = None) -> dict[int, Counts]:
+    """Counts of n-grams of the order, and of shorter ones where a unit begins."""
+    into = {} if into is None else into
+    points, depth = laid_out(units)
+    weight = None if weights is None else np.repeat(np.array(weights, np.int64), np.fromiter(map(len, units), np.int64, len(units)) + 2)
+    for part, deep, new, at in windows(points, depth, order):
+        h = rolled(part, order)
+        for k in range(2, order + 1):
+            here = np.flatnonzero(deep[new:] >= order - 1 if k == order else deep[new:] == k - 1) + new
+            if len(here):
+                into.setdefault(k, Counts(k)).add(h[k][here], part, here, None if weight is None else weight[here - new + at])
+    return into
+
+
+def _counting(units_of: Callable, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
-        grams: dict[str, Counter] = defaultdict(Counter)
-        held = 0
-
-        def turn() -> None:
-            for g, c in words.items():
-                grams[g].update(count_grams(dict(c), order))
-            words.clear()
+        held: dict[str, dict[int, Counts]] = defaultdict(dict)
 
         def emit() -> Iterator[pa.RecordBatch]:
-            turn()
-            for g, c in grams.items():
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["grp", "gram", "n"])
-            grams.clear()
-
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                for g, w in zip(part.column(0).to_pylist(), words_of(part.column(1)), strict=True):
-                    words[g].update(w)
-                held = sum(map(len, words.values()))
-                if held > flush:
-                    turn()
-                    if sum(map(len, grams.values())) > 4 * flush:
+            for g, by in held.items():
+                for c in by.values():
+                    grams, n = c.rows()
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n)], names=["grp", "gram", "n"])
+            held.clear()
+
+        for batch in batches:
+            for b in pieces(batch, 500):
+                own: dict[str, list] = defaultdict(list)
+                for g, u in zip(b.column(0).to_pylist(), units_of(b.column(1)), strict=True):
+                    own[g].append(u)
+                for g, docs in own.items():
+                    if isinstance(docs[0], str):
+                        count_grams(docs, order, None, held[g])
+                    else:  # words: each kind once, with its count
+                        kinds: dict[str, int] = {}
+                        for d in docs:
+                            for w in d:
+                                kinds[w] = kinds.get(w, 0) + 1
+                        count_grams(list(kinds), order, list(kinds.values()), held[g])
+                if sum(c.held for by in held.values() for c in by.values()) > HELD:
+                    for by in held.values():
+                        for c in by.values():
+                            c.merge()
+                    if sum(c.held for by in held.values() for c in by.values()) > HELD:
                         yield from emit()
         yield from emit()
 
     return run
 
 
-def count(rows: DataFrame, words_of: Callable, order: int, flush: int = 200_000) -> DataFrame:
-    """grp, gram, n over all rows(grp, text). words_of gives lists of words of an Arrow column of texts."""
-    found = rows.select("grp", "text").mapInArrow(_counting(words_of, order, flush), "grp string, gram string, n long")
+def count(rows: DataFrame, units_of: Callable, order: int) -> DataFrame:
+    """grp, gram, n over all rows(grp, text). units_of gives, of an Arrow column of texts, a string for each (one
+    unit) or a list of words (a unit each)."""
+    found = rows.select("grp", "text").mapInArrow(_counting(units_of, order), "grp string, gram string, n long")
     return found.groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(a: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ of one group's adjusted counts; where a count of counts is empty, half of what is due."""
-    n = [max(0, int((a == i).sum())) for i in range(1, 5)]
-    if min(n) == 0:
-        return np.array([0.5, 0.75, 1.0])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]])
-    return np.clip(d, [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
+def model_rows(counts: DataFrame, order: int) -> tuple[DataFrame, float]:
+    """len, gram, grp, logp (null for what is a context only), backoff (null for what is none): one row for each
+    n-gram of counts(grp, gram, n) and of its lower orders, and for each empty context; and the floor, the log-probability of
+    a character without any evidence."""
+    own = saved(counts, "gram-counts")
+    levels = {order: own.filter(F.length("gram") == order).withColumnRenamed("n", "a")}
+    for k in range(order - 1, 0, -1):
+        below = levels[k + 1].groupBy("grp", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("a"))
+        front = own.filter(F.length("gram") == k).withColumnRenamed("n", "a")
+        levels[k] = saved(below.unionByName(front).groupBy("grp", "gram").agg(F.sum("a").alias("a")), "grams")
+    floor = -float(np.log(1 + levels[1].select("gram").distinct().count()))
+    out, lower = None, None
+    for k in range(1, order + 1):
+        # D1, D2, D3+ of a group's adjusted counts; where a count of counts is empty, half of what is due
+        n = [F.sum(F.when(F.col("a") == i, 1).otherwise(0)).cast("double") for i in range(1, 5)]
+        cuts = levels[k].groupBy("grp").agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        due = (1 - 2 * y * F.col("n2") / F.col("n1"), 2 - 3 * y * F.col("n3") / F.col("n2"), 3 - 4 * y * F.col("n4") / F.col("n3"))
+        some = F.least("n1", "n2", "n3", "n4") > 0
+        cuts = cuts.select("grp", *(F.when(some, F.least(F.greatest(d, F.lit(0.05 * i)), F.lit(0.95 * i))).otherwise(F.lit(0.25 + 0.25 * i)).alias(f"d{i}") for i, d in enumerate(due, 1)))
+        rows = levels[k].join(cuts, "grp").withColumn("h", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
+        rows = rows.withColumn("d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))
+        contexts = rows.groupBy("grp", "h").agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("gamma"))
+        mine = (F.col("a") - F.col("d")) / F.col("total")
+        joined = rows.select("grp", "gram", "h", "a", "d").join(contexts, ["grp", "h"])
+        if k == 1:
+            made = joined.select("grp", "gram", (mine + F.col("gamma") * float(np.exp(floor))).alias("p"))
+        else:
+            joined = joined.withColumn("rest", F.substring("gram", 2, k - 1))
+            made = joined.join(lower.select("grp", F.col("gram").alias("rest"), F.col("p").alias("below")), ["grp", "rest"]).select("grp", "gram", (mine + F.col("gamma") * F.col("below")).alias("p"))
+        lower = saved(made, "gram-logp")
+        kinds = lower.select(F.lit(k).alias("len"), "grp", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
+        weights = contexts.select(F.lit(k - 1).alias("len"), "grp", F.col("h").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("backoff"))
+        out = kinds.unionByName(weights) if out is None else out.unionByName(kinds).unionByName(weights)
+    out = out.groupBy("len", "grp", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return saved(_hashed(out), "gram-rows"), floor
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """len, key, grp, logp, backoff of rows whose n-grams are strings; key is the hash of the n-gram alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, grams = b.column(0).to_numpy(), b.column(2).to_pylist()
+            key = np.zeros(len(size), np.uint64)
+            for k in np.unique(size).tolist():
+                here = np.flatnonzero(size == k)
+                if k:
+                    key[here] = hashes_of([grams[i] for i in here.tolist()], k)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), *(b.column(i) for i in (1, 3, 4))], names=["len", "key", "grp", "logp", "backoff"])
+
+    return rows.select("len", "grp", "gram", "logp", "backoff").mapInArrow(run, "len int, key long, grp string, logp double, backoff double")
 
 
 class Model:
-    """groups; for each order k sorted keys and log-probabilities, contexts and log back-off weights."""
+    """For each length the sorted hashes of the n-grams, the first entry of each, and entries (group, logp, backoff), of
+    which what is missing is NaN."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], order: int):
-        self.groups, self.order = sorted({g for g, _, _ in counts}), order
+    def __init__(self, size: np.ndarray, key: np.ndarray, grp: list[str], logp: np.ndarray, backoff: np.ndarray, order: int, floor: float, groups: list[str] | None = None):
+        self.order, self.floor = order, floor
+        self.groups = sorted(set(grp)) if groups is None else groups
         at = {g: i for i, g in enumerate(self.groups)}
-        width = len(self.groups)
-        raw: dict[int, list] = defaultdict(list)
-        for g, gram, n in counts:
-            raw[len(gram)].append((gram, at[g], n))
-        levels: list = [None] * (order + 1)
-        points, found = np.empty((0, order + 1), np.uint32), np.empty((0, width))
-        for k in range(order, 0, -1):
-            own = raw.get(k, [])
-            p = np.frombuffer("".join(x[0] for x in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k)
-            every = np.concatenate([p, points[:, 1:]]) if k < order else p
-            keys, first, back = np.unique(_hashes(every), return_index=True, return_inverse=True)
-            a = np.zeros((len(keys), width))
-            if own:
-                np.add.at(a, (back[: len(own)], [x[1] for x in own]), [x[2] for x in own])
-            if k < order:
-                np.add.at(a, back[len(own) :], found > 0)
-            points, found = every[first], a
-            levels[k] = (keys, points, a)
-        self.alphabet = max(1, len(levels[1][0])) + 1
-        self.floor = float(-np.log(self.alphabet))
-        self.keys, self.logp, self.contexts, self.backoff = [None], [None], [None], [None]
-        below = np.full((1, width), 1 / self.alphabet)
-        for k in range(1, order + 1):
-            keys, points, a = levels[k]
-            contexts, back = np.unique(_hashes(points[:, :-1]), return_inverse=True)
-            total, kinds = np.zeros((len(contexts), width)), np.zeros((3, len(contexts), width))
-            np.add.at(total, back, a)
-            for i, hit in enumerate((a == 1, a == 2, a >= 3)):
-                np.add.at(kinds[i], back, hit)
-            d = np.stack([_discounts(a[:, j][a[:, j] > 0]) for j in range(width)], axis=1) if len(a) else np.zeros((3, width))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gamma = np.where(total > 0, np.einsum("ij,icj->cj", d, kinds) / total, 1.0)
-                cut = np.where(a == 0, 0, a - d[np.clip(a.astype(int), 1, 3) - 1, np.arange(width)])
-                mine = np.where(total[back] > 0, cut / total[back], 0.0)
-            lower = below[np.searchsorted(self.keys[k - 1], _hashes(points[:, 1:]))] if k > 1 else np.repeat(below, len(keys), axis=0)
-            p = mine + gamma[back] * lower
-            self.keys.append(keys)
-            self.logp.append(np.log(p).astype(np.float32))
-            self.contexts.append(contexts)
-            self.backoff.append(np.log(gamma).astype(np.float32))
-            below = p
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each word by group, and its number of predicted characters."""
-        if not words:
-            return np.zeros((0, len(self.groups))), np.zeros(0, np.int64)
-        points, word, depth = laid_out(words)
-        n = len(points) - 1
-        hashes = [np.zeros(n + 1, np.uint64)]
-        for k in range(1, self.order + 1):  # of the k points that end at each place, from the last to the first
-            h = hashes[-1].copy()
-            h[k - 1 :] = _mix(h[k - 1 :], points[: n + 2 - k])
-            hashes.append(h)
-        lp = np.zeros((n, len(self.groups)))
-        open_ = np.arange(n)
-        for k in range(self.order, 0, -1):
-            fit = depth[open_] >= k - 1
-            mine, rest = open_[fit], [open_[~fit]]
-            if len(mine) and len(self.keys[k]):
-                key = hashes[k][mine + 1]
-                at = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
-                hit = self.keys[k][at] == key
-                lp[mine[hit]] += self.logp[k][at[hit]]
+        grp = np.fromiter((at[g] for g in grp), np.int32, len(grp))
+        self.tables = []
+        key = key.view(np.uint64)
+        for k in range(order + 1):
+            here = np.flatnonzero(size == k)
+            here = here[np.lexsort((grp[here], key[here]))]
+            keys, first = np.unique(key[here], return_index=True)
+            self.tables.append((keys, np.append(first, len(here)), grp[here], logp[here].astype(np.float32), backoff[here].astype(np.float32)))
+        self.names = np.array([_name(g) for g in self.groups], np.uint64)
+        self.own: list | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"own": None}
+
+    @staticmethod
+    def _find(table, keys: np.ndarray) -> np.ndarray:
+        """Places of keys in a table, -1 where they are not."""
+        if not len(table) or not len(keys):
+            return np.full(len(keys), -1)
+        order, start = grouped(keys)
+        kinds = keys[order[start]]
+        at = np.minimum(np.searchsorted(table, kinds), len(table) - 1)
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.repeat(np.where(table[at] == kinds, at, -1), np.diff(np.append(start, len(keys))))
+        return out
+
+    def _entries(self, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the key, entry) for all entries of the keys."""
+        table, first = self.tables[k][:2]
+        at = self._find(table, keys)
+        hit = np.flatnonzero(at >= 0)
+        n = first[at[hit] + 1] - first[at[hit]]
+        return np.repeat(hit, n), np.repeat(first[at[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def every(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each unit under each group, and its number of predicted characters."""
+        out = np.zeros((len(units), len(self.groups)))
+        size = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        if not units or not self.groups:
+            return out, size
+        points, depth = laid_out(units)
+        for part, deep, new, at in windows(points, depth, self.order):
+            h = rolled(part, self.order)
+            place = np.flatnonzero(deep[new:] > 0) + new
+            lp, todo = np.zeros((len(place), len(self.groups))), np.ones((len(place), len(self.groups)), bool)
+            for k in range(self.order, 0, -1):
+                fit = np.flatnonzero((deep[place] >= k - 1) & todo.any(axis=1))
+                if not len(fit):
+                    continue
+                who, e = self._entries(k, h[k][place[fit]])
+                row, g, value = fit[who], self.tables[k][2][e], self.tables[k][3][e]
+                good = todo[row, g] & ~np.isnan(value)
+                lp[row[good], g[good]] += value[good]
+                todo[row[good], g[good]] = False
+                fit = fit[todo[fit].any(axis=1)]
+                who, e = self._entries(k - 1, h[k - 1][place[fit] - 1] if k > 1 else np.zeros(len(fit), np.uint64))
+                row, g, value = fit[who], self.tables[k - 1][2][e], self.tables[k - 1][4][e]
+                good = todo[row, g] & ~np.isnan(value)
+                lp[row[good], g[good]] += value[good]
+            lp += todo * self.floor
+            unit = np.repeat(np.arange(len(units)), size + 1)[place - new + at]
+            for j in range(len(self.groups)):
+                out[:, j] += np.bincount(unit, lp[:, j], len(units))
+        return out, size
+
+    def under(self, units: list[str], groups: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each unit under its own group, and its number of predicted characters."""
+        if self.own is None:  # hashes with the group in them
+            self.own = []
+            for keys, first, grp, logp, backoff in self.tables:
+                key = joint(np.repeat(keys, np.diff(first)), self.names[grp])
+                order = np.argsort(key)
+                self.own.append((key[order], logp[order], backoff[order]))
+        out = np.zeros(len(units))
+        size = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        if not units:
+            return out, size
+        points, depth = laid_out(units)
+        name = {g: _name(g) for g in set(groups)}
+        names = np.fromiter((name[g] for g in groups), np.uint64, len(groups))
+        for part, deep, new, at in windows(points, depth, self.order):
+            h = rolled(part, self.order)
+            todo = np.flatnonzero(deep[new:] > 0) + new
+            unit = np.repeat(np.arange(len(units)), size + 1)[at - new : at - new + len(part)] if len(units) > 1 else np.zeros(len(part), np.int64)
+            who, lp = names[unit], np.zeros(len(part))
+            for k in range(self.order, 0, -1):
+                fit = deep[todo] >= k - 1
+                mine = todo[fit]
+                keys, logp, _ = self.own[k]
+                found = self._find(keys, joint(h[k][mine], who[mine]))
+                value = np.where(found >= 0, logp[found], np.nan) if len(logp) else np.full(len(mine), np.nan)
+                hit = ~np.isnan(value)
+                lp[mine[hit]] += value[hit]
                 mine = mine[~hit]
-                if len(mine):
-                    context = hashes[k - 1][mine]
-                    at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-                    known = self.contexts[k][at] == context
-                    lp[mine[known]] += self.backoff[k][at[known]]
-            rest.append(mine)
-            open_ = np.concatenate(rest)
-            if not len(open_):
-                break
-        lp[open_] += self.floor
-        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        return np.add.reduceat(lp, starts, axis=0), np.diff(np.append(starts, n))
-
-
-def fit(rows: DataFrame, words_of: Callable, order: int = 4, max_types: int = 4_000_000) -> Model | None:
-    """The model of rows(grp, text), all of which are counted; None if they hold no words."""
-    from .common import saved
-
-    for k in range(order, 1, -1):
-        counts = saved(count(rows, words_of, k), "grams")
-        n = counts.count()
-        if not n:
-            return None
-        if n <= max_types or k == 2:
-            return Model([tuple(r) for r in counts.toLocalIterator()], k)
-    return None
-
-
-def document_scores(model: Model, docs: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Sums of log-probabilities by group, and of characters, for each document; the words' numbers, end to end,
-    and the unique words. docs: lists of str or UTF-8 bytes."""
-    number: dict = {}
-    add = number.setdefault
-    ids = np.fromiter((add(w, len(number)) for d in docs for w in d), np.int64)
-    unique = [w if isinstance(w, str) else w.decode("utf-8", "replace") for w in number]
-    lp, n = model.words(unique)
-    ends = np.cumsum([len(d) for d in docs])
-    total = np.concatenate([np.zeros((1, len(model.groups))), np.cumsum(lp[ids], axis=0)]) if len(ids) else np.zeros((1, len(model.groups)))
-    chars = np.concatenate([[0], np.cumsum(n[ids])]) if len(ids) else np.zeros(1, np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(int) if len(ends) else ends
-    return total[ends] - total[starts], chars[ends] - chars[starts], ids, unique
+                keys, _, backoff = self.own[k - 1]
+                found = self._find(keys, joint(h[k - 1][mine - 1] if k > 1 else np.zeros(len(mine), np.uint64), who[mine]))
+                value = np.where(found >= 0, backoff[found], np.nan) if len(backoff) else np.full(len(mine), np.nan)
+                lp[mine] += np.nan_to_num(value)
+                todo = np.concatenate([todo[~fit], mine])
+                if not len(todo):
+                    break
+            lp[todo] += self.floor
+            out += np.bincount(unit[new:], lp[new:], len(units))
+        return out, size
+
+
+def _gathered(rows: DataFrame, order: int, floor: float) -> Model:
+    got = rows.toArrow() if hasattr(rows, "toArrow") else pa.Table.from_pandas(rows.toPandas())
+    size, key, logp, backoff = (got.column(c).to_numpy(zero_copy_only=False) for c in ("len", "key", "logp", "backoff"))
+    return Model(size, key, got.column("grp").to_pylist(), logp.astype(float), backoff.astype(float), order, floor)
+
+
+class Fitted:
+    """What fit() gives: the rows of the model in Spark, and the model itself where it is small enough."""
+
+    def __init__(self, rows: DataFrame, order: int, floor: float, max_rows: int):
+        self.rows, self.order, self.floor = rows, order, floor
+        self.groups = sorted(r["grp"] for r in rows.select("grp").distinct().collect())  # one row for each language
+        self.model = _gathered(rows, order, floor) if rows.count() <= max_rows else None
+
+
+def fit(rows: DataFrame, units_of: Callable, order: int = 4, max_rows: int = 6_000_000) -> Fitted | None:
+    """The model of rows(grp, text), all of which are counted; None if they hold no characters. max_rows bounds what is
+    broadcast (16 bytes a row), not the model."""
+    counts = saved(count(rows, units_of, order), "gram-totals")
+    if counts.isEmpty():
+        return None
+    made, floor = model_rows(counts, order)
+    return Fitted(made, order, floor, max_rows)
+
+
+def scored(docs: DataFrame, fitted: Fitted, units_of: Callable, score: Callable, schema: str, chunk_chars: int = 16_000_000) -> DataFrame:
+    """score(model, batches) over docs, whose last two columns are grp and text; schema: of what it gives. With a model
+    too large to broadcast, documents are dealt into chunks of about chunk_chars characters."""
+    if fitted.model is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(fitted.model)  # at most max_rows rows
+        return docs.mapInArrow(lambda batches: score(shared.value, batches), schema)
+    order, floor, groups, names = fitted.order, fitted.floor, fitted.groups, docs.columns
+    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    chunks = max(1, -(-total // chunk_chars))
+    rows = docs.withColumn("chunk", F.pmod(F.xxhash64(*names), F.lit(chunks)))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, 500):
+                by = defaultdict(list)
+                for c, u in zip(b.column(0).to_pylist(), units_of(b.column(1)), strict=True):
+                    by[c] += [u] if isinstance(u, str) else list(set(u))
+                for c, units in by.items():
+                    points, depth = laid_out(units)
+                    for part, deep, new, _ in windows(points, depth, order):
+                        h = rolled(part, order)
+                        for k in range(order + 1):
+                            key = np.unique(h[k][max(0, new - 1) :][deep[max(0, new - 1) :] >= k - 1])
+                            if len(key):
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64))], names=["chunk", "len", "key"])
+
+    need = rows.select("chunk", "text").mapInArrow(needed, "chunk long, len int, key long").distinct()
+    shipped = need.join(fitted.rows, ["len", "key"]).select("chunk", F.struct("len", "key", F.col("grp").alias("name"), "logp", "backoff").alias("row"))
+    both = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast(shipped.schema["row"].dataType).alias("row"), F.struct(*names).alias("doc"))
+    both = both.unionByName(shipped.select("chunk", F.lit(0).alias("kind"), "row", F.lit(None).cast(both.schema["doc"].dataType).alias("doc")))
+    both = both.repartition(int(min(chunks, 20_000)), "chunk").sortWithinPartitions("chunk", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, entries, model = None, [], None
+        for batch in batches:
+            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.diff(chunk) | np.diff(kind)) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(chunk)], strict=True):
+                if chunk[i] != now:
+                    now, entries, model = chunk[i], [], None
+                if kind[i] == 0:
+                    entries.append(pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(2).slice(i, j - i))]))
+                    continue
+                if model is None:
+                    if entries:
+                        got = pa.concat_tables(entries)
+                        size, key, logp, backoff = (got.column(c).to_numpy(zero_copy_only=False) for c in ("len", "key", "logp", "backoff"))
+                        model = Model(size, key, got.column("name").to_pylist(), logp.astype(float), backoff.astype(float), order, floor, groups)
+                    else:
+                        none = np.zeros(0)
+                        model = Model(none, none.astype(np.int64), [], none, none, order, floor, groups)
+                yield from score(model, iter([pa.RecordBatch.from_struct_array(batch.column(3).slice(i, j - i))]))
+
+    return both.mapInArrow(run, schema)

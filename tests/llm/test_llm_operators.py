@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat, components, decontaminate, language, packing, quality, secrets, simhash, substrings, toxicity, urls
+from claimloom.llm import chat, components, decontaminate, language, packing, secrets, simhash, substrings, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key long"
 
@@ -190,40 +190,6 @@ def test_language(spark):
     assert language.identify(docs.limit(0), language.train(docs)).count() == 0
 
 
-def test_kneser_ney_is_a_distribution():
-    from claimloom.llm import charlm
-
-    grams = charlm.count_grams({"abab": 3, "abc": 2, "b": 5, "cab": 1}, 3)
-    model = charlm.Model([("g", k, n) for k, n in grams.items()] + [("h", k, 1) for k in grams if "c" not in k], 3)
-    words, n = model.words(["a", "ab", "abab"])
-    assert (n == [2, 3, 5]).all() and np.isfinite(words).all()
-    assert np.allclose(words[0], _step(model, " ", "a") + _step(model, " a", " "))
-    for g in (0, 1):
-        for context in (" ", " a", "ab", "zz"):  # the known characters have all of the mass but what is left for others
-            assert 0.7 < sum(np.exp(_step(model, context, c)[g]) for c in "abc ") <= 1.0 + 1e-6
-
-
-def _step(model, context, c):
-    """Log-probability of c after a context, by way of the tables."""
-    from claimloom.llm.charlm import _hashes
-
-    def arr(s):
-        return np.array([[ord(x) for x in s]], np.uint32).reshape(1, -1)
-
-    out = 0.0
-    for k in range(min(model.order, len(context) + 1), 0, -1):
-        h = context[len(context) - k + 1 :] if k > 1 else ""
-        key = _hashes(arr(h + c))[0]
-        i = np.searchsorted(model.keys[k], key)
-        if i < len(model.keys[k]) and model.keys[k][i] == key:
-            return out + model.logp[k][i]
-        ctx = _hashes(arr(h))[0] if h else np.uint64(0)
-        j = np.searchsorted(model.contexts[k], ctx)
-        if j < len(model.contexts[k]) and model.contexts[k][j] == ctx:
-            out = out + model.backoff[k][j]
-    return out + np.full(len(model.groups), model.floor)
-
-
 # 5
 
 
@@ -440,35 +406,6 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-# 7
-
-
-def test_quality(spark):
-    rng = random.Random(11)
-    texts = [" ".join("".join(rng.choice(["ka", "lo", "mi", "te"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)) for _ in range(120)]
-    texts += [None, "", "#$ a\n\nb\nb\n b\n|<>", "x y z v w " * 30, "é\u00a0ü " * 12, "qzxj wvbk " + " ".join(f"{a}{b}xqzj" for a in "qwxzj" for b in "bdfgh") * 2, texts[0]]
-    langs = ["en"] * 100 + [None] * (len(texts) - 100)
-    got = {r["doc_id"]: r for r in quality.judge(docs_of(spark, texts, langs)).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        w = [x for x in re.split(r"[ \t\n\v\f\r]+", t or "") if x]
-        win = defaultdict(list)
-        for j in range(len(w) - 4):
-            win[tuple(w[j : j + 5])].append(j)
-        rep = {j + k for js in win.values() if len(js) > 1 for j in js for k in range(5)}
-        lines, dup = set(), 0
-        for line in (t or "").split("\n"):
-            if re.search(r"[^ \t\n\v\f\r]", line):
-                dup += line in lines
-                lines.add(line)
-        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(rep))
-        r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, t
-        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r["base_failed"] and r["kept"])
-    assert sum(got[i]["kept"] for i in range(120)) >= 118 and not got[125]["kept"]
-    assert quality.judge(docs_of(spark, texts).limit(0)).count() == 0
-
-
 # 8
 
 
