@@ -184,7 +184,7 @@ def count(rows: DataFrame, units_of: Callable, order: int) -> DataFrame:
 
 
 def model_rows(counts: DataFrame, order: int) -> tuple[DataFrame, float]:
-    """len, gram, grp, logp (null for what is a context only), backoff (null for what is none): one row for each
+    """len, grp, gram, logp (null for what is a context only), backoff (null for what is none): one row for each
     n-gram of counts(grp, gram, n) and of its lower orders, and for each empty context; and the floor, the log-probability of
     a character without any evidence."""
     own = saved(counts, "gram-counts")
@@ -217,47 +217,43 @@ def model_rows(counts: DataFrame, order: int) -> tuple[DataFrame, float]:
         kinds = lower.select(F.lit(k).alias("len"), "grp", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
         weights = contexts.select(F.lit(k - 1).alias("len"), "grp", F.col("h").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("backoff"))
         out = kinds.unionByName(weights) if out is None else out.unionByName(kinds).unionByName(weights)
-    out = out.groupBy("len", "grp", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-    return saved(_hashed(out), "gram-rows"), floor
+    return out.groupBy("len", "grp", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), floor
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """len, key, grp, logp, backoff of rows whose n-grams are strings; key is the hash of the n-gram alone."""
+def _hashed(rows: DataFrame, groups: list[str], own: bool) -> DataFrame:
+    """len, key, g, logp, backoff of rows whose n-grams are strings; key is the hash of the n-gram, with its group's if own."""
+    at, names = {g: i for i, g in enumerate(groups)}, np.array([_name(g) for g in groups], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, grams = b.column(0).to_numpy(), b.column(2).to_pylist()
+            g = np.fromiter((at[x] for x in b.column(1).to_pylist()), np.int32, len(size))
             key = np.zeros(len(size), np.uint64)
             for k in np.unique(size).tolist():
                 here = np.flatnonzero(size == k)
                 if k:
                     key[here] = hashes_of([grams[i] for i in here.tolist()], k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), *(b.column(i) for i in (1, 3, 4))], names=["len", "key", "grp", "logp", "backoff"])
+            if own:
+                key = joint(key, names[g])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array(g), *(b.column(i).cast(pa.float32()) for i in (3, 4))], names=["len", "key", "g", "logp", "backoff"])
 
-    return rows.select("len", "grp", "gram", "logp", "backoff").mapInArrow(run, "len int, key long, grp string, logp double, backoff double")
+    return rows.select("len", "grp", "gram", "logp", "backoff").mapInArrow(run, "len int, key long, g int, logp float, backoff float")
 
 
 class Model:
-    """For each length the sorted hashes of the n-grams, the first entry of each, and entries (group, logp, backoff), of
-    which what is missing is NaN."""
-
-    def __init__(self, size: np.ndarray, key: np.ndarray, grp: list[str], logp: np.ndarray, backoff: np.ndarray, order: int, floor: float, groups: list[str] | None = None):
-        self.order, self.floor = order, floor
-        self.groups = sorted(set(grp)) if groups is None else groups
-        at = {g: i for i, g in enumerate(self.groups)}
-        grp = np.fromiter((at[g] for g in grp), np.int32, len(grp))
-        self.tables = []
+    """For each length the sorted hashes of the n-grams with logp and backoff, of which what is missing is NaN. If own, the
+    group is in the hash; else each hash has an entry for each group that has it."""
+
+    def __init__(self, rows: pa.Table, groups: list[str], order: int, floor: float, own: bool):
+        self.order, self.floor, self.groups, self.own = order, floor, groups, own
+        size, key, g, logp, backoff = (rows.column(c).to_numpy() for c in ("len", "key", "g", "logp", "backoff"))
         key = key.view(np.uint64)
+        self.tables = []
         for k in range(order + 1):
             here = np.flatnonzero(size == k)
-            here = here[np.lexsort((grp[here], key[here]))]
-            keys, first = np.unique(key[here], return_index=True)
-            self.tables.append((keys, np.append(first, len(here)), grp[here], logp[here].astype(np.float32), backoff[here].astype(np.float32)))
-        self.names = np.array([_name(g) for g in self.groups], np.uint64)
-        self.own: list | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"own": None}
+            here = here[np.argsort(key[here])] if own else here[np.lexsort((g[here], key[here]))]
+            keys, first = (key[here], None) if own else np.unique(key[here], return_index=True)
+            self.tables.append((keys, None if own else np.append(first, len(here)), None if own else g[here], logp[here], backoff[here]))
 
     @staticmethod
     def _find(table, keys: np.ndarray) -> np.ndarray:
@@ -312,12 +308,6 @@ class Model:
 
     def under(self, units: list[str], groups: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each unit under its own group, and its number of predicted characters."""
-        if self.own is None:  # hashes with the group in them
-            self.own = []
-            for keys, first, grp, logp, backoff in self.tables:
-                key = joint(np.repeat(keys, np.diff(first)), self.names[grp])
-                order = np.argsort(key)
-                self.own.append((key[order], logp[order], backoff[order]))
         out = np.zeros(len(units))
         size = np.fromiter(map(len, units), np.int64, len(units)) + 1
         if not units:
@@ -333,13 +323,13 @@ class Model:
             for k in range(self.order, 0, -1):
                 fit = deep[todo] >= k - 1
                 mine = todo[fit]
-                keys, logp, _ = self.own[k]
+                keys, _, _, logp, _ = self.tables[k]
                 found = self._find(keys, joint(h[k][mine], who[mine]))
                 value = np.where(found >= 0, logp[found], np.nan) if len(logp) else np.full(len(mine), np.nan)
                 hit = ~np.isnan(value)
                 lp[mine[hit]] += value[hit]
                 mine = mine[~hit]
-                keys, _, backoff = self.own[k - 1]
+                keys, _, _, _, backoff = self.tables[k - 1]
                 found = self._find(keys, joint(h[k - 1][mine - 1] if k > 1 else np.zeros(len(mine), np.uint64), who[mine]))
                 value = np.where(found >= 0, backoff[found], np.nan) if len(backoff) else np.full(len(mine), np.nan)
                 lp[mine] += np.nan_to_num(value)
@@ -351,29 +341,26 @@ class Model:
         return out, size
 
 
-def _gathered(rows: DataFrame, order: int, floor: float) -> Model:
-    got = rows.toArrow() if hasattr(rows, "toArrow") else pa.Table.from_pandas(rows.toPandas())
-    size, key, logp, backoff = (got.column(c).to_numpy(zero_copy_only=False) for c in ("len", "key", "logp", "backoff"))
-    return Model(size, key, got.column("grp").to_pylist(), logp.astype(float), backoff.astype(float), order, floor)
-
-
 class Fitted:
     """What fit() gives: the rows of the model in Spark, and the model itself where it is small enough."""
 
-    def __init__(self, rows: DataFrame, order: int, floor: float, max_rows: int):
-        self.rows, self.order, self.floor = rows, order, floor
-        self.groups = sorted(r["grp"] for r in rows.select("grp").distinct().collect())  # one row for each language
-        self.model = _gathered(rows, order, floor) if rows.count() <= max_rows else None
+    def __init__(self, rows: DataFrame, groups: list[str], order: int, floor: float, own: bool, max_rows: int):
+        self.rows, self.groups, self.order, self.floor, self.own = rows, groups, order, floor, own
+        self.model = self.of(rows.toArrow()) if rows.count() <= max_rows else None
+
+    def of(self, rows: pa.Table) -> Model:
+        return Model(rows, self.groups, self.order, self.floor, self.own)
 
 
-def fit(rows: DataFrame, units_of: Callable, order: int = 4, max_rows: int = 6_000_000) -> Fitted | None:
+def fit(rows: DataFrame, units_of: Callable, order: int = 4, max_rows: int = 6_000_000, own: bool = False) -> Fitted | None:
     """The model of rows(grp, text), all of which are counted; None if they hold no characters. max_rows bounds what is
-    broadcast (16 bytes a row), not the model."""
+    gathered and broadcast (20 bytes a row), not the model. own: units will be scored under one group each."""
     counts = saved(count(rows, units_of, order), "gram-totals")
-    if counts.isEmpty():
+    groups = sorted(r["grp"] for r in counts.select("grp").distinct().collect())  # a row for each language
+    if not groups:
         return None
     made, floor = model_rows(counts, order)
-    return Fitted(made, order, floor, max_rows)
+    return Fitted(saved(_hashed(made, groups, own), "gram-rows"), groups, order, floor, own, max_rows)
 
 
 def scored(docs: DataFrame, fitted: Fitted, units_of: Callable, score: Callable, schema: str, chunk_chars: int = 16_000_000) -> DataFrame:
@@ -382,7 +369,7 @@ def scored(docs: DataFrame, fitted: Fitted, units_of: Callable, score: Callable,
     if fitted.model is not None:
         shared = docs.sparkSession.sparkContext.broadcast(fitted.model)  # at most max_rows rows
         return docs.mapInArrow(lambda batches: score(shared.value, batches), schema)
-    order, floor, groups, names = fitted.order, fitted.floor, fitted.groups, docs.columns
+    order, floor, groups, own, names = fitted.order, fitted.floor, fitted.groups, fitted.own, docs.columns
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     chunks = max(1, -(-total // chunk_chars))
     rows = docs.withColumn("chunk", F.pmod(F.xxhash64(*names), F.lit(chunks)))
@@ -391,25 +378,27 @@ def scored(docs: DataFrame, fitted: Fitted, units_of: Callable, score: Callable,
         for batch in batches:
             for b in pieces(batch, 500):
                 by = defaultdict(list)
-                for c, u in zip(b.column(0).to_pylist(), units_of(b.column(1)), strict=True):
-                    by[c] += [u] if isinstance(u, str) else list(set(u))
-                for c, units in by.items():
+                for c, g, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), units_of(b.column(2)), strict=True):
+                    by[c, g if own else None] += [u] if isinstance(u, str) else list(set(u))
+                for (c, g), units in by.items():
                     points, depth = laid_out(units)
                     for part, deep, new, _ in windows(points, depth, order):
-                        h = rolled(part, order)
+                        h, a = rolled(part, order), max(0, new - 1)
                         for k in range(order + 1):
-                            key = np.unique(h[k][max(0, new - 1) :][deep[max(0, new - 1) :] >= k - 1])
+                            key = np.unique(h[k][a:][deep[a:] >= k - 1])
+                            key = joint(key, np.full(len(key), _name(g), np.uint64)) if own else key
                             if len(key):
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64))], names=["chunk", "len", "key"])
 
-    need = rows.select("chunk", "text").mapInArrow(needed, "chunk long, len int, key long").distinct()
-    shipped = need.join(fitted.rows, ["len", "key"]).select("chunk", F.struct("len", "key", F.col("grp").alias("name"), "logp", "backoff").alias("row"))
+    need = rows.select("chunk", "grp", "text").mapInArrow(needed, "chunk long, len int, key long").distinct()
+    shipped = need.join(fitted.rows, ["len", "key"]).select("chunk", F.struct("len", "key", "g", "logp", "backoff").alias("row"))
     both = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast(shipped.schema["row"].dataType).alias("row"), F.struct(*names).alias("doc"))
     both = both.unionByName(shipped.select("chunk", F.lit(0).alias("kind"), "row", F.lit(None).cast(both.schema["doc"].dataType).alias("doc")))
     both = both.repartition(int(min(chunks, 20_000)), "chunk").sortWithinPartitions("chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, entries, model = None, [], None
+        empty = pa.schema([("len", pa.int32()), ("key", pa.int64()), ("g", pa.int32()), ("logp", pa.float32()), ("backoff", pa.float32())]).empty_table()
         for batch in batches:
             chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edge = np.flatnonzero(np.diff(chunk) | np.diff(kind)) + 1
@@ -417,16 +406,10 @@ def scored(docs: DataFrame, fitted: Fitted, units_of: Callable, score: Callable,
                 if chunk[i] != now:
                     now, entries, model = chunk[i], [], None
                 if kind[i] == 0:
-                    entries.append(pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(2).slice(i, j - i))]))
+                    entries.append(pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(2).slice(i, j - i))]).cast(empty.schema))
                     continue
                 if model is None:
-                    if entries:
-                        got = pa.concat_tables(entries)
-                        size, key, logp, backoff = (got.column(c).to_numpy(zero_copy_only=False) for c in ("len", "key", "logp", "backoff"))
-                        model = Model(size, key, got.column("name").to_pylist(), logp.astype(float), backoff.astype(float), order, floor, groups)
-                    else:
-                        none = np.zeros(0)
-                        model = Model(none, none.astype(np.int64), [], none, none, order, floor, groups)
+                    model = Model(pa.concat_tables([empty, *entries]), groups, order, floor, own)
                 yield from score(model, iter([pa.RecordBatch.from_struct_array(batch.column(3).slice(i, j - i))]))
 
     return both.mapInArrow(run, schema)

@@ -127,7 +127,7 @@ def measure(docs: DataFrame, order: int = 5, max_rows: int = 6_000_000, chunk_ch
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string")
     fold = F.pmod(F.xxhash64(text), F.lit(2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"), fold.alias("fold"))
-    fitted = charlm.fit(rows.select(F.concat("lang", F.lit("/"), F.col("fold").cast("string")).alias("grp"), "text"), joined, order, max_rows)
+    fitted = charlm.fit(rows.select(F.concat("lang", F.lit("/"), F.col("fold").cast("string")).alias("grp"), "text"), joined, order, max_rows, own=True)
     asked = rows.select("doc_id", "lang", F.concat("lang", F.lit("/"), (1 - F.col("fold")).cast("string")).alias("grp"), "text")
     if fitted is None:
         return asked.mapInArrow(lambda batches: _measure(None, batches), _SCHEMA)

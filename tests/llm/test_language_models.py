@@ -55,7 +55,8 @@ def test_models_follow_the_definition(spark, monkeypatch):
     docs = [("g", rng.choice(["ab c", "abca b", "cab", "b a", "", "aab bb c"]) + " " + "".join(rng.choice("abc d") for _ in range(rng.randrange(30)))) for _ in range(25)]
     docs = [(g, " ".join(t.split())) for g, t in docs] + [("h", "xy z")] * 3
     order = 3
-    fitted = charlm.fit(spark.createDataFrame(docs, "grp string, text string"), quality.joined, order)
+    df = spark.createDataFrame(docs, "grp string, text string")
+    fitted, each = (charlm.fit(df, quality.joined, order, own=own) for own in (False, True))
     alphabet = round(math.exp(-fitted.floor))
     plain = {g: plain_model([t for x, t in docs if x == g], order, alphabet) for g in "gh"}
 
@@ -67,7 +68,7 @@ def test_models_follow_the_definition(spark, monkeypatch):
     for window in (1 << 20, 7):  # long units are read in stretches
         monkeypatch.setattr(charlm, "WINDOW", window)
         for g in "gh":
-            got, n = fitted.model.under(asked, [g] * len(asked))
+            got, n = each.model.under(asked, [g] * len(asked))
             assert np.allclose(got, [total(g, u) for u in asked], atol=1e-4) and n.tolist() == [len(u) + 1 for u in asked]
         assert np.allclose(fitted.model.every(asked)[0], [[total(g, u) for g in fitted.groups] for u in asked], atol=1e-4)
     known = sorted({c for _, t in docs for c in f"{t} "})
