@@ -114,10 +114,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(4)
     texts = [words(rng, rng.randrange(0, 900), ["the", "häuser", "and", "we're", "  two", "line\n", "\n\n", "<|endoftext|>", "數據", "1234", "e\u0301"]) for _ in range(60)]
-    texts += [None, "", "a" * 5000, texts[0], " \n "]
+    texts += [None, "", "a" * 5000, texts[0], " \n ", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>'s", "\u0558x \ua7ce's" * 3, "  x\u3000\u00a0y\r\n\r\n z " + "wörter" * 50]
     docs = docs_of(spark, texts)
     rows = packing.pack_documents(docs).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -388,6 +387,39 @@ def test_simhash_links_in_hot_keys(spark):
         assert len(set(zip(names, want, strict=True))) == len(set(names)) == len(set(want))
 
 
+def test_simhash_hot_key_beside_a_hotter_one(spark):
+    """60 nodes under one key of 32 bits and 20,000 under one that differs in a bit: groups stay bounded."""
+    rng = np.random.default_rng(10)
+    low = int(rng.integers(0, 2**32)) & ~(1 << 20)
+    few = {(int(x) << 32) | low for x in rng.integers(0, 2**31, 60)}
+    many = {(int(x) << 32) | low | 1 << 20 for x in rng.integers(0, 2**31, 20_000)}
+    many |= {f ^ (1 << 20) ^ (1 << 40) for f in list(few)[:20]} | {f ^ (1 << 20) for f in list(few)[20:25]}
+    nodes = spark.createDataFrame([(f,) for f in few | many], "fp long")
+    seen = []
+
+    def watch(held, asked, direct, block, real=simhash.hot_blocks):
+        out = real(held, asked, direct, block)
+        seen.append(out.groupBy("key", "x", "y").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+        return out
+
+    from unittest import mock
+
+    for direct, block in ((48, 2048), (4, 16)):
+        with mock.patch.object(simhash, "hot_blocks", watch):
+            found = {r["node"]: r["component"] for r in components.components(simhash.links(nodes, 3, direct, block)).collect()}
+        for f in list(few)[:20]:
+            assert found[f] == found[f ^ (1 << 20) ^ (1 << 40)]
+        for f in list(few)[20:25]:
+            assert found[f] == found[f ^ (1 << 20)]
+        assert seen[-1] < 3 * block  # blocks are dealt by hash
+        pairs = {(r["u"], r["v"]) for r in simhash.links(nodes, 3, direct, block).collect()}
+        assert all((u ^ v).bit_count() <= 3 for u, v in pairs)
+    every = sorted(few | many)
+    f = np.array(every, np.uint64)
+    near = {(u, int(v)) for u in every[:400] for v in f[np.bitwise_count(f ^ np.uint64(u)) <= 3] if u < v}
+    assert all(found[u] == found[v] for u, v in near)
+
+
 def test_components(spark):
     rng = random.Random(10)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2001 + i) for i in range(100)] + [(5, 5)]
