@@ -3,12 +3,14 @@
 Labels are of documents, so token labels are induced: within toxic training documents, a word is toxic if the
 word or one of its beginnings is many times as frequent in toxic documents as in clean ones. A field with two
 states is trained on windows around such words and on windows of clean documents; its features are the word,
-its beginnings and its end. Forward-backward marginals of every token of a whole text are computed in chains
-of CHAIN tokens, many at once; the largest marginal log-odds and the expected number of toxic tokens go into
+its beginnings and its end. Forward-backward marginals of every token are those of the whole text as one chain:
+stretches of CHAIN tokens are passed through at once, and what enters each comes from the products of the steps of
+those before or behind it. The largest marginal log-odds and the expected number of toxic tokens go into
 a logistic score, fitted on the same documents. Tokens at one half or more give the offending offsets.
 
 Training takes at most `max_docs` documents of each label, the least by hash of doc_id among those of up to
-`max_chars` characters, so the model's size is bounded. Scoring covers every whole text.
+`max_chars` characters, one text for each doc_id, and of each at most `toxic_windows` or `clean_windows` windows, drawn at
+random: documented bounds on labelled rows, so the model's size is bounded. Scoring covers every whole text.
 
 Defined cases: null or empty text has no tokens and gets the score of that; labels that are null are ignored,
 of several for a document the largest counts; without labels of both kinds every score is the share of toxic
@@ -30,6 +32,8 @@ from .common import pieces, table, texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 CHAIN, PAD = 64, -30.0
+#: toxic documents that a telling feature must be in
+LEAST = 3
 
 
 def features(word: str) -> list[str]:
@@ -49,6 +53,47 @@ def odds(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f, b
 
 
+def _through(steps: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """Odds that enter each stretch, given the steps within stretches as maps of odds, (a x + b) / (c x + d), and the
+    place of each stretch in its text; 1 enters the first."""
+    a, b, c, d = (x.copy() for x in steps[0])
+    for a2, b2, c2, d2 in steps[1:]:
+        a, b, c, d = a2 * a + b2 * c, a2 * b + b2 * d, c2 * a + d2 * c, c2 * b + d2 * d
+        most = np.maximum(np.maximum(a, b), np.maximum(c, d))
+        a, b, c, d = a / most, b / most, c / most, d / most
+    into = np.ones(len(place))
+    order = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place))
+    for k in range(1, len(ends)):
+        here = order[ends[k - 1] : ends[k]]
+        x = into[here - 1]
+        into[here] = (a[here - 1] * x + b[here - 1]) / (c[here - 1] * x + d[here - 1])
+    return into
+
+
+def whole_odds(e: np.ndarray, t: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """odds() of whole texts that lie in stretches, one row each, of `size` tokens: the place-th of their text, in order."""
+    n, width = e.shape
+    first, full = place == 0, size[:, None] > np.arange(width)
+    none, one = np.zeros(n), np.ones(n)
+    f, b = np.empty_like(e), np.empty_like(e)
+    forward = [(np.where(first & (i == 0), 0, e[:, i] * t[1, 1]), np.where(first & (i == 0), e[:, i], e[:, i] * t[0, 1]), np.where(first & (i == 0), 0, t[1, 0]), np.where(first & (i == 0), 1, t[0, 0])) for i in range(width)]
+    x = _through(forward, place)
+    for i, (p, q, r, s) in enumerate(forward):
+        x = f[:, i] = (p * x + q) / (r * x + s)
+    # b of a token from b of the next: 1 at a text's end; steps from the last stretch to the first, from its last token on
+    last = np.append(first[1:], True)
+    ahead = [np.where(last, none, e[np.minimum(np.arange(n) + 1, n - 1), 0])] + [e[:, i + 1] for i in range(width - 2, -1, -1)]
+    end = [last] + [~full[:, i + 1] & last for i in range(width - 2, -1, -1)]
+    backward = [(np.where(z, none, y * t[1, 1]), np.where(z, one, t[1, 0]), np.where(z, none, y * t[0, 1]), np.where(z, one, t[0, 0])) for y, z in zip(ahead, end, strict=True)]
+    count = np.bincount(np.cumsum(first) - 1)
+    behind = np.repeat(count, count) - 1 - place
+    x = _through([tuple(m[::-1] for m in step) for step in backward], behind[::-1])[::-1]
+    for i, (p, q, r, s) in zip(range(width - 1, -1, -1), backward, strict=True):
+        x = b[:, i] = (p * x + q) / (r * x + s)
+    return f, b
+
+
 class Field:
     """Weights of features, transitions (logs), and the logistic score over them."""
 
@@ -70,17 +115,21 @@ class Field:
 
     def marginals(self, docs: list[list[str]]) -> list[np.ndarray]:
         """Log-odds that each token is toxic."""
-        sizes = [-(-len(d) // CHAIN) for d in docs]
-        e = np.full((sum(sizes), CHAIN), PAD)
+        rows = np.array([-(-len(d) // CHAIN) for d in docs], np.int64)
+        e = np.full((rows.sum(), CHAIN), PAD)
         flat, at = e.reshape(-1), 0
         emission = self.emission
-        for d, n in zip(docs, sizes, strict=True):
+        for d, n in zip(docs, rows.tolist(), strict=True):
             flat[at : at + len(d)] = np.fromiter(map(emission, d), float, len(d))
             at += n * CHAIN
-        f, b = odds(np.exp(e), np.exp(self.transitions))
+        if not len(e):
+            return [np.zeros(0) for _ in docs]
+        place = np.arange(len(e)) - np.repeat(np.cumsum(rows) - rows, rows)
+        size = np.minimum(np.repeat(np.array(list(map(len, docs))), rows) - place * CHAIN, CHAIN)
+        f, b = whole_odds(np.exp(e), np.exp(self.transitions), size, place)
         z = np.log(np.maximum(f * b, 1e-30)).reshape(-1)
         out, at = [], 0
-        for d, n in zip(docs, sizes, strict=True):
+        for d, n in zip(docs, rows.tolist(), strict=True):
             out.append(z[at : at + len(d)])
             at += n * CHAIN
         return out
@@ -112,7 +161,7 @@ def induce(docs: list[tuple[list[str], int]], ratio: float = 20.0) -> set[str]:
         n[y] += 1
         df[y].update({f for w in kinds for f in features(w) if f[0] != "e"})
     clean, toxic = df
-    return {f for f, k in toxic.items() if k >= 3 and k / max(1, n[1]) >= ratio * (clean[f] + 0.5) / max(1, n[0])}
+    return {f for f, k in toxic.items() if k >= LEAST and k / max(1, n[1]) >= ratio * (clean[f] + 0.5) / max(1, n[0])}
 
 
 def hash_word(w: str) -> int:
@@ -121,7 +170,7 @@ def hash_word(w: str) -> int:
     return xxh64_intdigest(w)
 
 
-def fit(docs: list[tuple[str, int]], window: int = 16, steps: int = 60, l2: float = 1e-4, seed: int = 7) -> Field:
+def fit(docs: list[tuple[str, int]], window: int = 16, toxic_windows: int = 6, clean_windows: int = 2, steps: int = 60, l2: float = 1e-4, seed: int = 7) -> Field:
     """docs: (text, 0 or 1)."""
     n1 = sum(y for _, y in docs)
     if not n1 or n1 == len(docs):
@@ -135,11 +184,11 @@ def fit(docs: list[tuple[str, int]], window: int = 16, steps: int = 60, l2: floa
             continue
         if y:
             tag = [int(any(f in telling for f in features(w))) for w in words]
-            for i in [i for i, t in enumerate(tag) if t][:6]:
+            for i in rng.permutation(np.flatnonzero(tag))[:toxic_windows].tolist():
                 a = max(0, i - int(rng.integers(window)))
                 rows.append((words[a : a + window], tag[a : a + window]))
         else:
-            for a in rng.integers(0, max(1, len(words) - window), 2):
+            for a in rng.integers(0, max(1, len(words) - window), clean_windows):
                 rows.append((words[a : a + window], [0] * len(words[a : a + window])))
     if not rows:
         return Field({}, PAD, np.zeros((2, 2)), None, n1 / len(docs))
@@ -197,12 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: i
     for y in (1, 0):
         ids = known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         found = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")  # at most max_docs ids
-        rows += [(r["text"], y, r["doc_id"]) for r in found.filter((F.length("text") > 0) & (F.length("text") <= max_chars)).collect()]
+        found = found.filter((F.length("text") > 0) & (F.length("text") <= max_chars)).groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows += [(r["text"], y, r["doc_id"]) for r in found.collect()]  # at most max_docs
     rows.sort(key=lambda r: (r[2], r[0]))
     return fit([(t, y) for t, y, _ in rows])
 
 
-def _score(model, with_spans: bool):
+def _score(model):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +278,7 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
     """doc_id, key, score, spans (code points of offending tokens) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(shared, True), "doc_id long, key long, score double, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(_score(shared), "doc_id long, key long, score double, spans array<struct<start:int,end:int>>")
 
 
 def reject(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
