@@ -6,9 +6,11 @@ first two segments of such a chain are a join key of 32 bits: one side looks it
 zero bit of the second segment set, so every pair within the budget meets. The chain of three is checked next
 and prunes candidates before the full count of differing bits.
 
-Documents with equal fingerprints are one node. A key that many nodes share is not joined: its nodes are
-dealt into blocks, and each pair of blocks, bounded in size, returns a spanning forest of its links, so no
-group emits all its pairs and no task holds an unbounded group. Links go to components().
+Documents with equal fingerprints are one node. A key that many nodes share is split by one of the other two
+segments, of which one differs in at most a bit, so that 48 bits are known. If many nodes share those too, both
+sides, those that are looked up and those that look, are dealt into blocks, and each pair of blocks, bounded in size,
+returns a spanning forest of its links: no group emits all its pairs, and no task holds an unbounded group.
+Links go to components().
 
 The pipeline's stage (cluster_words, keep_one) takes such pairs as candidates only: each link is verified by the
 exact Jaccard similarity of the texts' five-word shingles before it goes to components().
@@ -21,6 +23,7 @@ rows of one group; extra columns are ignored by cluster and kept by keep_one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -158,9 +161,9 @@ def links(nodes: DataFrame, distance: int = 3, direct: int = 48, block: int = 20
 
     index = keyed(F.array(*(F.struct(F.lit(i).alias("i"), _keys(F.col("fp"), i, _segment(F.col("fp"), i + 1)).alias("key")) for i in range(SEGMENTS))))
     probes = keyed(F.flatten(F.array(*(_flipped(F.col("fp"), i) for i in range(SEGMENTS)))))
-    # a probe meets index rows, index rows meet each other
+    # a probe meets index rows, index rows meet each other; each row that asks meets at most `direct`
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-    hot = saved(sizes.filter(F.col("n") > direct).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "hot-keys")
+    hot = saved(sizes.filter(F.col("n") > direct).select("key"), "hot-keys")
     some_hot = not hot.isEmpty()
 
     def near(rows: DataFrame) -> DataFrame:
@@ -175,38 +178,72 @@ def links(nodes: DataFrame, distance: int = 3, direct: int = 48, block: int = 20
     asked = cold(index.withColumn("own", F.lit(True)).unionByName(probes.withColumn("own", F.lit(False)))).select("key", "own", F.col("fp").alias("a"))
     out = near(held.join(asked, "key").filter(~F.col("own") | (F.col("a") < F.col("b"))))
     if some_hot:
-        out = out.unionByName(_hot_links(index, probes, hot, distance))
+        held, asked = _split_hot(index, probes, hot)
+        small = held.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") <= direct).select("key")
+        out = out.unionByName(near(held.withColumnRenamed("fp", "b").join(small, "key").join(asked.select("key", F.col("fp").alias("a")), "key").filter("a <> b")))
+        out = out.unionByName(_block_links(hot_blocks(held, asked, direct, block), distance))
     out = out.distinct()
     return out if tagged else out.select("u", "v")
 
 
-def _hot_links(index: DataFrame, probes: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
-    """Every pair of blocks of a hot key's nodes in a group of its own."""
-    rows = index.select("key", "tag", "fp").unionByName(probes.select("key", "tag", "fp")).join(hot, "key")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "tag", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
+def _split_hot(index: DataFrame, probes: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys, those that are looked up and those that look, under keys of 48 bits: hashes of the key and
+    the value of one of the last two segments of the ring, as it is and, for those that look, with any bit turned."""
 
+    def parts(rows: DataFrame, turned: bool) -> DataFrame:
+        keys = []
+        for j in (2, 3):
+            value = F.expr(f"shiftrightunsigned(fp, {WIDTH} * ((i + {j}) % {SEGMENTS})) & {(1 << WIDTH) - 1}")
+            values = F.array(value, *(value.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(WIDTH))) if turned else F.array(value)
+            keys.append(F.transform(values, partial(_named, j)))
+        return rows.join(hot, "key").select("tag", "i", "fp", F.explode(F.concat(*keys)).alias("key"))
+
+    held = saved(parts(index, False), "hot-held")
+    asked = parts(index.unionByName(probes), True).join(held.select("key").distinct(), "key", "left_semi").distinct()
+    return held, saved(asked, "hot-asked")
+
+
+def _named(j: int, value: Column) -> Column:
+    return F.xxhash64(F.col("key"), F.lit(j), value)
+
+
+def hot_blocks(held: DataFrame, asked: DataFrame, direct: int, block: int) -> DataFrame:
+    """key, tag, x, y, held, fp: the nodes of each key that more than `direct` held rows have, in pairs (x, y) of blocks of
+    about `block` rows that are held and as many that ask."""
+    some = held.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > direct)
+    some = some.join(asked.groupBy("key").agg(F.count("*").alias("m")), "key")
+    some = saved(some.select("key", F.ceil(F.col("n") / block).cast("int").alias("xs"), F.ceil(F.col("m") / block).cast("int").alias("ys")), "hot-blocks")
+
+    def dealt(rows: DataFrame, own: str, other: str, names: tuple[str, str], flag: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("fp"), F.col(own).cast("long")).cast("int")
+        return rows.join(some, "key").select("key", "tag", F.lit(flag).alias("held"), "fp", mine.alias(names[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
+
+    return dealt(held, "xs", "ys", ("x", "y"), True).unionByName(dealt(asked, "ys", "xs", ("y", "x"), False))
+
+
+def _block_links(rows: DataFrame, distance: int) -> DataFrame:
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = spanning(np.unique(pdf["fp"].to_numpy()), distance)
+        held = pdf["held"].to_numpy()
+        out = spanning(np.unique(pdf["fp"].to_numpy()[held]), np.unique(pdf["fp"].to_numpy()[~held]), distance)
         return pd.DataFrame({"tag": [int(pdf["tag"].iloc[0])] * len(out), "u": [p[0] for p in out], "v": [p[1] for p in out]}, dtype="int64")
 
     return rows.groupBy("key", "x", "y").applyInPandas(forest, "tag int, u long, v long")
 
 
-def spanning(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of fp within the distance: rows that are one tree already are not compared."""
-    n, f = len(fp), fp.view(np.uint64)
-    root = np.arange(n)
+def spanning(held: np.ndarray, asked: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a held and an asking fingerprint within the distance: rows that are one tree
+    already are not compared."""
+    names, place = np.unique(np.concatenate([held, asked]), return_inverse=True)
+    f, root, right = names.view(np.uint64), np.arange(len(names)), np.unique(place[len(held) :])
     out = []
-    for i in range(n):
-        rest = np.flatnonzero(root != root[i])
+    for i in np.unique(place[: len(held)]).tolist():
+        rest = right[root[right] != root[i]]
         if not len(rest):
-            break
+            continue
         near = rest[np.bitwise_count(f[rest] ^ f[i]) <= distance]
         if len(near):
             roots, first = np.unique(root[near], return_index=True)
-            out += [(int(fp[i]), int(fp[near[k]])) for k in first]
+            out += [(int(names[i]), int(names[near[k]])) for k in first]
             root[np.isin(root, roots)] = root[i]
     return out
 
