@@ -352,7 +352,7 @@ class Fitted:
         return Model(rows, self.groups, self.order, self.floor, self.own)
 
 
-def fit(rows: DataFrame, units_of: Callable, order: int = 4, max_rows: int = 6_000_000, own: bool = False) -> Fitted | None:
+def fit(rows: DataFrame, units_of: Callable, order: int = 4, max_rows: int = 2_000_000, own: bool = False) -> Fitted | None:
     """The model of rows(grp, text), all of which are counted; None if they hold no characters. max_rows bounds what is
     gathered and broadcast (20 bytes a row), not the model. own: units will be scored under one group each."""
     counts = saved(count(rows, units_of, order), "gram-totals")

@@ -79,7 +79,7 @@ def _totals(model: charlm.Model, batches: Iterator[pa.RecordBatch]) -> Iterator[
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["grp", "total", "n"])
 
 
-def train(docs: DataFrame, order: int = 4, calibration_docs: int = 2000, calibration_chars: int = 20_000, max_rows: int = 6_000_000, chunk_chars: int = 16_000_000) -> Judge | None:
+def train(docs: DataFrame, order: int = 4, calibration_docs: int = 2000, calibration_chars: int = 20_000, max_rows: int = 2_000_000, chunk_chars: int = 16_000_000) -> Judge | None:
     text = F.col("text").cast("string")
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("grp"), text.alias("text"))
     tenth = F.pmod(F.xxhash64("text"), F.lit(10)) == 0  # copies lie on one side

@@ -122,7 +122,7 @@ def _measure(model: charlm.Model | None, batches: Iterator[pa.RecordBatch]) -> I
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(cols, _OUT, strict=True)], names=[n for n, _ in _OUT])
 
 
-def measure(docs: DataFrame, order: int = 5, max_rows: int = 6_000_000, chunk_chars: int = 16_000_000) -> DataFrame:
+def measure(docs: DataFrame, order: int = 4, max_rows: int = 2_000_000, chunk_chars: int = 16_000_000) -> DataFrame:
     """Base counts and log-perplexity of every row of docs, under a model of the documents of its language's other fold."""
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string")
     fold = F.pmod(F.xxhash64(text), F.lit(2))
@@ -156,7 +156,7 @@ def bands(measured: DataFrame, lean: float = 20.0, step: float = 0.002) -> DataF
     )
 
 
-def judge(docs: DataFrame, order: int = 5, width: float = 3.0, lean: float = 20.0, max_rows: int = 6_000_000, chunk_chars: int = 16_000_000) -> DataFrame:
+def judge(docs: DataFrame, order: int = 4, width: float = 3.0, lean: float = 20.0, max_rows: int = 2_000_000, chunk_chars: int = 16_000_000) -> DataFrame:
     """Base counts, base_failed, logppl, low and high, and kept, for each row of docs."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = saved(measure(docs, order, max_rows, chunk_chars).withColumn("base_failed", failed), "quality")
