@@ -15,8 +15,12 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: what a token is
+TOKEN = r"[A-Za-z0-9.+-]+"
+
+
 def token_list(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(_text(text), F.lit(r"[A-Za-z0-9.+-]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(_text(text), F.lit(TOKEN), F.lit(0)), F.lower)
 
 
 def tokens(text: Column) -> Column:

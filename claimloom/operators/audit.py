@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.spans import any_in
+from ..sources.io import id_manifest
 from .claims import formula_candidate
 
 
@@ -100,8 +104,53 @@ def disagreement(rule_bad: Column, judge_bad: Column, violations: Column, family
     return F.when(rule_bad & ~judge_bad, stricter).when(judge_bad & ~rule_bad, judged).otherwise("other")
 
 
-def source_log(rows: DataFrame, source: str, key: str, parts: int = 256) -> DataFrame:
-    """For each source the number of its ids and the SHA-256 of them, hashed in parts; no source is gathered whole."""
-    ids = rows.select(source, F.col(key).cast("string").alias("id")).distinct().withColumn("part", F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % parts)
-    each = ids.groupBy(source, "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"))
-    return each.groupBy(source).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
+def source_log(rows: DataFrame, source: str, key: str) -> DataFrame:
+    """For each source the number of its ids and the SHA-256 of them; no source is gathered whole."""
+    return id_manifest(rows, key, source).withColumnRenamed("n_ids", "n")
+
+
+def checked_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", complete: bool = False) -> DataFrame:
+    """A join of one row to one: a key that either side has twice fails the query, and so does, if complete, a key that the
+    right side lacks. Sides are grouped by the key that they are joined on, so nothing is shuffled for the check."""
+
+    def single(rows: DataFrame, side: str) -> DataFrame:
+        rest = [c for c in rows.columns if c != key]
+        one = rows.groupBy(key).agg(F.count("*").alias("times"), F.min(F.struct(F.lit(side).alias("side"), *rest)).alias("held"))
+        told = F.raise_error(F.concat(F.lit(f"{side} side has a key more than once: "), F.col(key).cast("string")))
+        return one.select(key, F.when(F.col("times") == 1, F.col("held")).otherwise(told.cast(one.schema["held"].dataType)).alias(side))
+
+    out = single(left, "left").join(single(right, "right"), key, "left" if complete else how)
+    if complete:
+        told = F.raise_error(F.concat(F.lit("right side lacks a key: "), F.col(key).cast("string")))
+        out = out.withColumn("right", F.when(F.col("right").isNotNull(), F.col("right")).otherwise(told.cast(out.schema["right"].dataType)))
+    names = [F.col(key)] + [F.col(f"{side}.{c}").alias(c) for side, rows in (("left", left), ("right", right)) for c in rows.columns if c != key]
+    return out.select(*names)
+
+
+def run_config(spark, folder: str, config: dict) -> None:
+    """Keeps the configuration of a run beside its output; a run that is resumed with another fails."""
+    wanted = json.dumps(config, sort_keys=True)
+    try:
+        known = spark.read.text(folder + "/run_config").first()["value"]
+    except AnalysisException:
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(folder + "/run_config")
+        return
+    if known != wanted:
+        raise ValueError(f"{folder} holds a run with {known}, not with {wanted}; take a new folder")
+
+
+def judge_of(backend: str, cache: DataFrame | None = None, key: str = "cache_key", strict: bool = True):
+    """A function of scored rows that adds judge_violation and judge_backend: `heuristic` takes the rules' word, `cached` a
+    table of replies by key; where that lacks one, strict fails and otherwise the rules' word is taken and named so."""
+    if backend == "heuristic":
+        return lambda rows: rows.withColumns({"judge_violation": F.size("violations") > 0, "judge_backend": F.lit("heuristic")})
+    if backend != "cached" or cache is None:
+        raise ValueError(f"no judge {backend!r}; there are 'heuristic' and 'cached', which takes a table")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        found = rows.join(cache.select(key, F.col("violation").alias("judge_violation")), key, "left")
+        told = F.raise_error(F.concat(F.lit("no cached reply for "), F.col(key))).cast("boolean") if strict else F.size("violations") > 0
+        backend = F.when(F.col("judge_violation").isNotNull(), "cached").otherwise("heuristic")
+        return found.withColumns({"judge_backend": backend, "judge_violation": F.coalesce("judge_violation", told)})
+
+    return judged

@@ -53,18 +53,23 @@ def with_claims(rows: DataFrame, question: str | None = "question", answer: str
     bare = F.when(F.col("_quantity") == "band_gap", _kind(spans(F.col("_a"), L.BARE_EV, 1), "bare_gap")).when(F.col("_quantity") == "formation_energy", _kind(spans(F.col("_a"), L.BARE_EV_PER_ATOM, 1), "bare_energy"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,raw:string,text:string>>")
     text = F.col("_a")
+
+    def gated(word: str, found: Column) -> Column:
+        """No pattern is tried on a text without the word that all of its matches hold. A Kelvin sign lowers to k."""
+        return F.when(F.contains(F.col("_low"), F.lit(word)), found).otherwise(none)
+
     df = df.withColumns({
         "_ends": F.transform(spans(text, L.SENTENCE_END), lambda s: s["start"]),
         "_found": F.concat(
-            _kind(spans(text, L.BAND_GAP, 1), "gap"),
-            _kind(spans(text, L.EV_BAND_GAP, 1), "gap"),
-            _kind(spans(text, L.FORMATION_ENERGY, 1), "energy"),
-            _kind(spans(text, L.KELVIN, 1), "kelvin"),
-            _kind(spans(text, L.PRESSURE, 1), "pressure"),
+            gated("band gap", _kind(spans(text, L.BAND_GAP, 1), "gap")),
+            gated("band gap", _kind(spans(text, L.EV_BAND_GAP, 1), "gap")),
+            gated("formation energy", _kind(spans(text, L.FORMATION_ENERGY, 1), "energy")),
+            gated("k", _kind(spans(text, L.KELVIN, 1), "kelvin")),
+            gated("pa", _kind(spans(text, L.PRESSURE, 1), "pressure")),
             F.filter(_kind(spans(text, L.FORMULA), "formula"), lambda c: formula_candidate(c["raw"])),
-            _kind(spans(text, L.SPACE_GROUP, 1), "space_group"),
-            _kind(_first(spans(F.col("_low"), L.STABLE)), "stable"),
-            _kind(_first(spans(F.col("_low"), L.SUPERCONDUCTS)), "superconducts"),
+            F.when(any_in(F.col("_low"), ("space", "sg")), _kind(spans(text, L.SPACE_GROUP, 1), "space_group")).otherwise(none),
+            gated("stab", _kind(_first(spans(F.col("_low"), L.STABLE)), "stable")),
+            gated("superconduct", _kind(_first(spans(F.col("_low"), L.SUPERCONDUCTS)), "superconducts")),
             F.coalesce(bare, none),
         ),
     })
@@ -80,9 +85,9 @@ def with_claims(rows: DataFrame, question: str | None = "question", answer: str
         s["c"]["kind"].alias("kind"),
         F.when(~s["c"]["kind"].isin("formula", "stable", "superconducts"), s["c"]["text"].try_cast("double")).alias("value"),
         s["c"]["start"].alias("start"), s["c"]["end"].alias("end"), s["c"]["raw"].alias("raw"),
-        (any_in(s["clause"], L.REJECTIONS) | any_in(s["tail"], L.REJECTIONS)).alias("rejected"),
-        any_in(s["sentence"], L.SIGN_CONVENTIONS).alias("sign_convention"),
-        any_in(s["clause"], L.PHASE_QUALIFIERS).alias("phase_qualified"),
+        (any_in(s["clause"], L.REJECTIONS) | ((s["tail"] != "") & any_in(s["tail"], L.REJECTIONS))).alias("rejected"),
+        ((s["c"]["kind"] == "pressure") & any_in(s["sentence"], L.SIGN_CONVENTIONS)).alias("sign_convention"),
+        (s["c"]["kind"].isin("energy", "bare_energy") & any_in(s["clause"], L.PHASE_QUALIFIERS)).alias("phase_qualified"),
         F.when(s["c"]["kind"] == "formula", formula_valid(s["c"]["raw"])).alias("formula_valid"),
         F.when(s["c"]["kind"] == "stable", s["sentence"].rlike(L.OTHER_STABILITY)).alias("other_stability"),
         F.when(s["c"]["kind"] == "superconducts", any_in(F.regexp_replace(s["clause"], L.NO_EVIDENCE, ""), L.SUPERCONDUCTIVITY_EVIDENCE)).alias("evidence"),
@@ -91,8 +96,8 @@ def with_claims(rows: DataFrame, question: str | None = "question", answer: str
     element = F.regexp_extract(F.trim(F.col("_q")), L.QUESTION_ELEMENT, 1)
     found = {
         "claims": claims, "quantity": F.col("_quantity"), "element": F.when(element.isin(*L.ELEMENTS), element),
-        "negates_stability": low.rlike(L.NOT_STABLE), "stability_evidence": any_in(low, L.STABILITY_EVIDENCE),
-        "metal": low.rlike(r"\b(?:metallic|metal)\b"), "insulator": low.rlike(r"\b(?:insulator|insulating)\b"),
+        "negates_stability": any_in(low, ("not", "n't", "unstable")) & low.rlike(L.NOT_STABLE), "stability_evidence": any_in(low, L.STABILITY_EVIDENCE),
+        "metal": F.contains(low, F.lit("metal")) & low.rlike(r"\b(?:metallic|metal)\b"), "insulator": F.contains(low, F.lit("insulat")) & low.rlike(r"\b(?:insulator|insulating)\b"),
         "systems": F.array_compact(F.array(*(F.when(F.contains(low, F.lit(s)), F.lit(s)) for s in L.CRYSTAL_SYSTEMS))),
     }
     return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(IR[k]) for k, v in found.items())))))

@@ -51,14 +51,27 @@ def fractional_rank(keys: list[str], value: str) -> Column:
 
 
 def ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """rows plus the fractional rank of `value` within keys, without a window over a whole group: counts of
-    values are ranked, so a group costs as many rows as it has different values."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn(out, F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    """rows plus the fractional rank of `value` within keys. Counts of values are ranked, so a group costs as many rows as
+    it has different values, and those lie in ranges over all tasks: places within a range, plus the sums of the ranges before."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("times")).repartitionByRange(*keys, value).withColumn("range_id", F.spark_partition_id())
+    sums = counts.groupBy(*keys, "range_id").agg(F.sum("times").alias("all_times"))
+    before = sums.withColumn("before", F.sum("all_times").over(Window.partitionBy(*keys).orderBy("range_id")) - F.col("all_times")).drop("all_times")  # a row for each range
+    inside = F.sum("times").over(Window.partitionBy(*keys, "range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), [*keys, "range_id"])
+    ranked = placed.select(*keys, value, (F.col("before") + F.col("inside") + (F.col("times") + 1) / 2).alias(out))
     return rows.join(ranked, [*keys, value])
 
 
+def quadratic_kappa(rows: DataFrame, a: str, b: str, levels: int) -> DataFrame:
+    """n, exact agreement and quadratically weighted kappa of two ratings from 0 below `levels`, from sums alone."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    known = rows.filter(x.isNotNull() & y.isNotNull() & x.between(0, levels - 1) & y.between(0, levels - 1))
+    n = known.agg(F.count("*").alias("n"), F.avg((x == y).cast("double")).alias("exact"), *(F.avg(v).alias(k) for k, v in (("mx", x), ("my", y), ("mxx", x * x), ("myy", y * y), ("mxy", x * y))))
+    seen = F.col("mxx") + F.col("myy") - 2 * F.col("mxy")
+    chance = F.col("mxx") + F.col("myy") - 2 * F.col("mx") * F.col("my")
+    return n.select("n", "exact", F.when(chance > 0, 1 - seen / chance).alias("kappa"))
+
+
 def set_overlap(members: DataFrame, key: str, name: str) -> DataFrame:
     """Jaccard of every two sets of keys; members: (key, name). Two empty sets are alike."""
     m = members.select(key, name).distinct()

@@ -1,44 +1,59 @@
-"""Cluster bootstrap on sufficient statistics, with draws that any engine can repeat.
+"""Bootstrap on sufficient statistics, with Poisson weights that any engine can repeat.
 
-Rows are reduced to one row of sums for each cluster before anything is drawn; a draw is the first 32 bits of
-md5(rep|slot) modulo the number of clusters. Replicates are grouped sums, their interval an exact percentile.
+Rows are reduced to one row of sums for each cluster before anything is drawn. The weight of a cluster in a replicate is
+Poisson with mean 1, from a hash of both, so clusters are neither numbered nor joined: each task weighs its own clusters
+and adds them up by replicate before the shuffle. A row bootstrap is one in which each row is a cluster.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+#: 2^32 times the chances of at most 0, 1, 2, ... of a Poisson variable of mean 1
+STEPS = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
+#: replicates of a study
+REPS = 5000
+_GOLD, _MIX = 2654435761, 73244475
+
 
 def cluster_id(*names: str) -> Column:
     """The first of the columns that is not blank."""
     return F.coalesce(*(F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names))
 
 
-def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
-    """clusters plus `slot_id` from 0, in the order of their names. One row a cluster, with sums only."""
-    return clusters.withColumn("slot_id", F.row_number().over(Window.orderBy(cluster)) - 1)
+def weighted(rows: DataFrame) -> DataFrame:
+    """rows(hash, rep, ...) plus `weight`; hash: 32 bits of the cluster's. Each step is a column, so none is worked out twice."""
+    rows = rows.withColumn("mixed", (F.col("hash") + F.col("rep") * F.lit(_GOLD)).bitwiseAND(F.lit(2**32 - 1)))
+    for factor in (_MIX, _MIX, 1):
+        x = F.col("mixed")
+        rows = rows.withColumn("mixed", (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(factor)).bitwiseAND(F.lit(2**32 - 1)))
+    x = F.col("mixed")
+    drawn = F.lit(len(STEPS))
+    for k in range(len(STEPS) - 1, -1, -1):  # most are below the first steps
+        drawn = F.when(x < STEPS[k], k).otherwise(drawn)
+    return rows.withColumn("weight", drawn).drop("mixed")
 
 
-def draws(clusters: DataFrame, reps: int) -> DataFrame:
-    """rep and slot_id, as many a replicate as there are clusters."""
-    spark = clusters.sparkSession
-    n = clusters.agg(F.count("*").alias("n"))
-    slots = clusters.select(F.col("slot_id").alias("slot"))
-    grid = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(n), F.lit(True)).join(slots, F.lit(True))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    return grid.select("rep", drawn.cast("int").alias("slot_id"))
+def intervals(rows: DataFrame, cluster: str, sums: dict[str, Column], statistics: dict[str, Column], reps: int = REPS, keys: tuple = (), level: float = 0.95) -> DataFrame:
+    """For each value of the keys and each statistic, an expression over the sums: itself, and with _low and _high the
+    percentile interval over the replicates. Null clusters are left out."""
+    per = rows.filter(F.col(cluster).isNotNull()).groupBy(*keys, cluster).agg(*(c.alias(k) for k, c in sums.items()))
+    drawn = per.withColumn("hash", F.conv(F.substring(F.md5(F.col(cluster).cast("string")), 1, 8), 16, 10).cast("long"))
+    drawn = drawn.select(*keys, *sums, "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
+    drawn = weighted(drawn).filter("weight > 0")
+    again = drawn.groupBy(*keys, "rep").agg(*(F.sum(F.col(k) * F.col("weight")).alias(k) for k in sums)).select(*keys, *(s.alias(n) for n, s in statistics.items()))
+    ends = {"_low": (1 - level) / 2, "_high": (1 + level) / 2}
+    ci = again.groupBy(*keys).agg(*(F.percentile(n, F.lit(q)).alias(n + end) for n in statistics for end, q in ends.items()))
+    point = per.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in sums)).select(*keys, *(s.alias(n) for n, s in statistics.items()))
+    return point.join(ci, list(keys)) if keys else point.join(ci, F.lit(True))  # one row each without keys
 
 
-def interval(rows: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, reps: int = 1000) -> DataFrame:
-    """point, ci_low, ci_high of `statistic`, an expression over the sums."""
-    per = rows.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(*(c.alias(k) for k, c in sums.items()))
-    numbers = numbered(per, cluster)
-    again = draws(numbers, reps).join(numbers, "slot_id").groupBy("rep").agg(*(F.sum(k).alias(k) for k in sums)).select(statistic.alias("v"))
-    ci = again.agg(F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
-    point = per.agg(*(F.sum(k).alias(k) for k in sums)).select(statistic.alias("point"))
-    return point.join(ci, F.lit(True))  # one row each
+def interval(rows: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, reps: int = REPS) -> DataFrame:
+    """point, ci_low, ci_high of one statistic."""
+    return intervals(rows, cluster, sums, {"point": statistic}, reps).select("point", F.col("point_low").alias("ci_low"), F.col("point_high").alias("ci_high"))
 
 
 def kappa_of(tp: str, fp: str, fn: str, tn: str) -> Column:
@@ -46,3 +61,14 @@ def kappa_of(tp: str, fp: str, fn: str, tn: str) -> Column:
     n = a + b + c + d
     chance = ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n)
     return F.when(chance < 1, ((a + d) / n - chance) / (1 - chance))
+
+
+def pearson_sums(x: Column, y: Column) -> dict[str, Column]:
+    return {"n": F.count("*").cast("double"), **{k: F.sum(v.cast("double")) for k, v in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))}}
+
+
+def pearson_of() -> Column:
+    """Over pearson_sums; null for a constant side."""
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
+    return F.when(spread > 0, (n * sxy - sx * sy) / F.sqrt(spread))

@@ -1,4 +1,9 @@
-"""BM25 top-k over a table of postings: only documents that share a term with a query are scored."""
+"""BM25 top-k: only terms that a query has are counted, only documents that share one are scored.
+
+Documents are read twice, for the totals of all and for the terms of the queries. Terms of queries are broadcast
+where they are few, so other words never leave the task that reads them. Spark keeps the best k of a query in
+each task before it shuffles (window group limit).
+"""
 
 from __future__ import annotations
 
@@ -6,25 +11,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.support import token_list
+from ..functions.support import TOKEN, token_list
 
+#: terms of queries, and pairs of query and term, that are broadcast; more are joined by a shuffle
+MOST_TERMS = 500_000
 
-def corpus_stats(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (doc, term, tf, length), document frequencies, and one row of totals."""
-    base = docs.select(doc, token_list(F.col(text)).alias("terms"))
-    lengths = base.select(doc, F.size("terms").alias("length"), "terms")
-    postings = lengths.select(doc, "length", F.explode("terms").alias("term")).groupBy(doc, "term").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    return postings, df, totals
+
+def bounded(rows: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """rows, to be broadcast if they are at most so many."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def postings_of(docs: DataFrame, terms: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, length, term, tf for terms(term) alone."""
+    rows = docs.select(doc, token_list(F.col(text)).alias("tokens")).select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return rows.join(terms, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", formula: str | None = None, k: int = L.BM25["k"], k1: float = L.BM25["k1"], b: float = L.BM25["b"]) -> DataFrame:
     """query, doc, score, rank. Terms that a query repeats count as often. Documents without a score fill up to k
     in the order of doc. With `formula`, a document whose formula the query names gains a fixed boost."""
-    postings, df, totals = corpus_stats(docs, doc, text)
-    wanted = queries.select(query, F.explode(token_list(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    hit = postings.join(wanted, "term").join(df, "term").join(F.broadcast(totals), F.lit(True))
+    wanted = bounded(queries.select(query, F.explode(token_list(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times")))
+    postings = postings_of(docs, bounded(wanted.select("term").distinct()), doc, text)
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN))).alias("avg_length"))
+    hit = postings.join(wanted, "term").join(bounded(df), "term").join(F.broadcast(totals), F.lit(True))  # one row of totals
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)

@@ -58,7 +58,7 @@ def _outside(numbers: tuple):
 
 def score_rows(rows: DataFrame, question: str | None = "question", answer: str = "answer") -> DataFrame:
     """rows plus `violations` and `constraint_score` (1.0 without any, else 0.0)."""
-    df = with_claims(rows, question, answer).withColumn("violations", violations()).drop(*IR.values())
+    df = with_claims(rows.drop(*IR.values()), question, answer).withColumn("violations", violations()).drop(*IR.values())
     return df.withColumn("constraint_score", F.when(F.size("violations") == 0, 1.0).otherwise(0.0))
 
 

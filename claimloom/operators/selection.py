@@ -9,37 +9,64 @@ from ..functions import lexicon as L
 
 
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """One row for each key, the first in the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row for each key, the first in the order: a least struct, which is aggregated before the shuffle, so a key of a
+    third of all rows costs a row a task."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    best = F.min(F.struct(*order, *rest))
+    return rows.groupBy(*keys).agg(best.alias("first_row")).select(*(F.col(c) if c in keys else F.col(f"first_row.{c}").alias(c) for c in rows.columns))
 
 
-def capped(rows: DataFrame, key: str, cap: int, *order) -> DataFrame:
-    """At most `cap` rows for each key, none for a key that is null or 'none'."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.filter(F.col(key).isNotNull() & (F.col(key) != "none")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
+def capped(rows: DataFrame, key: str, cap: int, *order, parts: int = 64) -> DataFrame:
+    """At most `cap` rows for each key, none for a key that is null or 'none'. The first `cap` are taken within parts of a
+    key by hash, then among those, so a large key is spread."""
+    known = rows.filter(F.col(key).isNotNull() & (F.col(key) != "none"))
+    return _least(known, [key], cap, order, parts)
+
+
+def _least(rows: DataFrame, keys: list[str], n: int, order, parts: int) -> DataFrame:
+    """The first n rows of each key in the order, by way of the first n of each part of it."""
+    part, rank = "part_of_key", "rank_in_key"
+    salted = rows.withColumn(part, F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    for w in (Window.partitionBy(*keys, part).orderBy(*order), Window.partitionBy(*keys).orderBy(*order)):
+        salted = salted.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    return salted.drop(part, rank)
 
 
 def hashed(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("||", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def stratified(rows: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42) -> DataFrame:
-    """`each` rows of every stratum by hash, then the least by hash of the rest, up to `total`."""
-    w = Window.partitionBy(stratum).orderBy(hashed(key, seed), key)
-    numbered = rows.withColumn("_n", F.row_number().over(w)).withColumn("_late", (F.col("_n") > each).cast("int"))
-    return numbered.orderBy("_late", hashed(key, seed), key).limit(total).drop("_n", "_late")
+def stratified(rows: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42, parts: int = 64) -> DataFrame:
+    """`each` rows of every stratum by hash, then the least by hash of the rest, up to `total`. The first rows of the
+    strata come from parts of each; what fills up is among the least `total` of all, found without a full sort."""
+    order = (hashed(key, seed), F.col(key))
+    first = _least(rows, [stratum], each, order, parts).withColumn("late", F.lit(0))
+    spare = rows.orderBy(*order).limit(total).join(first.select(key), key, "left_anti").withColumn("late", F.lit(1))
+    return first.unionByName(spare).orderBy("late", *order).limit(total).drop("late")
 
 
 def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(hashed(key, seed), key).limit(n)
 
 
-def mismatched(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """Row i beside row (i + max(3, n / 3)) mod n, by the order of key: a table of n selected rows."""
-    i = rows.select(key).withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows plus their place by the order of key, from 0: places within ranges of the key, plus the counts of those before.
+    Rows with equal keys lie in one range."""
+    ranged = rows.repartitionByRange(key).withColumn("range_id", F.spark_partition_id())
+    inside = Window.partitionBy("range_id").orderBy(key)
+    counts = ranged.groupBy("range_id").agg(F.count("*").alias("n"))
+    before = counts.select("range_id", (F.sum("n").over(Window.orderBy("range_id")) - F.col("n")).alias("before"))  # a row for each range
+    placed = ranged.withColumn(name, F.row_number().over(inside) - 1).join(F.broadcast(before), "range_id")
+    return placed.withColumn(name, F.col(name) + F.col("before")).drop("range_id", "before")
+
+
+def mismatched(rows: DataFrame, key: str) -> DataFrame:
+    """Each row beside the one max(3, n / 3) places on, by the order of key, the last ones beside the first."""
+    n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
+    i = numbered(rows.select(key), key, "i")
+    step = F.greatest(F.lit(3), F.floor(F.col("n") / 3))
     other = i.select(F.col(key).alias("other"), F.col("i").alias("j"))
-    return i.withColumn("j", (F.col("i") + max(3, n // 3)) % n).join(other, "j").select(key, "other")
+    return i.join(n, F.lit(True)).withColumn("j", (F.col("i") + step) % F.col("n")).join(other, "j").select(key, "other")
 
 
 def errors_of(text: list[str], status: str | None = None, scores: list[str] = ()) -> Column:

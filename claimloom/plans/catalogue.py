@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,8 @@ from ..operators import resample as B
 from ..operators import retrieval as R
 from ..operators import rules
 from ..operators import selection as D
-from ..sources import io
+from ..operators import studies
+from ..sources import io, scratch
 from ..streaming import scoring
 from . import render
 
@@ -31,9 +30,8 @@ def r6(c: Column | str) -> Column:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """A narrow input in few files is dealt to all cores before it is blown up; a large one is left alone."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    """A narrow input, a key alone, is dealt out before it is blown up."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +39,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.score_rows(records(spark, sf_dir))
+    """Records with their claims, flags, violations and score, extracted once in a session and read by column from then on."""
+
+    def make() -> DataFrame:
+        df = C.with_claims(records(spark, sf_dir)).withColumn("violations", rules.violations())
+        return df.withColumn("constraint_score", F.when(F.size("violations") == 0, 1.0).otherwise(0.0))
+
+    return scratch.once(spark, "scored", table(spark, sf_dir, "part"), make)
 
 
 def _support(rows: DataFrame, *names: str) -> DataFrame:
@@ -70,7 +74,7 @@ def render_qa_records(spark, sf_dir):
 
 
 def claims_by_kind(spark, sf_dir):
-    return C.claims_long(records(spark, sf_dir), "response_id").groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rejected").alias("n_rejected"))
+    return scored(spark, sf_dir).select("response_id", F.explode(C.IR["claims"]).alias("c")).select("c.kind", "c.rejected").groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rejected").alias("n_rejected"))
 
 
 def rule_scores(spark, sf_dir):
@@ -95,32 +99,18 @@ def chemistry_rules(spark, sf_dir):
 
 
 def strict_rules(spark, sf_dir):
-    rows = C.with_claims(records(spark, sf_dir))
-    return rows.select("response_id", F.array_join(rules.strict_violations(F.col("question")), ";").alias("violations"))
+    return scored(spark, sf_dir).select("response_id", F.array_join(rules.strict_violations(F.col("question")), ";").alias("violations"))
 
 
 def guard_sweep(spark, sf_dir):
     """Nine threshold variants against claims that are extracted once."""
-    values = ", ".join("('" + n + "', " + ", ".join(f"{float({**L.THRESHOLDS, **g}[k])}D" for k in L.THRESHOLDS) + ")" for n, g in L.GUARDS.items())
-    variants = spark.sql(f"SELECT * FROM VALUES {values} AS t(variant, {', '.join(L.THRESHOLDS)})")
-    rows = C.with_claims(records(spark, sf_dir)).drop("question", "answer", "retrieved_context").join(F.broadcast(variants), F.lit(True))  # nine rows
-    found = rows.withColumn("bad", F.size(rules.violations({k: F.col(k) for k in L.THRESHOLDS})) > 0)
-    return found.groupBy("variant").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    return studies.guard_sweep(scored(spark, sf_dir))
 
 
 def rule_ablation(spark, sf_dir):
-    rows = scored(spark, sf_dir).select("violations")
-    of = lambda test: [k for k, v in L.RULES.items() if test(v)]
-    arr = lambda names: F.array(*map(F.lit, names))
-    variants = {
-        "full": F.col("violations"),
-        "level_0": F.array_intersect("violations", arr(of(lambda v: v[0] == "L0"))),
-        "level_1": F.array_intersect("violations", arr(of(lambda v: v[0] == "L1"))),
-        "without_formation_energy": F.array_except("violations", arr(of(lambda v: v[1] == "formation_energy"))),
-        "without_band_gap": F.array_except("violations", arr(of(lambda v: v[1] == "band_gap"))),
-    }
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), (F.size(v) > 0).alias("bad")) for k, v in variants.items()))).alias("x")).select("x.*")
-    return long.groupBy("variant").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    """Eight variants, against the records alone and against a judge."""
+    rows = scored(spark, sf_dir).withColumn("judge", (F.col("part_id") + F.col("template")) % 3 == 0)
+    return studies.ablation(rows, "judge").select("variant", "n", "n_bad", r6("agreement").alias("agreement"), r6("kappa").alias("kappa"))
 
 
 # Support
@@ -153,7 +143,7 @@ def token_overlap_metrics(spark, sf_dir):
 
 def segmented_support(spark, sf_dir):
     rows = turns(spark, sf_dir)
-    return rows.select("conv_id", "turn", *(r6(S.segmented(F.col("answer"), F.col("retrieved_context"), how)).alias(how) for how in ("whole", "sentence")))
+    return rows.select("conv_id", "turn", *(r6(S.segmented(F.col("answer"), F.col("retrieved_context"), how)).alias(how) for how in ("whole", "sentence", "atomic")))
 
 
 def ngram_cosine(spark, sf_dir):
@@ -181,10 +171,95 @@ def divergence_cases(spark, sf_dir):
 
 
 def threshold_grid(spark, sf_dir):
-    rows = _support(scored(spark, sf_dir), "lexical").groupBy("lexical", "constraint_score").agg(F.count("*").alias("n"))
-    grid = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({f}D, {g}D)" for f in L.TAU_F for g in L.TAU_G) + " AS t(tau_f, tau_g)")
-    hit = (F.col("lexical") >= F.col("tau_f")) & (F.col("constraint_score") < F.col("tau_g"))
-    return rows.join(F.broadcast(grid), F.lit(True)).groupBy("tau_f", "tau_g").agg(F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_divergent"))
+    rows = _support(scored(spark, sf_dir), "lexical").select("base_task_id", "lexical", "constraint_score")
+    out = studies.threshold_grid(rows, "lexical", "constraint_score", "base_task_id")
+    return out.select("tau_f", "tau_g", "n", "n_high", "n_low", "n_divergent", *(r6(c).alias(c) for c in ("rate", "rate_low", "rate_high", "risk", "risk_low", "risk_high")))
+
+
+def segmentation_jaccard(spark, sf_dir):
+    """Divergent records under each way of splitting an answer, and how much the sets have in common."""
+    rows = scored(spark, sf_dir).filter("constraint_score < 1").select("response_id", F.explode(F.array(*(F.struct(F.lit(how).alias("how"), S.segmented(F.col("answer"), F.col("retrieved_context"), how).alias("support")) for how in ("whole", "sentence", "atomic")))).alias("x")).select("response_id", "x.*")
+    return M.set_overlap(rows.filter("support >= 0.8"), "response_id", "how").select("a", "b", "n_both", "n_union", r6("jaccard").alias("jaccard"))
+
+
+def estimator_robustness(spark, sf_dir):
+    rows = _estimators(spark, sf_dir).withColumn("support", r6("support"))
+    out = studies.estimator_robustness(rows, "nli")
+    return out.select("estimator", "n", r6("mean").alias("mean"), r6("pearson").alias("pearson"), "n_fixed", "n_fixed_divergent", r6("threshold").alias("threshold"), "n_matched", "n_matched_divergent")
+
+
+def mode_comparison(spark, sf_dir):
+    """Models and modes side by side; the status of a record's document stands for the mode it was generated in."""
+    rows = _support(scored(spark, sf_dir), "lexical").select("model", F.col("document_status").alias("mode"), r6("lexical").alias("support"), "constraint_score")
+    out = studies.mode_comparison(rows, "model", "mode")
+    return out.select("model", "mode", "n", *(r6(c).alias(c) for c in ("mean_support", "mean_constraint", "violation_rate", "pearson", "spearman")))
+
+
+def token_sums(spark, sf_dir):
+    """Tokens of answers and contexts, summed and averaged, by status and over all, with counts of what is there."""
+    rows = records(spark, sf_dir).select("document_status", *(F.size(S.token_list(F.col(c))).alias(n) for c, n in (("answer", "a"), ("retrieved_context", "c"))), F.when(F.col("template") % 5 != 0, F.col("template").cast("double")).alias("score"))
+    out = rows.rollup("document_status").agg(F.count("*").alias("n"), F.count("score").alias("n_scored"), r6(F.avg("score")).alias("mean_score"), F.sum("a").alias("answer_tokens"), F.sum("c").alias("context_tokens"), r6(F.avg("a")).alias("mean_answer"), r6(F.avg("c")).alias("mean_context"))
+    return out.withColumn("document_status", F.coalesce("document_status", F.lit("*")))
+
+
+def canonical_manifest(spark, sf_dir):
+    rows = _manifest(spark, sf_dir)
+    return rows.filter("in_primary").select("response_id", "constraint_family", "source_dataset", "dataset_role", *(F.col(c).cast("int").alias(c) for c in ("in_pool", "in_ragas", "in_dual")))
+
+
+def _manifest(spark, sf_dir):
+    return studies.canonical_manifest(records(spark, sf_dir), (F.col("part_id") * 7 + F.col("template")) % len(L.SOURCE_SPECS))
+
+
+def manifest_validation(spark, sf_dir):
+    return studies.validate_manifest(_manifest(spark, sf_dir)).select("check", F.col("ok").cast("int").alias("ok"), "found")
+
+
+def probe_records(spark, sf_dir):
+    return studies.probes(spark)
+
+
+def natural_filter(spark, sf_dir):
+    """Documents of 30 words or more of which nothing that is needed is missing."""
+    rows = table(spark, sf_dir, "documents").dropna(subset=["doc_id", "text", "lang", "source"])
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)))
+    return rows.select("doc_id", words.cast("long").alias("n_words")).filter("n_words >= 30")
+
+
+def checked_join(spark, sf_dir):
+    """Labels beside their documents, one to one, none missing."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return A.checked_join(labels, table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", complete=True)
+
+
+def judged_by_cache(spark, sf_dir):
+    """Cached replies where there are some, the rules' word elsewhere, and the summary of both."""
+    key = io.cache_key(F.lit("judge"), F.col("question"), F.col("answer"), F.col("retrieved_context"))
+    rows = scored(spark, sf_dir).select("response_id", "part_id", "template", "violations", F.concat_ws("-", key, "response_id").alias("cache_key"))
+    cache = rows.filter("part_id % 3 <> 0").select("cache_key", ((F.col("part_id") + F.col("template")) % 4 == 0).alias("violation"))
+    found = A.judge_of("cached", cache, strict=False)(rows)
+    return found.groupBy("judge_backend").agg(F.count("*").alias("n"), F.count_if("judge_violation").alias("n_violation"))
+
+
+def severity_kappa(spark, sf_dir):
+    """Two ratings of four levels, quadratically weighted."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select((k % 4).alias("a"), F.least(F.lit(3), (k % 4) + (k % 7 == 0).cast("int")).alias("b"))
+    return M.quadratic_kappa(rows, "a", "b", 4).select("n", r6("exact").alias("exact"), r6("kappa").alias("kappa"))
+
+
+def row_bootstrap_pearson(spark, sf_dir):
+    """A pair statistic with an interval over rows: each labelled document is a cluster of its own."""
+    x, y = F.col("a").cast("double"), F.col("b").cast("double")
+    out = B.interval(raters(spark, sf_dir), "doc_id", B.pearson_sums(x, y), B.pearson_of(), 1000)
+    return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")))
+
+
+def numbered_corpus(spark, sf_dir):
+    """Running ids and statuses that go round, by the order of doc_id."""
+    rows = D.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "i")
+    status = F.element_at(F.array(*map(F.lit, L.STATUSES[:3])), (F.col("i") % 3 + 1).cast("int"))
+    return rows.select("doc_id", F.concat(F.lit("doc_"), F.lpad((F.col("i") + 1).cast("string"), 8, "0")).alias("corpus_id"), status.alias("document_status"))
 
 
 def estimator_jaccard(spark, sf_dir):
@@ -266,7 +341,7 @@ def _clusters(spark, sf_dir):
 
 def cluster_bootstrap_mean(spark, sf_dir):
     sums = {"n": F.count("*").cast("double"), "s": F.sum("constraint_score")}
-    out = B.interval(_clusters(spark, sf_dir), "cluster", sums, F.col("s") / F.col("n"), 200)
+    out = B.interval(_clusters(spark, sf_dir), "cluster", sums, F.col("s") / F.col("n"))
     return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")))
 
 
@@ -274,7 +349,7 @@ def cluster_bootstrap_kappa(spark, sf_dir):
     rows = raters(spark, sf_dir).withColumn("cluster", F.concat_ws("-", "source", "lang"))
     a, b = F.col("a"), F.col("b")
     sums = {"tp": F.count_if(a & b), "fp": F.count_if(a & ~b), "fn": F.count_if(~a & b), "tn": F.count_if(~a & ~b)}
-    out = B.interval(rows, "cluster", sums, B.kappa_of(*sums), 200)
+    out = B.interval(rows, "cluster", sums, B.kappa_of(*sums))
     return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")))
 
 
@@ -283,7 +358,7 @@ def paired_bootstrap_diff(spark, sf_dir):
     rows = _clusters(spark, sf_dir)
     pair = (F.col("part_id") / 3).cast("long")
     per = rows.groupBy(pair.alias("prompt"), "template").agg(F.first(F.concat(F.lit("c"), (pair % 50).cast("string"))).alias("cluster"), F.max(F.when(F.col("model") == "model_a", F.col("constraint_score"))).alias("x"), F.max(F.when(F.col("model") == "model_b", F.col("constraint_score"))).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    out = B.interval(per, "cluster", {"n": F.count("*").cast("double"), "s": F.sum(F.col("x") - F.col("y"))}, F.col("s") / F.col("n"), 200)
+    out = B.interval(per, "cluster", {"n": F.count("*").cast("double"), "s": F.sum(F.col("x") - F.col("y"))}, F.col("s") / F.col("n"))
     return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")))
 
 
@@ -368,8 +443,7 @@ def simple_sample(spark, sf_dir):
 
 
 def mismatched_pairs(spark, sf_dir):
-    rows = D.simple_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 60)
-    return D.mismatched(rows, "doc_id", 60)
+    return D.mismatched(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 def paired_systems(spark, sf_dir):
@@ -479,9 +553,8 @@ def source_log(spark, sf_dir):
 
 def stream_scores(spark, sf_dir):
     """Records read as a stream, deduplicated and scored with a checkpoint, then the sink as a table."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="claimloom-")
-    run = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(object()))))}"
-    records(spark, sf_dir).filter("template < 4").write.mode("overwrite").parquet(run + "/in")
+    run = scratch.fresh(spark, "stream")
+    records(spark, sf_dir).write.parquet(run + "/in")
     schema = spark.read.parquet(run + "/in").schema
     stream = spark.readStream.schema(schema).parquet(run + "/in")
     for _ in range(2):  # the second run finds nothing new
@@ -507,6 +580,8 @@ QUERIES = [
     validate_records, duplicate_keys, subset_violations, cache_latest, cache_keys, incremental_antijoin, id_manifest_hash, paired_design_check,
     extraction_sheet, normalised_items, salient_sentences, judge_replies, judge_disagreements, relabelled_agreement, source_log,
     space_group_systems, stream_scores, event_flag_rates,
+    segmentation_jaccard, estimator_robustness, mode_comparison, token_sums, canonical_manifest, manifest_validation, probe_records, natural_filter,
+    checked_join, judged_by_cache, severity_kappa, row_bootstrap_pearson, numbered_corpus,
 ]
 
 

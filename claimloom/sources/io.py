@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALIASES = {
@@ -93,8 +93,9 @@ def cache_key(method: Column, question: Column, answer: Column, context: Column)
 
 def latest(cache: DataFrame, key: str, order: str) -> DataFrame:
     """The last entry of each key."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return cache.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in cache.columns if c not in (key, order)]
+    last = cache.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("last_row"))
+    return last.select(*(F.col(c) if c == key else F.col(f"last_row.{c}").alias(c) for c in cache.columns))
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -102,9 +103,14 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def id_manifest(rows: DataFrame, key: str, parts: int = 256) -> DataFrame:
-    """Number and SHA-256 of the distinct ids, hashed in `parts` sorted by name within each, then over the parts:
-    no task holds all ids."""
-    ids = rows.select(F.col(key).cast("string").alias("id")).distinct().withColumn("part", F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % parts)
-    each = ids.groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"))
-    return each.agg(F.sum("n").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
+def id_manifest(rows: DataFrame, key: str, *names: str) -> DataFrame:
+    """Number and SHA-256 of the distinct ids, for each value of `names` if any. Ids are hashed in a tree by the first
+    hexadecimal digits of their MD5: sorted ids below each prefix of six digits, then the hashes of prefixes below each of
+    three, then those. So 10^10 ids are some 600 a leaf, and no array holds more than 4,096 hashes."""
+    ids = rows.select(*names, F.col(key).cast("string").alias("id")).distinct().withColumn("at", F.substring(F.md5("id"), 1, 6))
+    each = ids.groupBy(*names, "at").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"))
+    for digits in (3, 0):
+        at = F.substring("at", 1, digits) if digits else F.lit("")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "\n")
+        each = each.groupBy(*names, at.alias("up")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("h")).withColumnRenamed("up", "at")
+    return each.select(*names, F.col("n").alias("n_ids"), F.col("h").alias("sha256"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.rules import score_rows
 
@@ -27,3 +28,21 @@ def finalized(spark: SparkSession, out: str) -> DataFrame:
 def violation_rate(events: DataFrame, time: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Beyond the batch metrics: the rate of flagged events by window, for monitoring; `flagged` is boolean."""
     return events.withWatermark(time, late).groupBy(F.window(time, window)).agg(F.count("*").alias("n"), F.avg(F.col("flagged").cast("double")).alias("rate"))
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what each micro-batch took in; `told(rows)` is called whenever `every` more rows have been scored."""
+
+    def __init__(self, every: int = 25, told=print):
+        self.every, self.told, self.rows = every, told, 0
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        before, self.rows = self.rows, self.rows + event.progress.numInputRows
+        if self.rows // self.every > before // self.every:
+            self.told(self.rows)

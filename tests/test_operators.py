@@ -86,7 +86,7 @@ def test_selection(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2], None if i == 3 else "none" if i == 4 else "f") for i in range(20)], "id int, s string, fam string")
     assert D.capped(rows, "fam", 5, "id").count() == 5
     assert D.stratified(rows, "s", "id", 3, 8).groupBy("s").count().filter("count < 3").count() == 0
-    assert D.mismatched(rows.select("id"), "id", 20).filter("id = other").count() == 0
+    assert D.mismatched(rows.select("id"), "id").filter("id = other").count() == 0
     assert D.first_of(rows, ["s"], "id").count() == 2
     b = spark.createDataFrame([("yes",), ("",), (None,), ("0",)], "t string").select(D.as_boolean(F.col("t")).alias("b"))
     assert [r["b"] for r in b.collect()] == [True, False, False, False]
