@@ -6,7 +6,8 @@ bounded however many turns it has.
 
 Defined cases: null text is empty; a null role is the empty role; turns order by turn (null first), role,
 text; repeated rows are turns of their own; rows with a null conv_id form one conversation; an unknown role
-is kept in a generic turn and makes the conversation invalid; extra columns are ignored.
+is kept in a generic turn and makes the conversation invalid; segments that hold no whole turn are not counted as
+turns and make it invalid; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,9 +124,7 @@ def _read_back(template: Template):
 
         def close() -> None:
             if now is not None:
-                if now["rest"]:
-                    raise ValueError(f"conversation {conv}: formatted text that holds no whole turn")
-                out.append((conv, now["n"], now["turns"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["all"], now["state"] in template.final))
+                out.append((conv, now["n"], now["turns"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["all"], now["state"] in template.final and not now["rest"]))
 
         for b in batches:
             for c, seg, text, loss, state in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
@@ -163,3 +162,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(format_conversations(rows.unionByName(probe)))
+
+
+def oracle_sql() -> str:
+    """Turns and masked text by their order; formatted characters are those of the texts, one more for each backslash and
+    for each control string, and those of the template."""
+    t = Template()
+    text, role = "length({0}) + length({0}) - length(replace({0}, '\\', ''))", "CASE role " + " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b, _) in t.turns.items())
+    for c in t.controls:
+        text += f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}"
+    role += f" ELSE {sum(map(len, t.other))} + {text.format('role')} END"
+    masked = ", ".join(f"'{r}'" for r, (_, _, loss) in t.turns.items() if loss)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role IN ({masked})), '') AS loss,
+  string_agg(role, ',' ORDER BY turn, role, text) AS roles, sum({text.format('text')} + {role}) AS n FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS valid FROM g"""

@@ -17,8 +17,19 @@ def queries() -> dict:
         "op8_suffix_dedup": substrings.query,
         "op9_secret_scan": secrets.query,
         "op10_url_filter": urls.query,
+        # the parts of three of them that SQL can express
+        "quality_base_counts": quality.base_counts,
+        "secret_base_spans": secrets.base_spans,
+        "url_rules": urls.url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.oracle_sql()}
+    return {
+        "op2_decontaminate": decontaminate.oracle_sql(),
+        "op5_chat_format": chat.oracle_sql(),
+        "op8_suffix_dedup": substrings.oracle_sql(),
+        "quality_base_counts": quality.oracle_sql(),
+        "secret_base_spans": secrets.oracle_sql(),
+        "url_rules": urls.oracle_sql(),
+    }

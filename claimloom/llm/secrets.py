@@ -103,6 +103,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("found")).alias("spans"))
 
 
+def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the secret scan that SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def oracle_sql() -> str:
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    assign = "(" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    parts = []
+    for kind, pattern, group, least, _ in ((0, assign, 2, 6, None), *_SCANS[1:3]):
+        parts.append(f"""SELECT doc_id, {kind} AS kind, sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS a, length(m) AS n, v FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(vs) AS v
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS bs, regexp_extract_all(t, '{pattern}', {group}) AS vs FROM d WHERE regexp_matches(t, '{pattern}'))) QUALIFY length(v) >= {least}""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, kind) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def redact(docs: DataFrame, copied_from: int = 3, mask: str = "[SECRET]", owners_from: int = 10) -> DataFrame:
     """docs with every base span and live opaque token masked in text, n_chars set anew; all rows and columns
     stay. Overlapping spans are masked as one."""

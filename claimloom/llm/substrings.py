@@ -240,3 +240,15 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle_sql(length: int = 400) -> str:
+    """For small tables: every string of so many bytes is hashed where it starts."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * length})) AS h FROM (SELECT doc_id, x, unnest(range(0, n - {length - 1})) AS i FROM n WHERE n >= {length})),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN t USING (h)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS z FROM (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s) GROUP BY doc_id, k),
+g AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM r),
+k AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS runs, string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS kept, max(z) AS last FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN runs IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)"""

@@ -76,3 +76,15 @@ def judge_urls(pages: DataFrame, model: LogisticRegressionModel, rules=RULES, bi
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), fit(spark))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the URL filter that SQL can express: parts, rule, and the verdict where a rule fits."""
+    return query(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def oracle_sql() -> str:
+    rules = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
+    fits = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r, _ in rules)
+    return f"""WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages), p AS (SELECT page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), '{ASCII_LOWER[0]}', '{ASCII_LOWER[1]}') AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE {fits} END AS rule FROM p) SELECT page_id, host, path, rule, CASE rule {' '.join(f"WHEN '{r}' THEN '{v}'" for r, v in rules)} END AS rule_verdict FROM r"""
