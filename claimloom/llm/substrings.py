@@ -34,6 +34,8 @@ from .common import pieces, raw, saved, table
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
+#: crowded buckets whose identifiers are broadcast; if there are more, they are joined like the others
+MOST_CROWDS = 1_000_000
 _HIGH, _LOW = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
 
 
@@ -191,8 +193,14 @@ def repeated(docs: DataFrame, length: int = 400, hot: int = 32_768) -> DataFrame
     own = saved(rows.filter(F.octet_length("text") >= length).groupBy("key", "id").agg(F.count("*").alias("n")), "texts")
     copies = own.groupBy("key").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
     sample = saved(rows.select("key", "text").mapInArrow(_sample(length), "bucket long, key long, first int, last int").distinct(), "suffixes")
-    shared = sample.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = sample.join(shared, "bucket").groupBy("key").agg(F.collect_list(F.struct("bucket", "first", "last", (F.col("n") > hot).alias("hot"))).alias("found"))
+    shared = saved(sample.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    crowded = shared.filter(F.col("n") > hot).select("bucket")
+    rest, crowds = sample, None
+    if 0 < crowded.limit(MOST_CROWDS + 1).count() <= MOST_CROWDS:  # their suffixes need not meet in the task of their bucket
+        crowds = sample.join(F.broadcast(crowded), "bucket").withColumn("hot", F.lit(True))
+        rest = sample.join(F.broadcast(crowded), "bucket", "left_anti")
+    marked = rest.join(shared, "bucket").withColumn("hot", F.col("n") > hot).drop("n")
+    marked = (marked if crowds is None else marked.unionByName(crowds)).groupBy("key").agg(F.collect_list(F.struct("bucket", "first", "last", "hot")).alias("found"))
     one = marked.join(copies.select("key", "id"), "key")
     around = rows.join(one.hint("shuffle_hash"), ["key", "id"]).select("key", "text", "found").mapInArrow(_around(length), "bucket long, key long, first int, hot boolean, bytes binary")
     around = saved(around, "around")
