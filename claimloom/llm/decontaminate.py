@@ -5,8 +5,9 @@ at each word. A word is hit if it lies in an occurrence of a window: `min_words`
 item, or a whole shorter item. Words that no item has, and word pairs that no item has, end every match, so
 only stretches that are long enough between those are walked; this changes no result.
 
-Test items are collected in blocks of at most `block_chars` characters, one automaton a block, so that what a
-task holds is bounded however large the benchmark is; with more blocks the documents pass one after another.
+Test items are collected in blocks of about `block_chars` characters, one automaton a block, so that what the driver
+and a task hold is bounded however large the benchmark is (by default some 500,000 states); with more blocks the
+documents are scanned once for each, and what they find is united by document.
 
 Defined cases: null or empty text has no words; repeated rows are judged each on its own; items with equal
 texts all count; a null item_id counts as the empty string; extra columns are kept by remove_spans and
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, raw, table
+from .common import free, pieces, raw, table
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: A-Z to a-z, and what is in no word to a space
@@ -194,7 +195,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[s
         yield [(r["item"], words_of(r["text"].encode())) for r in part.collect()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, block_chars: int = 20_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, block_chars: int = 1_500_000) -> DataFrame:
     """doc_id, key, n_words, hits (runs of hit words with their bytes in the text) and items for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     found = [rows.mapInArrow(_scan(items, min_words), _HITS) for items in item_blocks(benchmark, block_chars)]
@@ -222,17 +223,18 @@ def _merge_runs(hits):
 def remove_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """docs without their hit spans; rows of which more than max_coverage of the words are hit are dropped.
     Columns stay as they are, n_chars (if any) is set anew where text was cut."""
+    key, at, drop, left = free(docs.columns, "row_key", "row_cut", "row_drop", "row_text")
     found = find_hits(docs, benchmark, min_words).filter(F.size("hits") > 0)
     hit = F.aggregate("hits", F.lit(0), lambda a, h: a + h["end"] - h["start"])
-    found = found.select(F.col("key").alias("_key"), F.transform("hits", lambda h: F.struct(h["lo"].alias("lo"), h["hi"].alias("hi"))).alias("_cut"), (hit / F.col("n_words") > max_coverage).alias("_drop")).dropDuplicates(["_key"])
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))).join(found, "_key", "left").filter(~F.coalesce("_drop", F.lit(False)))
+    found = found.select(F.col("key").alias(key), F.transform("hits", lambda h: F.struct(h["lo"].alias("lo"), h["hi"].alias("hi"))).alias(at), (hit / F.col("n_words") > max_coverage).alias(drop)).dropDuplicates([key])
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"))).join(found, key, "left").filter(~F.coalesce(drop, F.lit(False)))
     data = F.col("text").cast("binary")
-    kept = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), lambda a, h: F.struct(h["hi"].alias("at"), F.concat(a["out"], F.substring(data, a["at"] + 1, h["lo"] - a["at"])).alias("out")), lambda a: F.concat(a["out"], F.substring(data, a["at"] + 1, F.octet_length(data))))
-    cut = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept.cast("string"))
-    out = rows.withColumn("_text", cut)
-    new = {"text": F.col("_text")}
+    kept = F.aggregate(at, F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), lambda a, h: F.struct(h["hi"].alias("at"), F.concat(a["out"], F.substring(data, a["at"] + 1, h["lo"] - a["at"])).alias("out")), lambda a: F.concat(a["out"], F.substring(data, a["at"] + 1, F.octet_length(data))))
+    cut = F.when(F.col(at).isNull(), F.col("text")).otherwise(kept.cast("string"))
+    out = rows.withColumn(left, cut)
+    new = {"text": F.col(left)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
+        new["n_chars"] = F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length(left).cast("long"))
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 

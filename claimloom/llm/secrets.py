@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free, saved, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "opaque", "live", "example")
@@ -123,8 +123,9 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 def redact(docs: DataFrame, copied_from: int = 3, mask: str = "[SECRET]", owners_from: int = 10) -> DataFrame:
     """docs with every base span and live opaque token masked in text, n_chars set anew; all rows and columns
     stay. Overlapping spans are masked as one."""
-    found = scan_secrets(docs, copied_from, owners_from).select("key", F.filter("found", lambda s: s["kind"] < 4).alias("_found")).filter(F.size("_found") > 0).dropDuplicates(["key"])
-    text, at = F.col("text"), F.col("_found")
+    key, spans, masked = free(docs.columns, "row_key", "row_spans", "row_text")
+    found = scan_secrets(docs, copied_from, owners_from).select(F.col("key").alias(key), F.filter("found", lambda s: s["kind"] < 4).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([key])
+    text, at = F.col("text"), F.col(spans)
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -134,8 +135,8 @@ def redact(docs: DataFrame, copied_from: int = 3, mask: str = "[SECRET]", owners
         )
 
     done = F.aggregate(at, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))).join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"))).join(found, key, "left")
     text_out = F.when(at.isNull(), text).otherwise(done)
-    out = rows.withColumn("_out", text_out)
-    fields = {"text": F.col("_out"), "n_chars": F.when(at.isNull(), F.col("n_chars")).otherwise(F.length("_out").cast("long")) if "n_chars" in docs.columns else None}
+    out = rows.withColumn(masked, text_out)
+    fields = {"text": F.col(masked), "n_chars": F.when(at.isNull(), F.col("n_chars")).otherwise(F.length(masked).cast("long")) if "n_chars" in docs.columns else None}
     return out.select(*(fields[c].alias(c) if fields.get(c) is not None else F.col(c) for c in docs.columns))

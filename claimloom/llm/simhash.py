@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, raw, saved, table
+from .common import free, pieces, raw, saved, table
 from .components import components
 
 BITS, SEGMENTS, WIDTH = 64, 4, 16
@@ -388,11 +388,12 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     cluster_words, by default the latter."""
     found = saved((cluster_words(docs) if found is None else found).select("doc_id", "key", "component_id"), "clusters")
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
-    keys = saved(best.select(F.col("best.key").alias("_key")).distinct(), "kept")
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text"))).join(keys, "_key", "left_semi")
-    twice = saved(found.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_key")), "repeated")
+    (name,) = free(docs.columns, "row_key")
+    keys = saved(best.select(F.col("best.key").alias(name)).distinct(), "kept")
+    rows = docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text"))).join(keys, name, "left_semi")
+    twice = saved(found.groupBy("key").count().filter("count > 1").select(F.col("key").alias(name)), "repeated")
     if not twice.isEmpty():  # rows that are there more than once
-        rows = rows.join(twice, "_key", "left_anti").unionByName(rows.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+        rows = rows.join(twice, name, "left_anti").unionByName(rows.join(twice, name, "left_semi").dropDuplicates([name]))
     return rows.select(*docs.columns)
 
 

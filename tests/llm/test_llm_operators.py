@@ -535,6 +535,12 @@ def test_urls(spark):
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == (verdicts[rule] if rule else "block" if r["p_block"] >= 0.5 else "allow")
-    held = spark.createDataFrame([(0, "https://free-casino-pills.net/buy-now/casino"), (1, "https://docs.library-guide.org/guide/history")], "page_id long, url string")
-    assert [r["verdict"] for r in urls.judge_urls(held, model).orderBy("page_id").collect()] == ["block", "allow"]
+    table = [(i, u, y) for i, (u, y) in enumerate(urls.LABELLED) if urls.held_out(u)]
+    held = spark.createDataFrame(table, "page_id long, url string, y int")
+    p = {r["page_id"]: r["p_block"] for r in urls.judge_urls(held, model).collect()}
+    assert len(table) > 30 and sum((p[i] >= 0.5) == bool(y) for i, _, y in table) / len(table) >= 0.9
+    quoted = urls.fit(spark, [("http://a'b.org/\"x", 0), ("http://spam.org/'", 1)])
+    assert urls.judge_urls(pages, quoted).count() == len(cases)
     assert urls.judge_urls(pages.limit(0), model).count() == 0
+    long = spark.createDataFrame([(0, "http://x.org/" + "long/" * 40_000)] * 2, "page_id long, url string")
+    assert [len(r["path"]) for r in urls.judge_urls(long, model).collect()] == [200_001] * 2
