@@ -25,20 +25,18 @@ def _star(pairs: DataFrame, strict: bool) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for each node of links(u, v); nodes without links are left out."""
     now = saved(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     mark = None
-    for _ in range(rounds):
+    while True:  # rounds grow with the logarithm of the longest chain, at worst squared
         large = _star(now, True).filter("u <> v").distinct()
         now = saved(_star(large, False).filter("u <> v").distinct(), "links")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
