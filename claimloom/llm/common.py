@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -34,6 +35,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The n rows of least hash of the columns, ties by the columns. Only rows below a bound that some 2n pass go to the
+    one task that picks them, however many there are: each task else would send it its own n."""
+    (name,) = free(rows.columns, "row_hash")
+    total = rows.count()
+    bound = min(2**63 - 1, -(2**63) + int(2**64 * (2 * n + 200) / max(1, total)))
+    return rows.withColumn(name, F.xxhash64(*columns)).filter(F.col(name) <= bound).orderBy(name, *columns).limit(n).drop(name)
+
+
 def free(columns: list[str], *names: str) -> list[str]:
     """Working names that none of the columns has."""
     taken, out = {c.lower() for c in columns}, []

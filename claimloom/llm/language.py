@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import pieces, table
+from .common import least_hashed, pieces, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 TEMPERATURES = tuple(2.0**-k for k in range(14))
@@ -86,7 +86,7 @@ def train(docs: DataFrame, order: int = 4, calibration_docs: int = 2000, calibra
     fitted = charlm.fit(rows.filter(~tenth).select("grp", "text"), words_of, order, max_rows) or charlm.fit(rows.select("grp", "text"), words_of, order, max_rows)
     if fitted is None:
         return None
-    spare = rows.filter(tenth & (F.length("text") <= calibration_chars)).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "grp").limit(calibration_docs)
+    spare = least_hashed(rows.filter(tenth & (F.length("text") <= calibration_chars)), calibration_docs, "doc_id", "text", "grp")
     got = charlm.scored(spare, fitted, words_of, _totals, "grp string, total array<double>, n long", chunk_chars).collect()  # at most calibration_docs rows
     at = {g: i for i, g in enumerate(fitted.groups)}
     got = [r for r in got if r["n"] and r["grp"] in at]

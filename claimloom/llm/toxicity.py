@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, texts
+from .common import least_hashed, pieces, table, texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 CHAIN, PAD = 64, -30.0
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: i
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).filter(~held_out())
     rows = []
     for y in (1, 0):
-        ids = known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+        ids = least_hashed(known.filter(F.col("_toxic") == y), max_docs, "doc_id")
         found = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")  # at most max_docs ids
         found = found.filter((F.length("text") > 0) & (F.length("text") <= max_chars)).groupBy("doc_id").agg(F.min("text").alias("text"))
         rows += [(r["text"], y, r["doc_id"]) for r in found.collect()]  # at most max_docs

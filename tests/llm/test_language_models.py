@@ -204,3 +204,13 @@ def test_quality_with_a_model_too_large_to_broadcast(spark):
     for i, r in a.items():
         assert b[i].pop("logppl") == pytest.approx(r.pop("logppl"), abs=1e-9) and b[i].pop("low") == (pytest.approx(r["low"]) if r["low"] is not None else None)
         assert {k: v for k, v in r.items() if k in ("n_words", "n_repeat_words", "kept", "base_failed")} == {k: v for k, v in b[i].items() if k in ("n_words", "n_repeat_words", "kept", "base_failed")}
+
+
+def test_least_hashed_rows_are_those_of_a_full_sort(spark):
+    from claimloom.llm.common import least_hashed
+
+    rows = spark.range(50_000).select("id", (F.col("id") % 7).alias("row_hash"))
+    want = [r["id"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    got = least_hashed(rows, 300, "id")
+    assert got.columns == rows.columns and sorted(r["id"] for r in got.collect()) == sorted(want)
+    assert least_hashed(rows.limit(20), 300, "id").count() == 20 and least_hashed(rows.limit(0), 300, "id").count() == 0
