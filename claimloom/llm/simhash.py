@@ -342,7 +342,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 1024, words: int = 2_000_000) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 4096, words: int = 2_000_000) -> DataFrame:
     """Links (u, v) within the groups of members(group, node, n_words) whose exact Jaccard similarity of five-word shingles is
     LEAST or more: of each group a spanning forest. Groups are compared in blocks of bounded rows and words.
     docs: key, text; nodes: node, key. members is read twice."""
