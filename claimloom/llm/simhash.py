@@ -40,6 +40,8 @@ BITS, SEGMENTS, WIDTH = 64, 4, 16
 LEAST, SHINGLE = (4, 5), 5
 #: least hashes of the shingles under BANDS * ROWS orders; a pair that shares 0.8 misses all bands once in 300,000
 BANDS, ROWS = 32, 5
+#: bands that are verified first
+FIRST = 8
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -342,7 +344,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 4096, words: int = 2_000_000) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 1024, words: int = 2_000_000) -> DataFrame:
     """Links (u, v) within the groups of members(group, node, n_words) whose exact Jaccard similarity of five-word shingles is
     LEAST or more: of each group a spanning forest. Groups are compared in blocks of bounded rows and words.
     docs: key, text; nodes: node, key. members is read twice."""
@@ -375,8 +377,15 @@ def cluster_words(docs: DataFrame, count: int = 4, seed: int = 42, distance: int
     rows = saved(taken.mapInArrow(_word_prints(count, seed), "doc_id long, key long, node long, n_words long, fps array<long>, bands array<long>"), "word-prints")
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n_words").alias("n_words"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
     pairs = saved(_word_pairs(nodes, distance), "word-pairs")
-    members = nodes.select(F.explode("bands").alias("group"), "node", "n_words").unionByName(_pair_groups(pairs).join(nodes.select("node", "n_words"), "node"))
-    edges = verified(taken.select("key", "text"), nodes, members, seed)
+    texts = taken.select("key", "text")
+    members = nodes.select(F.explode(F.slice("bands", 1, FIRST)).alias("group"), "node", "n_words").unionByName(_pair_groups(pairs).join(nodes.select("node", "n_words"), "node"))
+    edges = saved(verified(texts, nodes, members, seed), "first-edges")
+    # other bands count only where they hold texts that the first ones have not linked: copies share most of their bands
+    known = saved(components(edges), "first-components")
+    members = nodes.select(F.explode(F.slice("bands", FIRST + 1, BANDS)).alias("group"), "node", "n_words").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("group")
+    members = saved(members.join(mixed, "group", "left_semi").select("group", "node", "n_words"), "mixed-groups")
+    edges = edges.unionByName(verified(texts, nodes, members, seed))
     joined = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.select("node", "component").join(names, "component").select("node", "component_id")
