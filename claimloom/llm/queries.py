@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, packing, quality, secrets, simhash, substrings, toxicity, urls
+from . import chat, collisions, collocations, decontaminate, language, packing, quality, secrets, simhash, substrings, toxicity, treaps, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_suffix_dedup": substrings.query,
         "op9_secret_scan": secrets.query,
         "op10_url_filter": urls.query,
+        "op11_collocations": collocations.query,
+        "op12_collision_search": collisions.query,
+        "op13_treap_search": treaps.query,
         # the parts of three of them that SQL can express
         "quality_base_counts": quality.base_counts,
         "secret_base_spans": secrets.base_spans,
@@ -29,6 +32,8 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.oracle_sql(),
         "op5_chat_format": chat.oracle_sql(),
         "op8_suffix_dedup": substrings.oracle_sql(),
+        "op11_collocations": collocations.oracle_sql(),
+        "op13_treap_search": treaps.oracle_sql(),
         "quality_base_counts": quality.oracle_sql(),
         "secret_base_spans": secrets.oracle_sql(),
         "url_rules": urls.oracle_sql(),
