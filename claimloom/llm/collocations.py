@@ -353,14 +353,15 @@ def oracle_sql() -> str:
     return r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
-g AS (SELECT lang, k, x, count(*) AS f FROM (SELECT lang, k, w[i:i + k - 1] AS x FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k)) GROUP BY lang, k, x),
+g AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k)) GROUP BY lang, k, p),
 n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
-cut AS (SELECT c.lang, c.x, c.k, c.f AS a, j, y.f AS l, z.f AS r, (1000000 * CAST(c.f AS HUGEINT) * c.f) // (CAST(y.f AS HUGEINT) * z.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c JOIN g AS y ON y.lang = c.lang AND y.x = c.x[1:c.j] JOIN g AS z ON z.lang = c.lang AND z.x = c.x[c.j + 1:]),
-low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1),
-longer AS (SELECT lang, y, max(f) AS f FROM (SELECT lang, f, unnest([x[1:2], x[2:3]]) AS y FROM c WHERE k = 3) GROUP BY lang, y),
-kept AS (SELECT low.* FROM low LEFT JOIN longer ON low.lang = longer.lang AND low.x = longer.y WHERE longer.f IS NULL OR 100 * longer.f < 50 * low.a),
-r AS (SELECT lang, array_to_string(x, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM kept)
+c AS MATERIALIZED (SELECT lang, k, p, f, string_split(p, ' ') AS x FROM g WHERE k > 1 AND f >= 10),
+parts AS (SELECT lang, p, f, j, array_to_string(x[1:j], ' ') AS head, array_to_string(x[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cut AS (SELECT parts.lang, parts.p, parts.f AS a, j, y.f AS l, z.f AS r, (1000000 * CAST(parts.f AS HUGEINT) * parts.f) // (CAST(y.f AS HUGEINT) * z.f) AS score
+  FROM parts JOIN g AS y ON y.lang = parts.lang AND y.p = head JOIN g AS z ON z.lang = parts.lang AND z.p = tail),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+longer AS (SELECT lang, y, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS y FROM c WHERE k = 3) GROUP BY lang, y),
+kept AS (SELECT low.* FROM low LEFT JOIN longer ON low.lang = longer.lang AND low.p = longer.y WHERE longer.f IS NULL OR 100 * longer.f < 50 * low.a),
+r AS (SELECT lang, p AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM kept)
 SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r.r AS r, CAST(n AS BIGINT) AS n, score
 FROM r JOIN n USING (lang) QUALIFY rank <= 2000"""
