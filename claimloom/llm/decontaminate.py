@@ -5,9 +5,10 @@ at each word. A word is hit if it lies in an occurrence of a window: `min_words`
 item, or a whole shorter item. Words that no item has, and word pairs that no item has, end every match, so
 only stretches that are long enough between those are walked; this changes no result.
 
-Test items are collected in blocks of about `block_chars` characters, one automaton a block, so that what the driver
-and a task hold is bounded however large the benchmark is (by default some 500,000 states); with more blocks the
-documents are scanned once for each, and what they find is united by document.
+Test items are taken in blocks of about `block_chars` characters, one automaton a block, so that what the driver
+and a task hold is bounded however large the benchmark is (by default some 500,000 states). An automaton is built once,
+broadcast as arrays and kept by each worker. With more than one block the documents are first sifted by hashes of all
+windows, many blocks at a time, and an automaton reads only the documents that hold a window of its block.
 
 Defined cases: null or empty text has no words; repeated rows are judged each on its own; items with equal
 texts all count; a null item_id counts as the empty string; extra columns are kept by remove_spans and
@@ -17,14 +18,16 @@ ignored by find_hits; an empty benchmark hits nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, pieces, raw, table
+from .common import KEY, between, free, pieces, raw, row_key, saved, table
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: A-Z to a-z, and what is in no word to a space
@@ -48,10 +51,30 @@ class SuffixAutomaton:
             last = 0
             for c in w:
                 last = self._extend(last, c)
+        self.wide = len(self.vocab) or 1
+        self.step = {v * self.wide + c: to for v, t in enumerate(self.next) for c, to in t.items()}
         self._mark(numbered)
         pairs = {a * len(self.vocab) + b for _, w in numbered for a, b in zip(w, w[1:], strict=False)}
         self.pairs = np.array(sorted(pairs) or [-1], np.int64)
 
+    def packed(self) -> dict:
+        """What a scan needs; transitions as sorted keys and targets."""
+        n = len(self.vocab) or 1
+        keys = np.array([v * n + c for v, t in enumerate(self.next) for c in sorted(t)], np.int64)
+        to = np.array([t[c] for t in self.next for c in sorted(t)], np.int32)
+        arrays = {"length": np.array(self.length, np.int32), "link": np.array(self.link, np.int32), "window": np.array(self.window, np.int32), "pairs": self.pairs, "keys": keys, "to": to}
+        rest = {k: getattr(self, k) for k in ("min_words", "shortest", "vocab", "owners", "shorts")}
+        return arrays | rest
+
+    @classmethod
+    def unpacked(cls, held: dict) -> SuffixAutomaton:
+        self = cls.__new__(cls)
+        for k in ("min_words", "shortest", "vocab", "owners", "shorts", "pairs"):
+            setattr(self, k, held[k])
+        self.length, self.link, self.window = (held[k].tolist() for k in ("length", "link", "window"))
+        self.step, self.wide = dict(zip(held["keys"].tolist(), held["to"].tolist(), strict=True)), len(self.vocab) or 1
+        return self
+
     def _extend(self, last: int, c: int) -> int:
         length, link, nxt = self.length, self.link, self.next
         q = nxt[last].get(c)
@@ -106,13 +129,14 @@ class SuffixAutomaton:
 
     def walk(self, w) -> Iterator[tuple[int, int]]:
         """The state and the length of the longest match that ends at each word."""
-        v, size, link, nxt, length = 0, 0, self.link, self.next, self.length
+        v, size, link, step, wide, length = 0, 0, self.link, self.step, self.wide, self.length
         for c in w:
-            while v and c not in nxt[v]:
+            while v and v * wide + c not in step:
                 v = link[v]
                 size = length[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
+            to = step.get(v * wide + c)
+            if to is not None:
+                v = to
                 size += 1
             yield v, size
 
@@ -159,14 +183,26 @@ class SuffixAutomaton:
         return spans, items
 
 
-_HITS = "doc_id long, key long, n_words long, hits array<struct<start:int,end:int,lo:int,hi:int>>, items array<string>"
+_HITS = f"doc_id long, key {KEY}, n_words long, hits array<struct<start:int,end:int,lo:int,hi:int>>, items array<string>"
+
+
+_AUTOMATA: dict[str, SuffixAutomaton] = {}
+
 
+def automaton(name: str, data: Broadcast) -> SuffixAutomaton:
+    """The broadcast automaton; made once in a worker."""
+    if name not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = SuffixAutomaton.unpacked(data.value)
+    return _AUTOMATA[name]
 
-def _scan(items: list[tuple[str, list[bytes]]], min_words: int):
+
+def _scan(name: str, data: Broadcast):
+    """Rows (doc_id, key, text, further columns) to doc_id, key, n_words, hits, items and the further columns."""
     hit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sa = SuffixAutomaton(items, min_words)
+        sa = automaton(name, data)
         for batch in batches:
             for b in pieces(batch, 1000):
                 n, found, owned = [], [], []
@@ -180,44 +216,123 @@ def _scan(items: list[tuple[str, list[bytes]]], min_words: int):
                     n.append(len(words))
                     found.append(at)
                     owned.append(sorted(own))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(hit)), pa.array(owned, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "hits", "items"])
+                columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(hit)), pa.array(owned, pa.list_(pa.string()))]
+                names = ["doc_id", "key", "n_words", "hits", "items", *b.schema.names[3:]]
+                yield pa.RecordBatch.from_arrays([*columns, *b.columns[3:]], names=names)
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in lists of about block_chars characters each."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-total // block_chars))
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], words_of(r["text"].encode())) for r in part.collect()]
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, block_chars: int = 1_500_000) -> DataFrame:
-    """doc_id, key, n_words, hits (runs of hit words with their bytes in the text) and items for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    found = [rows.mapInArrow(_scan(items, min_words), _HITS) for items in item_blocks(benchmark, block_chars)]
-    if len(found) == 1:
-        return found[0]
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionAll(more)
-    # repeated rows have one key; they come back as one row of their own for each of `copies`
-    per = merged.withColumn("block", F.lit(0)).groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"))
-    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "key", "n_words", _merge_runs(F.col("hits")).alias("hits"), "items")
-
-
-def _merge_runs(hits):
-    """Overlapping and touching runs of different blocks as one."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")
+    return benchmark.select(item, F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+
+
+def item_block(items: DataFrame, k: int, n: int) -> list[tuple[str, list[bytes]]]:
+    """The k-th of n blocks of items, some block_chars characters."""
+    part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+    return [(r["item"], words_of(r["text"].encode())) for r in part.collect()]
+
+
+def _scanned(rows: DataFrame, items: list[tuple[str, list[bytes]]], min_words: int, more: str = "") -> DataFrame:
+    data = rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, min_words).packed())
+    return rows.mapInArrow(_scan(uuid.uuid4().hex, data), _HITS + more)
+
+
+def window_hashes(words: list[bytes], sizes: Iterable[int]) -> Iterator[np.ndarray]:
+    """Hashes of all runs of so many words, for each of the sizes."""
+    from xxhash import xxh64_intdigest
+
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    for size in sizes:
+        h = np.full(max(0, len(w) - size + 1), size, np.uint64)
+        for j in range(size if len(h) else 0):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + w[j : j + len(h)]
+        yield (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
-    def step(acc, h):
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], h["end"]).alias("end"), last["lo"].alias("lo"), F.greatest(last["hi"], h["hi"]).alias("hi"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= h["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(h)))
 
-    return F.aggregate(F.array_sort(hits), F.array().cast("array<struct<start:int,end:int,lo:int,hi:int>>"), step)
+def _sift(hashes: Broadcast):
+    """row, n_words and the blocks of which the text holds a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, block, sizes = hashes.value
+        for batch in batches:
+            for b in pieces(batch, 1000):
+                n, found = [], []
+                for text in raw(b):
+                    words = words_of(text)
+                    n.append(len(words))
+                    mine: set[int] = set()
+                    for h in window_hashes(words, sizes):
+                        # a window that several blocks hold stands there several times
+                        starts, ends = (np.searchsorted(known, h, side=side) for side in ("left", "right"))
+                        some = starts < ends
+                        for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+                            mine.update(block[x:y].tolist())
+                    found.append(sorted(mine))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["row", "n_words", "blocks"])
+
+    return run
+
+
+def _sifted(rows: DataFrame, items: DataFrame, n: int, min_words: int, at_once: int) -> DataFrame:
+    """row, n_words, blocks of rows(row, text), which are read once for each `at_once` blocks."""
+    found = None
+    for first in range(0, n, at_once):
+        hashes, blocks, sizes = [], [], set()
+        for k in range(first, min(n, first + at_once)):
+            for _, words in item_block(items, k, n):
+                if words:
+                    size = min(min_words, len(words))
+                    sizes.add(size)
+                    hashes += window_hashes(words, (size,))
+                    blocks.append(np.full(len(hashes[-1]), k, np.int32))
+        known, block = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (blocks, np.int32)))
+        order = np.lexsort((block, known))
+        data = rows.sparkSession.sparkContext.broadcast((known[order], block[order], sorted(sizes)))
+        part = rows.select("row", "text").mapInArrow(_sift(data), "row long, n_words long, blocks array<int>")
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, block_chars: int = 1_500_000, at_once: int = 32) -> DataFrame:
+    """doc_id, key, n_words, hits (runs of hit words with their bytes in the text) and items for each row of docs.
+    at_once: blocks whose windows are sifted in one pass over the documents, some 2 MB of hashes each."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
+    items = _items(benchmark)
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-total // block_chars))
+    if n == 1:
+        return _scanned(rows, item_block(items, 0, 1), min_words)
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+    sifted = saved(_sifted(rows, items, n, min_words, at_once), "sifted")
+    asked = saved(sifted.select("row", F.explode("blocks").alias("block")), "asked-blocks")
+    found = None
+    for k in range(n):  # written one by one, so that the driver holds one block
+        few = rows.join(asked.filter(F.col("block") == k).select("row"), "row", "left_semi").select("doc_id", "key", "text", "row")
+        part = saved(_scanned(few, item_block(items, k, n), min_words, ", row long"), "block-hits").filter(F.size("hits") > 0)
+        found = part if found is None else found.unionAll(part)
+    united = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = united.mapInArrow(_united, "row long, hits array<struct<start:int,end:int,lo:int,hi:int>>, items array<string>")
+    sizes = sifted.groupBy("row").agg(F.max("n_words").alias("n_words"))
+    whole = rows.select("row", "doc_id", "key").join(sizes, "row").join(united, "row", "left")
+    none = {c: F.array().cast(whole.schema[c].dataType) for c in ("hits", "items")}
+    return whole.select("doc_id", "key", "n_words", *(F.coalesce(c, none[c]).alias(c) for c in none))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching runs of different blocks as one."""
+    for b in batches:
+        out = []
+        for hits in b.column(1).to_pylist():
+            runs: list[dict] = []
+            for h in sorted(hits, key=lambda h: (h["start"], h["end"])):
+                if runs and runs[-1]["end"] >= h["start"]:
+                    runs[-1] |= {"end": max(runs[-1]["end"], h["end"]), "hi": max(runs[-1]["hi"], h["hi"])}
+                else:
+                    runs.append(dict(h))
+            out.append(runs)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, b.schema.field(1).type), b.column(2)], names=b.schema.names)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -227,10 +342,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, max
     found = find_hits(docs, benchmark, min_words).filter(F.size("hits") > 0)
     hit = F.aggregate("hits", F.lit(0), lambda a, h: a + h["end"] - h["start"])
     found = found.select(F.col("key").alias(key), F.transform("hits", lambda h: F.struct(h["lo"].alias("lo"), h["hi"].alias("hi"))).alias(at), (hit / F.col("n_words") > max_coverage).alias(drop)).dropDuplicates([key])
-    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"))).join(found, key, "left").filter(~F.coalesce(drop, F.lit(False)))
-    data = F.col("text").cast("binary")
-    kept = F.aggregate(at, F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), lambda a, h: F.struct(h["hi"].alias("at"), F.concat(a["out"], F.substring(data, a["at"] + 1, h["lo"] - a["at"])).alias("out")), lambda a: F.concat(a["out"], F.substring(data, a["at"] + 1, F.octet_length(data))))
-    cut = F.when(F.col(at).isNull(), F.col("text")).otherwise(kept.cast("string"))
+    rows = docs.withColumn(key, row_key("doc_id", "text")).join(found, key, "left").filter(~F.coalesce(drop, F.lit(False)))
+    cut = F.when(F.col(at).isNull(), F.col("text")).otherwise(between(F.col("text").cast("binary"), F.col(at), ""))
     out = rows.withColumn(left, cut)
     new = {"text": F.col(left)}
     if "n_chars" in docs.columns:

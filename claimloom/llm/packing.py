@@ -20,6 +20,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import pieces, saved, table
 
+#: white space of this length is left to the tokenizer itself
+WHITE = 10_000
+_WHITE = re.compile(rf"\s{{{WHITE}}}")
 #: The pattern by which the tokenizer splits words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,8 +57,9 @@ class Encoder:
     """Token ids of a text as little-endian 32-bit integers: those of the tokenizer file.
 
     Where the file's merges go by the order of the ids they make, the same vocabulary runs in tiktoken, at a third of the
-    time; otherwise, and for texts with characters that Unicode has not assigned, which libraries may split apart
-    otherwise, the tokenizer itself encodes."""
+    time; otherwise the tokenizer itself encodes, as it does texts with characters that Unicode has not assigned, which
+    libraries may split apart otherwise, and texts with very long white space, on which tiktoken's pattern backtracks
+    until its stack is full."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -79,10 +84,16 @@ class Encoder:
         self.assigned |= {c: unicodedata.category(c) != "Cn" for c in kinds.difference(self.assigned)}
         return all(map(self.assigned.__getitem__, kinds))
 
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or not (text.isascii() or self._usual(text)):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.asarray(self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=()), "<u4").tobytes()
+        if self.fast is None or not (text.isascii() or self._usual(text)) or (len(text) >= WHITE and _WHITE.search(text)):
+            return self._slow(text)
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=()), "<u4").tobytes()
+        except ValueError:  # its pattern gave up
+            return self._slow(text)
 
 
 def cuts(n: int, capacity: int, grain: int) -> list[int]:

@@ -12,8 +12,13 @@ sides, those that are looked up and those that look, are dealt into blocks, and
 returns a spanning forest of its links: no group emits all its pairs, and no task holds an unbounded group.
 Links go to components().
 
-The pipeline's stage (cluster_words, keep_one) takes such pairs as candidates only: each link is verified by the
-exact Jaccard similarity of the texts' five-word shingles before it goes to components().
+The pipeline's stage (cluster_words, keep_one) takes such pairs, and bands of least shingle hashes, as candidates only: each
+link is verified by the exact Jaccard similarity of the texts' five-word shingles before it goes to components(). First
+every node of a band is held against the band's first node, so that rows grow with the nodes; what that links is
+contracted. Only bands whose nodes are still in several components are compared as a whole, in blocks of bounded size,
+and there only nodes of different components.
+
+Rows are known by two hashes of doc_id and text, texts by a hash of 128 bits of their words.
 
 Defined cases: a null text has no words; without words the fingerprint is zero, linked like any other; a
 null doc_id stands in its group but is no component's name unless nothing else is there; repeated rows are
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, pieces, raw, saved, table
+from .common import KEY, free, pieces, raw, row_key, saved, table
 from .components import components
 
 BITS, SEGMENTS, WIDTH = 64, 4, 16
@@ -40,8 +45,6 @@ BITS, SEGMENTS, WIDTH = 64, 4, 16
 LEAST, SHINGLE = (4, 5), 5
 #: least hashes of the shingles under BANDS * ROWS orders; a pair that shares 0.8 misses all bands once in 300,000
 BANDS, ROWS = 32, 5
-#: bands that are verified first
-FIRST = 8
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -73,8 +76,11 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, key (of doc_id and text), fp for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, key long, fp long")
+    return _keyed(docs).mapInArrow(_fingerprints(shingle, seed), f"doc_id long, key {KEY}, fp long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
 
 
 def word_fingerprints(text: bytes, count: int, seed: int = 42) -> list[int]:
@@ -262,31 +268,28 @@ def cluster(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 3
 
 
 def _word_prints(count: int, seed: int):
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_128_intdigest
+
+    lists = pa.list_(pa.int64())
+
+    def halves(numbers: list[int]) -> pa.StructArray:
+        both = [np.array([(n >> at) & (2**64 - 1) for n in numbers], np.uint64).view(np.int64) for at in (64, 0)]
+        return pa.StructArray.from_arrays([pa.array(h) for h in both], names=["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, 1000):
-                words = [t.lower().split() for t in raw(b)]
-                node = np.array([xxh64_intdigest(b" ".join(w), seed) for w in words], np.uint64).view(np.int64)
-                fps = np.array([word_fingerprints(b" ".join(w), count, seed) for w in words], np.uint64).view(np.int64)
-                bands = [band_keys(shingle_hashes(b" ".join(w), SHINGLE, seed), seed).view(np.int64).tolist() for w in words]
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(list(map(len, words)), pa.int64()), pa.array(fps.tolist(), lists), pa.array(bands, lists)], names=["doc_id", "key", "node", "n_words", "fps", "bands"])
+                words = [b" ".join(t.lower().split()) for t in raw(b)]
+                same = halves([xxh3_128_intdigest(w, seed) for w in words])
+                fps = np.array([word_fingerprints(w, count, seed) for w in words], np.uint64).view(np.int64)
+                grams = [shingle_hashes(w, SHINGLE, seed) for w in words]
+                bands = [band_keys(g, seed).view(np.int64).tolist() for g in grams]
+                columns = [b.column(0), b.column(1), same, pa.array(list(map(len, grams)), pa.int64()), pa.array(fps.tolist(), lists), pa.array(bands, lists)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "same", "n_grams", "fps", "bands"])
 
     return run
 
 
-def _word_pairs(nodes: DataFrame, distance: int) -> DataFrame:
-    """Pairs (u, v) of nodes(node, fps) of which a fingerprint is equal or within the distance, none of them verified."""
-    here = nodes.select("node", F.posexplode("fps").alias("tag", "fp"))
-    first = saved(here.groupBy("tag", "fp").agg(F.min("node").alias("first")), "firsts")
-    same = here.join(first, ["tag", "fp"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    near = links(first.select("tag", "fp"), distance)
-    near = near.join(first.select("tag", F.col("fp").alias("u"), F.col("first").alias("a")), ["tag", "u"]).join(first.select("tag", F.col("fp").alias("v"), F.col("first").alias("b")), ["tag", "v"])
-    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
 def _grams(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,13 +299,16 @@ def _grams(seed: int):
     return run
 
 
-def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def similar(sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose Jaccard similarity is LEAST or more, all of them compared exactly but
-    those that are one tree already. None of the sets is empty."""
+    those that are one tree already; sets with equal known numbers are from the start. None of the sets is empty."""
     size = np.array(list(map(len, sets)))
     kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(size) - size
     root, mine, out = np.arange(len(sets)), np.zeros(len(kinds), bool), []
+    if known is not None:
+        first: dict[int, int] = {}
+        root = np.array([first.setdefault(k, i) for i, k in enumerate(known)])
     for i in range(len(sets)):
         if (root == root[i]).all():
             break
@@ -312,84 +318,147 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         mine[own] = False
         near = np.flatnonzero((LEAST[1] * both >= LEAST[0] * (size + size[i] - both)) & (root != root[i]))
         if len(near):
-            roots, first = np.unique(root[near], return_index=True)
-            out += [(i, int(near[k])) for k in first]
+            roots, first_of = np.unique(root[near], return_index=True)
+            out += [(i, int(near[k])) for k in first_of]
             root[np.isin(root, roots)] = root[i]
     return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, x, y, node, grams) lie sorted by the first three; the links of each such group."""
+    """Rows (group, x, y, node, component, grams) lie sorted by the first three; the links of each such group."""
     now, held, out = None, {}, []
 
     def done() -> None:
         if len(held) > 1:
             names = list(held)
-            out.extend((names[i], names[j]) for i, j in similar([np.frombuffer(g, np.uint64) for g in held.values()]))
+            found = similar([np.frombuffer(g, np.uint64) for _, g in held.values()], [c for c, _ in held.values()])
+            out.extend((names[i], names[j]) for i, j in found)
 
     def emit() -> pa.RecordBatch:
-        found = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        found = _links_of(out)
         out.clear()
         return found
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if row[:3] != now:
                 done()
                 now, held = row[:3], {}
-            held[row[3]] = row[4]
+            held[row[3]] = row[4:]
         if len(out) > 10_000:
             yield emit()
     done()
     yield emit()
 
 
-def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 1024, words: int = 2_000_000) -> DataFrame:
-    """Links (u, v) within the groups of members(group, node, n_words) whose exact Jaccard similarity of five-word shingles is
-    LEAST or more: of each group a spanning forest. Groups are compared in blocks of bounded rows and words.
-    docs: key, text; nodes: node, key. members is read twice."""
-    members = members.filter("n_words > 0")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_words").alias("all_words"), F.bit_xor("node").alias("who")).filter("n > 1")
-    sizes = sizes.groupBy("n", "all_words", "who").agg(F.min("group").alias("group"))  # bands with the same nodes are compared once
-    sizes = saved(sizes.select("group", F.ceil(F.greatest(F.col("n") / block, F.col("all_words") / words)).cast("int").alias("blocks")), "sizes")
-    shared = saved(members.join(sizes, "group").select("group", "node", "blocks"), "shared")
-    asked = nodes.select("node", "key").join(shared.select("node").distinct(), "node", "left_semi")
-    found = docs.join(asked, "key").dropDuplicates(["node"]).select("node", "text")
-    grams = saved(found.mapInArrow(_grams(seed), "node long, grams binary"), "grams")
+def _links_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """node, grams: the hashes of the shingles of each of nodes(node, key), from docs(key, text)."""
+    found = docs.join(nodes, "key").dropDuplicates(["node"]).select("node", "text")
+    return saved(found.mapInArrow(_grams(seed), "node long, grams binary"), "grams")
+
+
+def within_groups(grams: DataFrame, members: DataFrame, block: int = 1024, most_grams: int = 2_000_000) -> DataFrame:
+    """Links (u, v) within the groups of members(group, node, n_grams, component): of each group what joins its components to a
+    spanning forest. Groups are compared in blocks of bounded rows and shingles. members is read twice."""
+    members = members.filter("n_grams > 0")
+    who = F.bit_xor(F.xxhash64("node"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_grams").alias("all_grams"), who.alias("who")).filter("n > 1")
+    sizes = sizes.groupBy("n", "all_grams", "who").agg(F.min("group").alias("group"))  # groups of the same nodes are compared once
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("all_grams") / most_grams)).cast("int")
+    sizes = saved(sizes.select("group", blocks.alias("blocks")), "sizes")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    rows = shared.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("group", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node").join(grams, "node")
+    rows = members.join(sizes, "group").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "component").join(grams, "node")
     keys = ["group", "x", "y"]
-    rows = rows.select(*keys, "node", "grams").repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select(*keys, "node", "component", "grams").repartition(*keys).sortWithinPartitions(*keys)
     return rows.mapInArrow(_verified, "u long, v long")
 
 
-def _pair_groups(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.xxhash64(F.lit("pair"), "u", "v").alias("group"), F.explode(F.array("u", "v")).alias("node"))
+def verified(docs: DataFrame, nodes: DataFrame, members: DataFrame, seed: int = 42, block: int = 1024, words: int = 2_000_000) -> DataFrame:
+    """within_groups() of members(group, node, n_words) that have no components yet. docs: key, text; nodes: node, key."""
+    members = members.select("group", "node", F.col("n_words").alias("n_grams"), F.col("node").alias("component"))
+    asked = nodes.select("node", "key").join(members.select("node").distinct(), "node", "left_semi")
+    return within_groups(shingle_sets(docs, asked, seed), members, block, words)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (u, v, grams of u, grams of v) of pairs that are similar."""
+    for batch in batches:
+        out = []
+        for u, v, *sets in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            a, b = (np.frombuffer(x, np.uint64) for x in sets)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both):
+                out.append((u, v))
+        yield _links_of(out)
+
+
+def alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose exact Jaccard similarity is LEAST or more."""
+    rows = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
+    rows = rows.join(grams.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    return rows.select("u", "v", "a", "b").mapInArrow(_alike, "u long, v long")
+
+
+def _may_fit(a: str, b: str) -> Column:
+    """Sets of such sizes can share enough."""
+    return (F.least(a, b) > 0) & (LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b))
+
+
+def _near_prints(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (u, v) of nodes(node, fps), the first ones of fingerprints within the distance; none is verified."""
+    here = nodes.select("node", F.posexplode("fps").alias("tag", "fp"))
+    first = saved(here.groupBy("tag", "fp").agg(F.min("node").alias("first")), "firsts")
+    near = links(first.select("tag", "fp"), distance)
+    near = near.join(first.select("tag", F.col("fp").alias("u"), F.col("first").alias("a")), ["tag", "u"])
+    near = near.join(first.select("tag", F.col("fp").alias("v"), F.col("first").alias("b")), ["tag", "v"]).filter("a <> b")
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def cluster_words(docs: DataFrame, count: int = 4, seed: int = 42, distance: int = 3) -> DataFrame:
+def cluster_words(docs: DataFrame, count: int = 1, seed: int = 42, distance: int = 3) -> DataFrame:
     """doc_id, key, component_id for each row of docs. Texts that are equal but for case and white space are one node;
-    nodes of which one of several fingerprints of distinct words is within the distance, or a band of least shingle
+    nodes of which one of `count` fingerprints of distinct words is within the distance, or a band of least shingle
     hashes is equal, are candidates, and link if the exact Jaccard similarity of their five-word shingles is LEAST or
     more. The bands find what fingerprints do not: cut or lengthened copies at 0.8 differ in 6 to 10 bits of 64."""
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = saved(taken.mapInArrow(_word_prints(count, seed), "doc_id long, key long, node long, n_words long, fps array<long>, bands array<long>"), "word-prints")
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n_words").alias("n_words"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
-    pairs = saved(_word_pairs(nodes, distance), "word-pairs")
-    texts = taken.select("key", "text")
-    members = nodes.select(F.explode(F.slice("bands", 1, FIRST)).alias("group"), "node", "n_words").unionByName(_pair_groups(pairs).join(nodes.select("node", "n_words"), "node"))
-    edges = saved(verified(texts, nodes, members, seed), "first-edges")
-    # other bands count only where they hold texts that the first ones have not linked: copies share most of their bands
-    known = saved(components(edges), "first-components")
-    members = nodes.select(F.explode(F.slice("bands", FIRST + 1, BANDS)).alias("group"), "node", "n_words").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("group")
-    members = saved(members.join(mixed, "group", "left_semi").select("group", "node", "n_words"), "mixed-groups")
-    edges = edges.unionByName(verified(texts, nodes, members, seed))
-    joined = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    taken = _keyed(docs)
+    prints = f"doc_id long, key {KEY}, same {KEY}, n_grams long, fps array<long>, bands array<long>"
+    rows = saved(taken.mapInArrow(_word_prints(count, seed), prints), "word-prints")
+    least = [F.min(c).alias(c) for c in ("key", "n_grams", "fps", "bands")]
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("least"), *least)
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    # groups of two and more: equal bands, equal fingerprints
+    prints = F.transform("fps", lambda fp, tag: F.xxhash64(F.lit("print"), tag, fp))
+    members = nodes.select("node", "n_grams", F.explode(F.concat("bands", prints)).alias("group"))
+    centres = members.groupBy("group").agg(F.min(F.struct("node", "n_grams")).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    shared = saved(members.join(centres, "group").select("group", "node", "n_grams", F.col("centre.node").alias("centre"), F.col("centre.n_grams").alias("n_centre")), "shared")
+    near = saved(_near_prints(nodes, distance), "near-prints")
+    ends = shared.select("node").unionAll(near.select("u")).unionAll(near.select("v")).distinct()
+    grams = shingle_sets(taken.select("key", "text"), nodes.select("node", "key").join(ends, "node", "left_semi"), seed)
+
+    # each node against the first of its groups
+    star = shared.filter("node <> centre").filter(_may_fit("n_grams", "n_centre")).select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    edges = saved(alike(star, grams), "star-links")
+    known = saved(components(edges), "star-components")
+
+    # what is left: groups that hold several components, and fingerprints that are near
+    own = saved(nodes.join(known, "node", "left").select("node", "n_grams", F.coalesce("component", "node").alias("component")), "contracted")
+    placed = shared.join(own.select("node", "component"), "node")
+    mixed = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("group")
+    mixed = saved(placed.join(mixed, "group", "left_semi").select("group", "node", "n_grams", "component"), "mixed-groups")
+    for end in ("u", "v"):
+        near = near.join(own.select(F.col("node").alias(end), F.col("n_grams").alias(f"n_{end}"), F.col("component").alias(f"c_{end}")), end)
+    apart = near.filter("c_u <> c_v").filter(_may_fit("n_u", "n_v")).select("u", "v")
+    edges = edges.unionByName(within_groups(grams, mixed)).unionByName(alike(apart, grams))
+
+    joined = nodes.select("node", "same", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = joined.select("node", "component").join(names, "component").select("node", "component_id")
-    return rows.join(known, "node").select("doc_id", "key", "component_id")
+    known = joined.join(names, "component").select("same", "component_id")
+    return rows.select("doc_id", "key", "same").join(known, "same").select("doc_id", "key", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -399,7 +468,7 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     (name,) = free(docs.columns, "row_key")
     keys = saved(best.select(F.col("best.key").alias(name)).distinct(), "kept")
-    rows = docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text"))).join(keys, name, "left_semi")
+    rows = docs.withColumn(name, row_key("doc_id", "text")).join(keys, name, "left_semi")
     twice = saved(found.groupBy("key").count().filter("count > 1").select(F.col("key").alias(name)), "repeated")
     if not twice.isEmpty():  # rows that are there more than once
         rows = rows.join(twice, name, "left_anti").unionByName(rows.join(twice, name, "left_semi").dropDuplicates([name]))

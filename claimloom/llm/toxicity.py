@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_hashed, pieces, table, texts
+from .common import KEY, least_hashed, pieces, row_key, table, texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 CHAIN, PAD = 64, -30.0
@@ -277,8 +277,8 @@ def _score(model):
 def score(docs: DataFrame, model: Field) -> DataFrame:
     """doc_id, key, score, spans (code points of offending tokens) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(shared), "doc_id long, key long, score double, spans array<struct<start:int,end:int>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_score(shared), f"doc_id long, key {KEY}, score double, spans array<struct<start:int,end:int>>")
 
 
 def reject(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
