@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import ranks, spearman  # noqa: F401
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -50,18 +52,6 @@ def fractional_rank(keys: list[str], value: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / 2
 
 
-def ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """rows plus the fractional rank of `value` within keys. Counts of values are ranked, so a group costs as many rows as
-    it has different values, and those lie in ranges over all tasks: places within a range, plus the sums of the ranges before."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("times")).repartitionByRange(*keys, value).withColumn("range_id", F.spark_partition_id())
-    sums = counts.groupBy(*keys, "range_id").agg(F.sum("times").alias("all_times"))
-    before = sums.withColumn("before", F.sum("all_times").over(Window.partitionBy(*keys).orderBy("range_id")) - F.col("all_times")).drop("all_times")  # a row for each range
-    inside = F.sum("times").over(Window.partitionBy(*keys, "range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), [*keys, "range_id"])
-    ranked = placed.select(*keys, value, (F.col("before") + F.col("inside") + (F.col("times") + 1) / 2).alias(out))
-    return rows.join(ranked, [*keys, value])
-
-
 def quadratic_kappa(rows: DataFrame, a: str, b: str, levels: int) -> DataFrame:
     """n, exact agreement and quadratically weighted kappa of two ratings from 0 below `levels`, from sums alone."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -72,16 +62,18 @@ def quadratic_kappa(rows: DataFrame, a: str, b: str, levels: int) -> DataFrame:
     return n.select("n", "exact", F.when(chance > 0, 1 - seen / chance).alias("kappa"))
 
 
-def set_overlap(members: DataFrame, key: str, name: str) -> DataFrame:
-    """Jaccard of every two sets of keys; members: (key, name). Two empty sets are alike."""
-    m = members.select(key, name).distinct()
-    size = m.groupBy(name).agg(F.count("*").alias("n"))
-    both = m.alias("l").join(m.alias("r"), key).groupBy(F.col(f"l.{name}").alias("a"), F.col(f"r.{name}").alias("b")).agg(F.count("*").alias("n_both"))
-    left, right = size.select(F.col(name).alias("a"), F.col("n").alias("n_a")), size.select(F.col(name).alias("b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, F.lit(True))  # a handful of names each
-    out = pairs.join(both, ["a", "b"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
-    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
-    return out.select("a", "b", "n_both", union.alias("n_union"), F.when(union == 0, 1.0).otherwise(F.col("n_both") / union).alias("jaccard"))
+def set_overlap(members: DataFrame, key: str, name: str, most: int = 64) -> DataFrame:
+    """Jaccard of every two sets of keys; members: (key, name). Two empty sets are alike. Every key is reduced to the list of
+    its names, and equal lists are counted, before any are paired; more than `most` names are refused."""
+    known = [r[0] for r in members.select(name).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"more than {most} sets")
+    lists = members.groupBy(key).agg(F.array_sort(F.collect_set(name)).alias("names")).groupBy("names").agg(F.count("*").alias("n"))
+    every = F.array(*map(F.lit, known)) if known else F.array().cast(f"array<{members.schema[name].dataType.simpleString()}>")
+    pairs = lists.select("n", "names", F.explode(every).alias("a")).select("n", "names", "a", F.explode(every).alias("b"))
+    in_a, in_b = F.array_contains("names", F.col("a")), F.array_contains("names", F.col("b"))
+    out = pairs.groupBy("a", "b").agg(*(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in (("n_both", in_a & in_b), ("n_union", in_a | in_b))))
+    return out.select("a", "b", "n_both", "n_union", F.when(F.col("n_union") == 0, 1.0).otherwise(F.col("n_both") / F.nullif("n_union", F.lit(0))).alias("jaccard"))
 
 
 def set_prf(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..sources import scratch
+from .order import numbered
 
 
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -36,34 +38,32 @@ def hashed(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("||", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def stratified(rows: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42, parts: int = 64) -> DataFrame:
-    """`each` rows of every stratum by hash, then the least by hash of the rest, up to `total`. The first rows of the
-    strata come from parts of each; what fills up is among the least `total` of all, found without a full sort."""
+def stratified(rows: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42) -> DataFrame:
+    """`each` rows of every stratum by hash, then the least by hash of the rest, up to `total`. Every task sends on `each`
+    rows of a stratum (window group limit) and `total` rows for what fills up; nothing is sorted whole."""
     order = (hashed(key, seed), F.col(key))
-    first = _least(rows, [stratum], each, order, parts).withColumn("late", F.lit(0))
-    spare = rows.orderBy(*order).limit(total).join(first.select(key), key, "left_anti").withColumn("late", F.lit(1))
-    return first.unionByName(spare).orderBy("late", *order).limit(total).drop("late")
+    nth = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    first = rows.withColumn("late", nth).filter(F.col("late") <= each).withColumn("late", F.lit(0))
+    spare = rows.orderBy(*order).limit(total).withColumn("late", F.lit(1))
+    least = first.unionByName(spare).groupBy(key).agg(F.min(F.struct("late", *(c for c in rows.columns if c != key))).alias("r"))
+    out = least.select(*(F.col(c) if c == key else F.col(f"r.{c}").alias(c) for c in rows.columns), F.col("r.late").alias("late"))
+    return out.orderBy("late", *order).limit(total).drop("late")
 
 
 def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(hashed(key, seed), key).limit(n)
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """rows plus their place by the order of key, from 0: places within ranges of the key, plus the counts of those before.
-    Rows with equal keys lie in one range."""
-    ranged = rows.repartitionByRange(key).withColumn("range_id", F.spark_partition_id())
-    inside = Window.partitionBy("range_id").orderBy(key)
-    counts = ranged.groupBy("range_id").agg(F.count("*").alias("n"))
-    before = counts.select("range_id", (F.sum("n").over(Window.orderBy("range_id")) - F.col("n")).alias("before"))  # a row for each range
-    placed = ranged.withColumn(name, F.row_number().over(inside) - 1).join(F.broadcast(before), "range_id")
-    return placed.withColumn(name, F.col(name) + F.col("before")).drop("range_id", "before")
+def paired(rows: DataFrame, key: str) -> DataFrame:
+    """Each row beside itself (matched) and beside the one that mismatched() gives it."""
+    same = rows.select(key, F.col(key).alias("other"), F.lit(True).alias("matched"))
+    return same.unionByName(mismatched(rows, key).withColumn("matched", F.lit(False)))
 
 
 def mismatched(rows: DataFrame, key: str) -> DataFrame:
     """Each row beside the one max(3, n / 3) places on, by the order of key, the last ones beside the first."""
     n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
-    i = numbered(rows.select(key), key, "i")
+    i = scratch.keep(numbered(rows.select(key), key, "i"), "numbers")
     step = F.greatest(F.lit(3), F.floor(F.col("n") / 3))
     other = i.select(F.col(key).alias("other"), F.col("i").alias("j"))
     return i.join(n, F.lit(True)).withColumn("j", (F.col("i") + step) % F.col("n")).join(other, "j").select(key, "other")

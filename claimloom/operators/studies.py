@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from . import metrics as M
+from . import order as O
 from . import resample as B
 from . import selection as D
 from .claims import with_claims
@@ -61,14 +62,15 @@ def threshold_grid(rows: DataFrame, support: str, score: str, cluster: str, reps
 
 
 def quantile_by(rows: DataFrame, key: str, value: str, at: DataFrame) -> DataFrame:
-    """key, threshold: the linearly interpolated quantile of value at `p` of at(key, p), over counts of distinct values."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))  # distinct values only
-    total = counts.groupBy(key).agg(F.sum("c").alias("n"))
-    held = upto.join(F.broadcast(total.join(at, key)), key).withColumn("h", (F.col("n") - 1) * F.col("p"))  # a row for each estimator
-    low, high = F.min(F.when(F.col("upto") > F.floor("h"), F.col(value))), F.min(F.when(F.col("upto") > F.ceil("h"), F.col(value)))
-    h = F.first("h")
-    return held.groupBy(key).agg((low + (high - low) * (h - F.floor(h))).alias("threshold"))
+    """key, threshold: the linearly interpolated quantile of value at `p` of at(key, p)."""
+    return O.quantiles(rows, [key], value, at).select(key, F.col("quantile").alias("threshold"))
+
+
+def matched_threshold(rows: DataFrame, value: str, reference: str, fixed: float = 0.8) -> DataFrame:
+    """threshold, rate: the threshold of value that as large a share passes as passes the reference at the fixed one."""
+    rate = rows.agg(O.share_passing(F.col(reference), fixed).alias("rate"))
+    found = O.quantiles(rows, [], value, rate.select((1 - F.col("rate")).alias("p"))).select("p", F.col("quantile").alias("threshold"))
+    return found.select("threshold", (1 - F.col("p")).alias("rate"))
 
 
 def estimator_robustness(rows: DataFrame, reference: str, key: str = "estimator", value: str = "support", score: str = "constraint_score", fixed: float = 0.8) -> DataFrame:
@@ -79,7 +81,7 @@ def estimator_robustness(rows: DataFrame, reference: str, key: str = "estimator"
     at = names.join(rate, F.lit(True)).select(key, (1 - F.col("rate")).alias("p"))  # a name each, one rate
     matched = quantile_by(rows, key, value, at)
     v, bad = F.col(value), F.col(score) < 1
-    own = rows.join(F.broadcast(matched), key)
+    own = rows.join(matched, key)
     return own.groupBy(key).agg(
         F.count("*").alias("n"), F.avg(v).alias("mean"), M.pearson(v, F.col(score)).alias("pearson"), F.count_if(v >= fixed).alias("n_fixed"), F.count_if((v >= fixed) & bad).alias("n_fixed_divergent"),
         F.first("threshold").alias("threshold"), F.count_if(v >= F.col("threshold")).alias("n_matched"), F.count_if((v >= F.col("threshold")) & bad).alias("n_matched_divergent"),
@@ -89,8 +91,8 @@ def estimator_robustness(rows: DataFrame, reference: str, key: str = "estimator"
 def mode_comparison(rows: DataFrame, *keys: str, support: str = "support", score: str = "constraint_score") -> DataFrame:
     """Metrics by model and mode, correlations of support and score included."""
     means = M.group_metrics(rows, *keys, support=support, score=score)
-    ranked = M.ranks(M.ranks(rows.select(*keys, support, score), list(keys), support, "rank_x"), list(keys), score, "rank_y")
-    both = ranked.groupBy(*keys).agg(M.pearson(F.col(support), F.col(score)).alias("pearson"), M.pearson(F.col("rank_x"), F.col("rank_y")).alias("spearman"))
+    linear = rows.groupBy(*keys).agg(M.pearson(F.col(support), F.col(score)).alias("pearson"))
+    both = linear.join(O.spearman(rows, list(keys), support, score).select(*keys, F.col("rho").alias("spearman")), list(keys))
     return means.join(both, list(keys))
 
 
@@ -108,7 +110,7 @@ def canonical_manifest(records: DataFrame, spec: Column, cap: int = 500) -> Data
         drawn = D.stratified(pool.select("response_id", "stratum"), "stratum", "response_id", 1, n, seed=n)
         marks = marks.join(drawn.select("response_id", F.lit(True).alias(f"in_{name}")), "response_id", "left")
     flags = ["in_primary", "in_pool", *(f"in_{n}" for n in L.SAMPLES)]
-    out = rows.join(F.broadcast(marks), "response_id", "left")  # at most cap rows a family
+    out = rows.join(marks, "response_id", "left")
     return out.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags}).drop("pooled")
 
 

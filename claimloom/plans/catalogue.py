@@ -21,6 +21,10 @@ from ..streaming import scoring
 from . import render
 
 
+#: formulas that one document in 50 each is said to be about
+BOOST_FORMULAS = ("Fe2O3", "GaAs", "TiO2", "ZnO")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -275,13 +279,8 @@ def quantile_matched_threshold(spark, sf_dir):
     """The lexical threshold that passes as many records as nli does at 0.8: linear between order statistics, over
     counts of distinct values."""
     rows = _support(records(spark, sf_dir), "lexical", "nli").select(r6("lexical").alias("v"), "nli")
-    totals = rows.agg(F.count("*").alias("n"), F.avg((F.col("nli") >= 0.8).cast("double")).alias("rate"))
-    counts = rows.groupBy("v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))  # distinct values only
-    at = upto.join(F.broadcast(totals), F.lit(True)).withColumn("h", (F.col("n") - 1) * (1 - F.col("rate")))
-    low, high = F.min(F.when(F.col("upto") > F.floor("h"), F.col("v"))), F.min(F.when(F.col("upto") > F.ceil("h"), F.col("v")))
-    h = F.first("h")
-    return at.agg(r6(low + (high - low) * (h - F.floor(h))).alias("threshold"), r6(F.first("rate")).alias("rate"))
+    found = studies.matched_threshold(rows, "v", "nli")
+    return found.select(r6("threshold").alias("threshold"), r6("rate").alias("rate"))
 
 
 # Agreement, correlation, breakdowns
@@ -316,14 +315,13 @@ def pearson_by_group(spark, sf_dir):
 
 def spearman_by_group(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
-    ranked = M.ranks(M.ranks(x, ["l_returnflag"], "x", "rx"), ["l_returnflag"], "y", "ry")
-    return ranked.groupBy("l_returnflag").agg(F.count("*").alias("n"), r6(M.pearson(F.col("rx"), F.col("ry"))).alias("rho"))
+    return M.spearman(x, ["l_returnflag"], "x", "y").select("l_returnflag", "n", r6("rho").alias("rho"))
 
 
 def breakdown_grouping_sets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "source")
-    d.createOrReplaceTempView("claimloom_breakdown")
-    return spark.sql("SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n FROM claimloom_breakdown GROUP BY GROUPING SETS ((lang), (source), ())")
+    n = d.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"))
+    return n.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n")
 
 
 def micro_prf_sets(spark, sf_dir):
@@ -412,9 +410,20 @@ def generate_answers(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Over postings that are written once in a session; a query reads blocks, and no text."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.bm25_topk(docs, queries, k=3).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    found = R.search(R.kept(table(spark, sf_dir, "documents").select("doc_id", "text")), queries, k=3)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+def bm25_boosted(spark, sf_dir):
+    """Queries that name a formula, and documents that are about one."""
+    formulas = F.array(*map(F.lit, BOOST_FORMULAS))
+    about = lambda k, n: F.when(k % n < len(BOOST_FORMULAS), F.element_at(formulas, (k % n % len(BOOST_FORMULAS) + 1).cast("int")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", about(F.col("doc_id"), 50).alias("formula")).filter("formula IS NOT NULL")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" in "), about(F.col("item_id"), len(BOOST_FORMULAS))).alias("query"))
+    found = R.search(R.kept(table(spark, sf_dir, "documents").select("doc_id", "text")), queries, formulas=docs, k=3)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 def corpus_build_dedupe(spark, sf_dir):
@@ -570,6 +579,7 @@ def event_flag_rates(spark, sf_dir):
 
 
 QUERIES = [
+    bm25_boosted,
     render_qa_records, claims_by_kind, rule_scores, rule_violations_long, rule_counts, chemistry_rules, strict_rules, guard_sweep, rule_ablation,
     status_group_metrics, family_metrics, lexical_support, nli_support, token_overlap_metrics, segmented_support, ngram_cosine, dense_cosine,
     divergence_cases, threshold_grid, estimator_jaccard, estimator_set_sizes, quantile_matched_threshold,

@@ -183,6 +183,13 @@ fl AS (SELECT item_id AS query_id, f.doc_id, 0.0 AS score FROM benchmark, (SELEC
 al AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM sc UNION ALL SELECT * FROM fl) GROUP BY ALL)
 SELECT query_id, doc_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM al) WHERE rank <= 3"""
 
+_F4 = "['Fe2O3', 'GaAs', 'TiO2', 'ZnO']"
+_BOOSTED = (
+    _BM25.replace("coalesce(text, ''), '[A-Za-z0-9.+-]+'), lambda t: lower(t))) AS term FROM benchmark)", f"coalesce(text, '') || ' in ' || {_F4}[CAST(item_id % 4 AS INT) + 1], '[A-Za-z0-9.+-]+'), lambda t: lower(t))) AS term FROM benchmark)")
+    .replace("al AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM sc UNION ALL SELECT * FROM fl) GROUP BY ALL)", """bo AS (SELECT item_id AS query_id, doc_id, 20.0 AS score FROM benchmark, documents WHERE doc_id % 50 < 4 AND doc_id % 50 = item_id % 4),
+sb AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT * FROM sc UNION ALL SELECT * FROM bo) GROUP BY ALL), al AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM sb UNION ALL SELECT * FROM fl) GROUP BY ALL)""")
+)
+
 _GRAMS = "list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 
 
@@ -270,6 +277,7 @@ UNION ALL SELECT 'largest_family', CAST(most <= 0.2 * n AS INT), most FROM c, f
           WHEN template IN (13, 14) AND sup THEN 'The retrieved context identifies ' || f || ' as superconducting.' WHEN template IN (13, 14) THEN 'The retrieved context does not provide superconductivity evidence.'
           ELSE retrieved_context END AS generated FROM o""",
         "bm25_topk": _BM25,
+        "bm25_boosted": _BOOSTED,
         "corpus_build_dedupe": "WITH a AS (SELECT 'doc-' || doc_id AS corpus_id, doc_id AS seq, source, text, 'document' AS source_type FROM documents UNION ALL SELECT 'item-' || item_id, item_id, 'benchmark', text, 'item' FROM benchmark), o AS (SELECT *, row_number() OVER (PARTITION BY source, md5(coalesce(text, '')) ORDER BY seq, corpus_id) AS n FROM a) SELECT corpus_id, source, source_type, CAST(CASE seq % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END AS INT) AS priority FROM o WHERE n = 1",
         "balanced_primary_split": RECORDS + ", o AS (SELECT *, row_number() OVER (PARTITION BY constraint_family ORDER BY document_status <> 'current', part_id, template) AS n FROM r) SELECT response_id, constraint_family FROM o WHERE n <= 500",
         "stratified_sample": "WITH o AS (SELECT doc_id, source, md5(doc_id || '||42') AS h FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) > 3 AS late FROM o) SELECT doc_id, source FROM p ORDER BY late, h, doc_id LIMIT 100",

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _HELD: dict[tuple, str] = {}
 
@@ -26,12 +27,28 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/claimloom/{tag}-{uuid.uuid4().hex}"
 
 
-def once(spark: SparkSession, tag: str, source: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
-    """make(), written as Parquet the first time that it is asked for in this application with this tag and these files of
-    `source`, and read from there from then on. Files that change keep their names; write new ones, or a new folder."""
-    key = (spark.sparkContext.applicationId, tag, tuple(sorted(source.inputFiles())))
+def keep(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet and read from there: lineage is cut, and all that reads it reads the same rows."""
+    path = fresh(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state_of(spark: SparkSession, files: list[str]) -> tuple:
+    """Number, sizes and times of files, by their metadata alone."""
+    told = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    return tuple(map(str, told.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.sum("length")).first()))
+
+
+def once(spark: SparkSession, tag: str, source: DataFrame, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """make(), written as Parquet (in folders by the columns `by`) the first time that it is asked for in this application
+    with this tag and these files of `source`, and read from there from then on. Files that are overwritten in place
+    have other sizes or times, and are read anew."""
+    files = sorted(source.inputFiles())
+    key = (spark.sparkContext.applicationId, tag, tuple(files), state_of(spark, files))
     if key not in _HELD:
         made, path = make(), fresh(spark, tag)
-        made.write.option("compression", "zstd").parquet(path)
+        out = made.write.option("compression", "zstd")
+        (out.partitionBy(*by) if by else out).parquet(path)
         _HELD[key] = path
     return spark.read.parquet(_HELD[key])
