@@ -2,18 +2,21 @@
 
 Removes each byte that a string of `length` bytes covers which starts anywhere else too.
 
-1. Buckets: suffixes get the identifier (a 64-bit hash) of their first q = length / 2 bytes. Only a sample of
-   suffixes is shuffled: every start of a string of `length` bytes is assigned the suffix of least identifier
-   among the q + 1 that begin in its first half, the first among equals. That depends on the string alone, so
-   equal strings are assigned suffixes at the same place in one bucket. Buckets of one suffix are done.
-2. Refinement: within a bucket the strings assigned to its suffixes are ordered by two bucket identifiers, the
-   one of their start and the one q bytes later; both follow from the bytes around the suffix. A string whose
-   pair of identifiers comes twice is found elsewhere too, and its bytes are marked.
+1. Sampling: only a sample of suffixes is shuffled. Suffixes get the identifier (a 64-bit hash) of their first length / 2
+   bytes; every start of a string of `length` bytes is assigned the suffix of least identifier among those that
+   begin in its first half, the first among equals. That depends on the string alone, so equal strings are assigned
+   suffixes at the same place in one sample bucket. Sample buckets of one suffix are done.
+2. Refinement of what a sample bucket's suffixes stand for: every start gets the bucket of its first q-gram (25 bytes for
+   a length of 400). A bucket is refined by sorting its starts on the bucket identifiers of the starts q bytes later, which
+   gives the buckets of 2q bytes; those identifiers are reused in the next round, and so on up to `length` bytes.
+   A start that is alone in its bucket keeps its identifier and is sorted no more. Starts that are together in the
+   end are found elsewhere too, and their bytes are marked.
 3. Marks are united for each text, and the bytes that are left are kept.
 
-Equal texts are one text, of which one row is refined; if they have `length` bytes or more they go whole. A
-bucket of more than `hot` suffixes, beyond what a task should hold, is refined in rows of single strings, which
-Spark pre-aggregates and deals by their pair of identifiers; no task holds an unbounded bucket.
+Equal texts are one text, of which one row is refined; if they have `length` bytes or more they go whole. A sample
+bucket of more than `hot` suffixes, beyond what a task should hold, is refined in rows of single strings, whose
+identifiers are hashes of the pair of identifiers of half as many bytes, from the q-gram up; Spark pre-aggregates
+and deals them by identifier. No task holds an unbounded bucket.
 
 Defined cases: a null text is empty; repeated rows are equal texts; texts of fewer than `length` bytes stay;
 matches never cross documents; rows with a null doc_id count like any other; extra columns are ignored.
@@ -83,11 +86,53 @@ def assigned(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return place[first], first, np.append(first[1:], n) - 1
 
 
+def rounds(length: int, least: int = 25) -> list[int]:
+    """Lengths of the rounds of refinement: the q-gram, then up to twice as many bytes each time."""
+    out = [length]
+    while out[-1] > least:
+        out.append(-(-out[-1] // 2))
+    return out[::-1]
+
+
 def strings(text: np.ndarray, length: int) -> np.ndarray:
-    """Identifier of every string of `length` bytes: the bucket of its start and the one half its length later."""
-    q = length // 2
-    x = buckets(text, q)
-    return _stir(x[: len(text) - length + 1] * _U(3) + _stir(x[length - q : len(text) - q + 1]))
+    """Identifier of every string of `length` bytes: a hash of those of its two halves, which overlap if it is odd."""
+    sizes = rounds(length)
+    x = buckets(text, sizes[0])
+    for q, size in zip(sizes, sizes[1:], strict=False):
+        n = max(0, len(text) - size + 1)
+        x = _stir(x[:n] * _U(3) + _stir(x[size - q : size - q + n]))
+    return x
+
+
+def together(text: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
+    """Starts of strings of `length` bytes that come twice, ascending; room: the bytes from each start to its row's end."""
+    sizes = rounds(length)
+    alive = np.flatnonzero(room >= sizes[0])
+    if not len(alive):
+        return alive
+    h = buckets(text, sizes[0])
+    ids, high = np.zeros(len(text), np.int64), 0
+
+    def regroup(keys: np.ndarray) -> None:
+        """New identifiers for the starts alive, which then are those that are not alone."""
+        nonlocal alive, high
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        group = np.cumsum(new) - 1
+        ids[alive[order]] = high + group
+        high += int(group[-1]) + 1
+        alone = new & np.append(new[1:], True)
+        alive = np.sort(alive[order[~alone]])
+
+    regroup(h[alive])
+    for q, size in zip(sizes, sizes[1:], strict=False):
+        alive = alive[room[alive] >= size]
+        if not len(alive):
+            break
+        later = ids[alive + (size - q)]
+        regroup(ids[alive] * high + later)  # both below high, which the text's length bounds some times over
+    return alive
 
 
 def _sample(length: int):
@@ -142,25 +187,26 @@ def _identify(around: list[bytes], length: int, rows: int = 1000) -> tuple[np.nd
 
 
 def _refine(length: int):
-    """Rows come sorted by bucket; whole buckets are compared at once, many in one go."""
+    """Rows come sorted by sample bucket; whole buckets are compared at once, many in one go, as equal strings share one."""
 
     def compare(bucket: list[int], key: list[int], first: list[int], around: list[bytes]) -> pa.RecordBatch:
-        ids, own = _identify(around, length)
-        row = np.repeat(np.arange(len(own)), own)
-        mark = _stir(ids ^ _stir(np.array(bucket, np.int64).view(_U))[row])
-        _, back, n = np.unique(mark, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero(n[back] > 1)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+        sizes = np.fromiter(map(len, around), np.int64, len(around))
+        ends = np.cumsum(sizes)
+        text = np.frombuffer(b"".join(around), np.uint8)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(text))
+        hit = together(text, ends[row] - place, length)
         new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0))) if len(hit) else np.zeros(0, bool)
         a = hit[new]
         z = np.append(hit[np.flatnonzero(new)[1:] - 1], hit[-1:]) if len(hit) else hit
-        start = np.array(first, np.int64)[row[a]]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.int64)[row[a]]), pa.array((start + at[a]).astype(np.int32)), pa.array((start + at[z] + length).astype(np.int32))], names=["key", "start", "end"])
+        start = np.array(first, np.int64)[row[a]] - (ends - sizes)[row[a]]
+        columns = [np.array(key, np.int64)[row[a]], (start + a).astype(np.int32), (start + z + length).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
         for batch in batches:
-            for b in pieces(batch, 1000):
+            for b in pieces(batch, 1000, 1 << 20):
                 for h, c in zip(held, (b.column(i).to_pylist() for i in range(4)), strict=True):
                     h += c
                 last = held[0][-1]
@@ -187,7 +233,7 @@ def _single(length: int):
     return run
 
 
-def repeated(docs: DataFrame, length: int = 400, hot: int = 32_768) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataFrame:
     """doc_id, text, whole (all of it goes), marks (byte runs to remove, in no order, may overlap): one row for each row of docs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     own = saved(rows.filter(F.octet_length("text") >= length).groupBy("key", "id").agg(F.count("*").alias("n")), "texts")
