@@ -44,19 +44,37 @@ def _grams(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, as a lambda's variable; written plainly, each use of it would be a copy."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def ngram_cosine(question: Column, answer: Column, context: Column) -> Column:
-    """Cosine of exact counts of words and pairs."""
-    a, c = _grams(answer), _grams(context)
+    """Cosine of exact counts of words and pairs. The grams of both sides are sorted as one list and counted by runs, so the
+    work grows with a text as a sort does."""
+
+    def side(grams: Column, n: int) -> Column:
+        return F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(n).alias("side")))
+
+    both = F.array_sort(F.concat(side(_grams(answer), 0), side(_grams(context), 1)))
+
+    def runs(s: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        counted = lambda starts: F.transform(starts, lambda i, k: F.struct(F.get(s, i - 1).alias("x"), (F.coalesce(F.get(starts, k + 1), F.size(s) + 1) - i).cast("double").alias("n")))
+        return let(new, counted)
 
-    def count(xs: Column, x: Column) -> Column:
-        return F.size(F.filter(xs, lambda y: y == x)).cast("double")
+    def cosine(r: Column) -> Column:
+        def square(n: int) -> Column:
+            return F.sqrt(F.aggregate(r, F.lit(0.0), lambda t, x: t + F.when(x["x"]["side"] == n, x["n"] * x["n"]).otherwise(0.0)))
 
-    def dot(keys: Column, x: Column, y: Column) -> Column:
-        return F.aggregate(keys, F.lit(0.0), lambda s, k: s + count(x, k) * count(y, k))
+        # a gram of both sides is two runs, one after the other
+        shared = F.transform(r, lambda x, k: F.when((x["x"]["side"] == 0) & (F.get(r, k + 1)["x"]["g"] == x["x"]["g"]), x["n"] * F.get(r, k + 1)["n"]))
+        dot = F.aggregate(shared, F.lit(0.0), lambda t, v: t + F.coalesce(v, F.lit(0.0)))
+        norm = square(0) * square(1)
+        return F.when(norm > 0, F.least(F.lit(1.0), dot / norm)).otherwise(0.0)
 
-    ka, kc = F.array_distinct(a), F.array_distinct(c)
-    norm = F.sqrt(dot(ka, a, a)) * F.sqrt(dot(kc, c, c))
-    return F.when(norm > 0, F.least(F.lit(1.0), dot(F.array_intersect(ka, kc), a, c) / norm)).otherwise(0.0)
+    none = F.array().cast("array<struct<x:struct<g:string,side:int>,n:double>>")
+    return let(both, lambda s: F.when(F.size(s) == 0, 0.0).otherwise(let(F.when(F.size(s) > 0, runs(s)).otherwise(none), cosine)))
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

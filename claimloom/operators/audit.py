@@ -60,6 +60,11 @@ def item(category: str, value: Column) -> Column:
     return text
 
 
+def blank_columns(rows: DataFrame, predicted: list[str], prefix: str = "predicted_", to: str = "gold_") -> DataFrame:
+    """rows plus an empty column for an annotator beside each predicted one."""
+    return rows.withColumns({to + c.removeprefix(prefix): F.lit("") for c in predicted})
+
+
 def completeness(rows: DataFrame, flag: str = "annotation_complete") -> DataFrame:
     """One row: how many annotations are not complete. Score only where that is none."""
     done = F.lower(F.trim(_text(F.col(flag).cast("string")))).isin("yes", "true", "1")

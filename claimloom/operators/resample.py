@@ -2,13 +2,16 @@
 
 Rows are reduced to one row of sums for each cluster before anything is drawn. The weight of a cluster in a replicate is
 Poisson with mean 1, from a hash of both, so clusters are neither numbered nor joined: each task weighs its own clusters
-and adds them up by replicate before the shuffle. A row bootstrap is one in which each row is a cluster.
+and adds them up by replicate before the shuffle. A row bootstrap is one in which each row is a cluster. Statistics that are
+no sums (rank correlation, quantiles) go through little_bootstraps().
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +75,86 @@ def pearson_of() -> Column:
     n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
     spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
     return F.when(spread > 0, (n * sxy - sx * sy) / F.sqrt(spread))
+
+
+# Statistics that are no sums
+
+
+def poisson_steps(mean: float) -> np.ndarray:
+    """2^32 times the chances of at most 0, 1, 2, ... of a Poisson variable; STEPS for a mean of 1."""
+    if mean == 1:
+        return np.array(STEPS, np.int64)
+    chance, total, k, out = math.exp(-mean), 0.0, 0, []
+    while k < mean + 12 * math.sqrt(mean) + 12:
+        total += chance
+        out.append(math.floor(2**32 * min(1.0, total)))
+        k += 1
+        chance *= mean / k
+    return np.array(out, np.int64)
+
+
+def drawn(hashes: np.ndarray, rep: int, steps: np.ndarray) -> np.ndarray:
+    """Weights of rows in a replicate, as weighted() draws them."""
+    x = (hashes + rep * _GOLD) & (2**32 - 1)
+    for factor in (_MIX, _MIX, 1):
+        x = ((x ^ (x >> 16)) * factor) & (2**32 - 1)
+    return np.searchsorted(steps, x, side="right")
+
+
+def weighted_pearson(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    n = w.sum()
+    dx, dy = x - (w * x).sum() / n, y - (w * y).sum() / n
+    spread = math.sqrt((w * dx * dx).sum()) * math.sqrt((w * dy * dy).sum())
+    return float((w * dx * dy).sum() / spread) if spread > 0 else math.nan
+
+
+def weighted_rank(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Fractional ranks in the table in which each row stands w times."""
+    _, place = np.unique(x, return_inverse=True)
+    times = np.bincount(place, w)
+    return (np.cumsum(times) - times + (times + 1) / 2)[place]
+
+
+def weighted_spearman(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    return weighted_pearson(weighted_rank(x, w), weighted_rank(y, w), w)
+
+
+def median_gap(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Difference of the weighted medians of both sides."""
+
+    def median(v: np.ndarray) -> float:
+        order = np.argsort(v, kind="stable")
+        upto = np.cumsum(w[order])
+        low, high = (np.searchsorted(upto, q, side="right") for q in ((upto[-1] - 1) // 2, upto[-1] // 2))
+        return float(v[order][low] + v[order][high]) / 2
+
+    return median(x) - median(y)
+
+
+def little_bootstraps(rows: DataFrame, key: str, x: str, y: str, statistic=weighted_spearman, reps: int = 1000, bag_rows: int = 20_000, level: float = 0.95) -> DataFrame:
+    """point, ci_low, ci_high, n, bags: a percentile interval of any statistic(x, y, weights) by the bag of little bootstraps.
+
+    Rows are dealt by hash of their key into bags of about bag_rows, every row into one. A replicate of a bag stands for a
+    table as large as the whole: a row's weight is Poisson with the mean n / (rows of a bag), from a hash of key and
+    replicate. Ends of the intervals, and points, are averaged over the bags. One bag is the plain bootstrap. A task holds
+    one bag, however large the table, and replicates never leave it. Rows with a null are left out."""
+    known = rows.select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    n = known.count()
+    bags = max(1, -(-n // bag_rows))
+    hashed = known.withColumn("hash", F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long"))
+    dealt = hashed.withColumn("bag", F.pmod(F.xxhash64("key"), F.lit(bags)))
+
+    def bag(rows: pd.DataFrame) -> pd.DataFrame:
+        h, a, b = (rows[c].to_numpy() for c in ("hash", "x", "y"))
+        steps, again = poisson_steps(n / len(h) if bags > 1 else 1), []
+        for rep in range(reps):
+            w = drawn(h, rep, steps)
+            here = w > 0
+            v = statistic(a[here], b[here], w[here]) if here.any() else math.nan
+            if not math.isnan(v):
+                again.append(v)
+        low, high = np.quantile(again, [(1 - level) / 2, (1 + level) / 2]) if again else (math.nan, math.nan)
+        return pd.DataFrame({"point": [statistic(a, b, np.ones(len(h), np.int64))], "ci_low": [low], "ci_high": [high], "n": [len(h)]})
+
+    each = dealt.select("bag", "hash", "x", "y").groupBy("bag").applyInPandas(bag, "point double, ci_low double, ci_high double, n long")
+    return each.agg(*(F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in ("point", "ci_low", "ci_high")), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("bags"))

@@ -9,9 +9,16 @@ from pyspark.sql.streaming import StreamingQueryListener
 from ..operators.rules import score_rows
 
 
+def once_within(rows: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
+    """A stream's rows, each key once within `late` of its event time. Rows that come after the watermark has passed them are
+    dropped, and so is what is kept of a key, so what is kept grows with the delay and not with the stream; a key that
+    comes again after that counts as new."""
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
 def scored_stream(records: DataFrame, key: str = "response_id", time: str | None = None, late: str = "1 hour") -> DataFrame:
     """records with rules scored, each key once: within `late` of event time if there is one, else for good."""
-    once = records.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if time else records.dropDuplicates([key])
+    once = once_within(records, key, time, late) if time else records.dropDuplicates([key])
     return score_rows(once)
 
 
