@@ -2,16 +2,18 @@
 
 Rows are reduced to one row of sums for each cluster before anything is drawn. The weight of a cluster in a replicate is
 Poisson with mean 1, from a hash of both, so clusters are neither numbered nor joined: each task weighs its own clusters
-and adds them up by replicate before the shuffle. A row bootstrap is one in which each row is a cluster. Statistics that are
+in matrices and adds them up, so what is shuffled is a row for each task and replicate, however many the clusters are. A row bootstrap is one in which each row is a cluster. Statistics that are
 no sums (rank correlation, quantiles) go through little_bootstraps().
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +46,49 @@ def intervals(rows: DataFrame, cluster: str, sums: dict[str, Column], statistics
     """For each value of the keys and each statistic, an expression over the sums: itself, and with _low and _high the
     percentile interval over the replicates. Null clusters are left out."""
     per = rows.filter(F.col(cluster).isNotNull()).groupBy(*keys, cluster).agg(*(c.alias(k) for k, c in sums.items()))
-    drawn = per.withColumn("hash", F.conv(F.substring(F.md5(F.col(cluster).cast("string")), 1, 8), 16, 10).cast("long"))
-    drawn = drawn.select(*keys, *sums, "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    drawn = weighted(drawn).filter("weight > 0")
-    again = drawn.groupBy(*keys, "rep").agg(*(F.sum(F.col(k) * F.col("weight")).alias(k) for k in sums)).select(*keys, *(s.alias(n) for n, s in statistics.items()))
+    hashed = per.select(*keys, F.conv(F.substring(F.md5(F.col(cluster).cast("string")), 1, 8), 16, 10).cast("long").alias("hash"), *(F.col(k).cast("double").alias(k) for k in sums))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.select(*keys).schema] + ["rep long"] + [f"`{k}` double" for k in sums]
+    drawn_sums = hashed.mapInArrow(_replicates(len(keys), list(sums), reps), ", ".join(fields))
+    again = drawn_sums.groupBy(*keys, "rep").agg(*(F.sum(k).alias(k) for k in sums)).select(*keys, *(s.alias(n) for n, s in statistics.items()))
     ends = {"_low": (1 - level) / 2, "_high": (1 + level) / 2}
     ci = again.groupBy(*keys).agg(*(F.percentile(n, F.lit(q)).alias(n + end) for n in statistics for end, q in ends.items()))
     point = per.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in sums)).select(*keys, *(s.alias(n) for n, s in statistics.items()))
     return point.join(ci, list(keys)) if keys else point.join(ci, F.lit(True))  # one row each without keys
 
 
+def _replicates(n_keys: int, names: list[str], reps: int, at_once: int = 256, most: int = 64):
+    """Sums of the weighted clusters of a task, by keys and replicate; of `most` keys at once, so that memory is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        every, steps = np.arange(reps, dtype=np.int64)[None, :], poisson_steps(1)
+        kinds: list[pa.DataType] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for key, total in held.items():
+                columns = [pa.array([k] * reps, t) for k, t in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(every[0]), *(pa.array(c) for c in total.T)], names=[*fields, "rep", *names])
+            held.clear()
+
+        for b in batches:
+            fields, kinds = b.schema.names[:n_keys], b.schema.types[:n_keys]
+            hashes = b.column(n_keys).to_numpy()
+            values = np.stack([np.nan_to_num(b.column(n_keys + 1 + i).to_numpy(zero_copy_only=False)) for i in range(len(names))], axis=1)
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in range(n_keys)), strict=True) if n_keys else [()] * b.num_rows):
+                groups.setdefault(key, []).append(i)
+            for key, rows in groups.items():
+                if key not in held and len(held) >= most:
+                    yield from emit()
+                total = held.setdefault(key, np.zeros((reps, len(names))))
+                for i in range(0, len(rows), at_once):
+                    part = rows[i : i + at_once]
+                    total += drawn(hashes[part][:, None], every, steps).T @ values[part]
+        yield from emit()
+
+    return run
+
+
 def interval(rows: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, reps: int = REPS) -> DataFrame:
     """point, ci_low, ci_high of one statistic."""
     return intervals(rows, cluster, sums, {"point": statistic}, reps).select("point", F.col("point_low").alias("ci_low"), F.col("point_high").alias("ci_high"))
@@ -93,7 +128,7 @@ def poisson_steps(mean: float) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def drawn(hashes: np.ndarray, rep: int, steps: np.ndarray) -> np.ndarray:
+def drawn(hashes: np.ndarray, rep: int | np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Weights of rows in a replicate, as weighted() draws them."""
     x = (hashes + rep * _GOLD) & (2**32 - 1)
     for factor in (_MIX, _MIX, 1):

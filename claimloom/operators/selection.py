@@ -38,12 +38,14 @@ def hashed(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("||", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def stratified(rows: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42) -> DataFrame:
+def stratified(rows: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42, parts: int = 0) -> DataFrame:
     """`each` rows of every stratum by hash, then the least by hash of the rest, up to `total`. Every task sends on `each`
-    rows of a stratum (window group limit) and `total` rows for what fills up; nothing is sorted whole."""
+    rows of a stratum (window group limit) and `total` rows for what fills up; nothing is sorted whole. parts: into how
+    many a stratum is cut first, where even a task's `each` rows of it are too many for one."""
     order = (hashed(key, seed), F.col(key))
     nth = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    first = rows.withColumn("late", nth).filter(F.col("late") <= each).withColumn("late", F.lit(0))
+    first = _least(rows, [stratum], each, order, parts) if parts else rows.withColumn("late", nth).filter(F.col("late") <= each).drop("late")
+    first = first.withColumn("late", F.lit(0))
     spare = rows.orderBy(*order).limit(total).withColumn("late", F.lit(1))
     least = first.unionByName(spare).groupBy(key).agg(F.min(F.struct("late", *(c for c in rows.columns if c != key))).alias("r"))
     out = least.select(*(F.col(c) if c == key else F.col(f"r.{c}").alias(c) for c in rows.columns), F.col("r.late").alias("late"))
