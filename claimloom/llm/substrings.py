@@ -105,36 +105,57 @@ def strings(text: np.ndarray, length: int) -> np.ndarray:
 
 
 def together(text: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
-    """Starts of strings of `length` bytes that come twice, ascending; room: the bytes from each start to its row's end."""
-    sizes = rounds(length)
+    """Starts of strings of `length` bytes that come twice, ascending; room: the bytes from each start to its row's end.
+
+    A bucket's identifier is the start of one of its members, so identifiers stay below the text's length whatever is
+    split off, and a pair of them and a place fit one number for a text of up to two million bytes."""
+    sizes, width = rounds(length), max(1, len(text).bit_length())
     alive = np.flatnonzero(room >= sizes[0])
     if not len(alive):
         return alive
-    h = buckets(text, sizes[0])
-    ids, high = np.zeros(len(text), np.int64), 0
-
-    def regroup(keys: np.ndarray) -> None:
-        """New identifiers for the starts alive, which then are those that are not alone."""
-        nonlocal alive, high
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        group = np.cumsum(new) - 1
-        ids[alive[order]] = high + group
-        high += int(group[-1]) + 1
-        alone = new & np.append(new[1:], True)
-        alive = np.sort(alive[order[~alone]])
-
-    regroup(h[alive])
+    ids, more = np.zeros(len(text), np.int64), np.zeros(len(text), bool)
+
+    def regroup(order: np.ndarray, new: np.ndarray) -> None:
+        """New identifiers for the starts alive, in this order with these first ones; those in company stay alive."""
+        nonlocal alive
+        place = alive[order]
+        ids[place] = place[new][np.cumsum(new) - 1]
+        company = ~(new & np.append(new[1:], True))
+        more[:] = False
+        more[place[company]] = True
+        alive = np.flatnonzero(more)
+
+    h = buckets(text, sizes[0])[alive]
+    order, new = _ordered_hashes(h, width)
+    regroup(order, new)
     for q, size in zip(sizes, sizes[1:], strict=False):
         alive = alive[room[alive] >= size]
         if not len(alive):
             break
-        later = ids[alive + (size - q)]
-        regroup(ids[alive] * high + later)  # both below high, which the text's length bounds some times over
+        pair = (ids[alive] << width) | ids[alive + (size - q)]
+        if 3 * width <= 63:
+            packed = np.sort((pair << width) | np.arange(len(pair)))
+            order, pair = packed & ((1 << width) - 1), packed >> width
+        else:
+            order = np.argsort(pair)
+            pair = pair[order]
+        regroup(order, np.concatenate(([True], pair[1:] != pair[:-1])))
     return alive
 
 
+def _ordered_hashes(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and which of them is the first of its kind."""
+    if 3 * width <= 63:
+        packed = np.sort((h & ~_U((1 << width) - 1)) | np.arange(len(h), dtype=_U))
+        order = (packed & _U((1 << width) - 1)).astype(np.int64)
+        kind, high = h[order], packed >> _U(width)
+        new, apart = kind[1:] != kind[:-1], high[1:] != high[:-1]
+        if (new == apart).all():  # no two kinds share their high bits
+            return order, np.concatenate(([True], new))
+    order = np.argsort(h)
+    return order, np.concatenate(([True], h[order][1:] != h[order][:-1]))
+
+
 def _sample(length: int):
     q = length // 2
 
