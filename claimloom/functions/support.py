@@ -168,6 +168,7 @@ def scorer(name: str) -> Callable[[Column, Column, Column], Column]:
     return SCORERS[name]
 
 
-def provided_or(name: str, provided: Column, question: Column, answer: Column, context: Column) -> tuple[Column, Column]:
-    """Score and method: the provided score where there is one, else the named scorer's."""
-    return F.coalesce(provided, scorer(name)(question, answer, context)), F.when(provided.isNotNull(), "provided_column").otherwise(name)
+def provided_or(name: str, provided: Column, question: Column, answer: Column, context: Column, strict: bool = False) -> tuple[Column, Column]:
+    """Score and method: the provided score where there is one, else the named scorer's; strict: a missing one fails."""
+    rest = F.raise_error(F.lit(f"no provided score, and {name} must not stand in")).cast("double") if strict else scorer(name)(question, answer, context)
+    return F.coalesce(provided, rest), F.when(provided.isNotNull(), "provided_column").otherwise(name)

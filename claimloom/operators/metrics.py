@@ -76,12 +76,22 @@ def set_overlap(members: DataFrame, key: str, name: str, most: int = 64) -> Data
     return out.select("a", "b", "n_both", "n_union", F.when(F.col("n_union") == 0, 1.0).otherwise(F.col("n_both") / F.nullif("n_union", F.lit(0))).alias("jaccard"))
 
 
+def _items(c: str) -> Column:
+    """A `;`-list as a set of lower-cased items."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ";"), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def field_agreement(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """field, n, exact (share of equal sets) and jaccard (mean overlap; two empty sets are alike) of two annotators' `;`-lists."""
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("field"), _items(a).alias("a"), _items(b).alias("b")) for k, (a, b) in pairs.items()))).alias("x")).select("x.*")
+    both, every = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
+    overlap = F.when(every == 0, 1.0).otherwise(both / F.nullif(every, F.lit(0)))
+    return long.groupBy("field").agg(F.count("*").alias("n"), F.avg((both == every).cast("double")).alias("exact"), F.avg(overlap).alias("jaccard"))
+
+
 def set_prf(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Micro precision, recall and F1 of predicted against gold `;`-lists by category, and over all."""
 
-    def items(c: str) -> Column:
-        return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ";"), lambda x: F.trim(x)), lambda x: x != ""))
-
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("category"), items(p).alias("p"), items(g).alias("g")) for k, (p, g) in pairs.items()))).alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("category"), _items(p).alias("p"), _items(g).alias("g")) for k, (p, g) in pairs.items()))).alias("x")).select("x.*")
     n = long.rollup("category").agg(F.sum(F.size(F.array_intersect("p", "g"))).alias("tp"), F.sum(F.size(F.array_except("p", "g"))).alias("fp"), F.sum(F.size(F.array_except("g", "p"))).alias("fn"))
     return n.select(F.coalesce("category", F.lit("overall")).alias("category"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))

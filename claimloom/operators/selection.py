@@ -98,3 +98,11 @@ def as_boolean(c: Column, unknown: str = "raise") -> Column:
     t = F.lower(F.trim(c.cast("string")))
     other = F.raise_error(F.concat(F.lit("no boolean: "), t)).cast("boolean") if unknown == "raise" else F.lit(False)
     return F.when(t.isNull() | t.isin("", "none", "nan", "null", "false", "0", "0.0", "no", "n"), False).when(t.isin("true", "1", "1.0", "yes", "y"), True).otherwise(other)
+
+
+def first_missing(rows: DataFrame, file: str, at: str, required: list[str]) -> DataFrame:
+    """For each file the number of rows that lack something required, and the first such row by `at`."""
+    lacks = F.lit(False)
+    for c in required:
+        lacks = lacks | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    return rows.groupBy(file).agg(F.count_if(lacks).alias("n_missing"), F.min(F.when(lacks, F.col(at))).alias("first_missing"))

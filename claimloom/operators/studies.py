@@ -160,3 +160,17 @@ def probes(spark, n: int = 15) -> DataFrame:
     at = good.withColumn("nth", F.row_number().over(Window.partitionBy("constraint", "kind").orderBy("i"))).filter(F.col("nth") <= n)  # at most 2n rows
     status = F.element_at(_array(L.STATUSES[:3]), ((F.col("nth") - 1) % 3 + 1).cast("int"))
     return at.select(F.concat_ws("-", "constraint", "kind", F.col("nth").cast("string")).alias("probe_id"), "constraint", "kind", status.alias("document_status"), "question", "answer")
+
+
+def probes_for(rows: DataFrame, key: str) -> DataFrame:
+    """key, constraint, kind, question, answer, hit: a probe for each row, whose number picks the rule, whether it is to be
+    broken, and what fills the placeholders; hit tells whether the rules say that it is broken."""
+    k = F.col(key).cast("long")
+    specs = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("constraint", "ask", "broken", "clean"), p, strict=True))) for p in PROBES))
+    spec = F.element_at(specs, (k % len(PROBES) + 1).cast("int"))
+    kind = F.when(F.floor(k / len(PROBES)) % 2 == 0, "violation").otherwise("clean")
+    m, x = F.element_at(_array(MATERIALS), (k % len(MATERIALS) + 1).cast("int")), (k % 9 + 1).cast("string")
+    fill = lambda t: F.replace(F.replace(t, F.lit("{m}"), m), F.lit("{x}"), x)
+    tried = rows.select(key, spec.alias("spec"), kind.alias("kind"))
+    tried = tried.select(key, F.col("spec.constraint").alias("constraint"), "kind", fill(F.col("spec.ask")).alias("question"), fill(F.when(F.col("kind") == "violation", F.col("spec.broken")).otherwise(F.col("spec.clean"))).alias("answer"))
+    return with_claims(tried).select(key, "constraint", "kind", "question", "answer", F.array_contains(violations(), F.col("constraint")).alias("hit"))

@@ -220,7 +220,10 @@ def manifest_validation(spark, sf_dir):
 
 
 def probe_records(spark, sf_dir):
-    return studies.probes(spark)
+    """A probe for each part: which rule it is aimed at, and whether it is caught."""
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    found = studies.probes_for(rows, "p_partkey")
+    return found.select(F.col("p_partkey").cast("long").alias("part_id"), "constraint", "kind", "question", "answer", F.col("hit").cast("int").alias("hit"))
 
 
 def natural_filter(spark, sf_dir):

@@ -15,14 +15,15 @@ from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import physics as P
 from ..operators import resample as B
+from ..operators import rules
 from ..operators import selection as D
-from ..sources import files, scratch
+from ..sources import files, io, scratch
 from ..sources.cache import ScoreCache
 from ..streaming import scoring
 from ..streaming.ledger import Ledger
 from . import render
 from .catalogue import _manifest, _support, r6, records, scored, table, turns
-from .oracle import _MANIFEST, LEX, PHYS, RECORDS, SCORED, TURNS, _dot, _weighted
+from .oracle import _MANIFEST, LEX, PHYS, RECORDS, SCORED, TURNS, _boot, _dot, _weighted
 
 
 def _events(spark, sf_dir):
@@ -338,7 +339,89 @@ def annotation_sheet(spark, sf_dir):
 
 ANNOTATION_SQL = "SELECT count(*) * 16 AS n, count(*) * 15 AS n_incomplete, 3::BIGINT AS n_gold FROM part"
 
+# Claims in the given texts
+
+#: templates whose answer is a bare number or says nothing, which mean nothing inside a longer text
+ALONE = (1, 5, 15)
+
+
+def _told(keys):
+    """One rendered question and answer for each key."""
+    rows = render.qa_records(keys)
+    return rows.filter((F.col("template") == F.col("part_id") % len(render.TEMPLATES)) & ~F.col("template").isin(*ALONE)).select("part_id", F.col("question").alias("asked"), F.col("answer").alias("said"))
+
+
+def document_claims(spark, sf_dir):
+    """Rules over whole documents, each with a claim at its end: long texts, of which one sentence counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(_told(docs.select(F.col("doc_id").alias("p_partkey"))), F.col("doc_id") == F.col("part_id"))
+    rows = rows.select("doc_id", F.col("asked").alias("question"), F.concat("text", F.lit(". "), "said").alias("answer"))
+    return rules.score_rows(rows).select("doc_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
+
+
+def conversation_rules(spark, sf_dir):
+    """Rules over the turns of conversations: the user's turn with a question behind it, the assistant's with a claim before it."""
+    rows = turns(spark, sf_dir).withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    told = _told(rows.select(F.col("k").alias("p_partkey")))
+    rows = rows.join(told, F.col("k") == F.col("part_id"))
+    rows = rows.select("conv_id", "turn", F.concat("question", F.lit(" "), "asked").alias("question"), F.concat("said", F.lit("\n"), "answer").alias("answer"))
+    return rules.score_rows(rows).select("conv_id", "turn", "constraint_score", F.array_join("violations", ";").alias("violations"))
+
+
+def _claims_sql(keys: str) -> str:
+    return SCORED.replace("FROM part)", f"FROM ({keys}))")
+
+
+_MEANT = f"template = part_id % {len(render.TEMPLATES)} AND template NOT IN {ALONE}"
+DOCUMENT_SQL = _claims_sql("SELECT doc_id AS p_partkey FROM documents") + f" SELECT part_id AS doc_id, CAST(clean AS DOUBLE) AS constraint_score, array_to_string(v, ';') AS violations FROM s WHERE {_MEANT}"
+TURN_SQL = _claims_sql("SELECT conv_id * 1000 + turn AS p_partkey FROM (SELECT conv_id, turn, role, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE role = 'user' AND answer IS NOT NULL")
+TURN_SQL += f" SELECT part_id // 1000 AS conv_id, part_id % 1000 AS turn, CAST(clean AS DOUBLE) AS constraint_score, array_to_string(v, ';') AS violations FROM s WHERE {_MEANT}"
+
+
+# Fallbacks, missing values, fields
+
+
+def fallback_clusters(spark, sf_dir):
+    """A bootstrap whose clusters are tasks, samples where the task is blank, and responses where both are."""
+    rows = scored(spark, sf_dir).select("response_id", "constraint_score", F.when(F.col("template") % 4 == 0, F.lit(" ")).otherwise(F.col("base_task_id")).alias("task"), F.when(F.col("template") % 8 != 0, F.concat(F.lit("s-"), F.col("part_id").cast("string"))).alias("sample"))
+    rows = rows.withColumn("cluster", B.cluster_id("task", "sample", "response_id"))
+    out = B.interval(rows, "cluster", {"n": F.count("*").cast("double"), "s": F.sum("constraint_score")}, F.col("s") / F.col("n"), 200)
+    return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")))
+
+
+FALLBACK_SQL = SCORED + _boot("SELECT CASE WHEN template % 4 <> 0 THEN base_task_id WHEN template % 8 <> 0 THEN 's-' || part_id ELSE response_id END AS c, CAST(count(*) AS DOUBLE) AS n, CAST(sum(clean) AS DOUBLE) AS s FROM s GROUP BY 1", ("n", "s"), "s / n", 200)
+
+
+def missing_by_file(spark, sf_dir):
+    """For each source the first document that lacks its language or its text."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("lang"))
+    return D.first_missing(rows, "source", "doc_id", ["lang", "text"]).select("source", "n_missing", F.coalesce("first_missing", F.lit(-1)).alias("first_missing"))
+
+
+MISSING_SQL = "WITH m AS (SELECT source, doc_id, doc_id % 11 = 0 OR lang IS NULL OR trim(lang) = '' OR text IS NULL OR trim(text) = '' AS lacks FROM documents) SELECT source, count(*) FILTER (WHERE lacks) AS n_missing, coalesce(min(doc_id) FILTER (WHERE lacks), -1) AS first_missing FROM m GROUP BY source"
+
+
+def head_filled(spark, sf_dir):
+    """The first documents by number, missing sizes as 0."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("n_chars"))
+    return io.head(rows, 25, "doc_id")
+
+
+def field_agreement(spark, sf_dir):
+    """Two annotators' lists by field: share of equal ones and mean overlap."""
+    v = F.array_join("violations", ";")
+    rows = scored(spark, sf_dir).select(v.alias("a"), F.when(F.col("template") % 2 == 0, v).otherwise("non_negative_band_gap").alias("b"), "constraint_family", "model")
+    out = M.field_agreement(rows, {"violations": ("a", "b"), "family_model": ("constraint_family", "model"), "model": ("model", "model")})
+    return out.select("field", "n", r6("exact").alias("exact"), r6("jaccard").alias("jaccard"))
+
+
+FIELD_SQL = SCORED + """, x AS (SELECT v AS p, CASE WHEN template % 2 = 0 THEN v ELSE ['non_negative_band_gap'] END AS g FROM s),
+j AS (SELECT len(list_intersect(p, g)) AS i, len(list_distinct(list_concat(p, g))) AS u FROM x)
+SELECT 'violations' AS field, count(*) AS n, round(avg(CAST(i = u AS DOUBLE)), 6) AS exact, round(avg(CASE WHEN u = 0 THEN 1.0 ELSE i::DOUBLE / u END), 6) AS jaccard FROM j UNION ALL SELECT 'family_model', count(*), 0.0, 0.0 FROM s UNION ALL SELECT 'model', count(*), 1.0, 1.0 FROM s"""
+
 QUERIES = {
+    document_claims: DOCUMENT_SQL, conversation_rules: TURN_SQL, fallback_clusters: FALLBACK_SQL, missing_by_file: MISSING_SQL, field_agreement: FIELD_SQL,
+    head_filled: "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN coalesce(n_chars, 0) ELSE 0 END AS n_chars FROM documents ORDER BY doc_id LIMIT 25",
     ledger_log: LEDGER_SQL, watermark_dedupe: WATERMARK_SQL, atom_entries: ATOM_SQL, manifest_digests: DIGEST_SQL, mode_metric_files: MODE_SQL,
     cache_compaction: "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     price_quantiles: QUANTILE_SQL, spearman_interval: SPEARMAN_SQL, trigram_support: TRIGRAM_SQL, provided_support: PROVIDED_SQL,

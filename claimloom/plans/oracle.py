@@ -138,14 +138,11 @@ p AS (SELECT * FROM m2 WHERE n <= 500), q AS (SELECT response_id, concat_ws('|',
 )
 
 
-def _probes(n: int = 15) -> str:
-    one = []
-    for rule, ask, broken, clean in PROBES:
-        for kind, text in (("violation", broken), ("clean", clean)):
-            one.append(f"SELECT '{rule}' AS rule, '{kind}' AS kind, '{ask}' AS ask, '{text}' AS text")
-    pick = "('0x' || substr(md5(rule || '|' || kind || '|' || i || '|{}'), 1, 8))::BIGINT % {}"
-    return f"""WITH t AS ({' UNION ALL '.join(one)}), u AS (SELECT *, {list(MATERIALS)}[CAST({pick.format('m', len(MATERIALS))} AS INT) + 1] AS m, CAST({pick.format('x', 9)} + 1 AS VARCHAR) AS x FROM t, (SELECT unnest(range({n})) AS i))
-SELECT rule || '-' || kind || '-' || (i + 1) AS probe_id, rule AS "constraint", kind, {list(L.STATUSES[:3])}[CAST(i % 3 AS INT) + 1] AS document_status, replace(replace(ask, '{{m}}', m), '{{x}}', x) AS question, replace(replace(text, '{{m}}', m), '{{x}}', x) AS answer FROM u"""
+_PROBE_ROWS = (
+    "SELECT part_id, p[1] AS constraint, kind, replace(replace(p[2], '{m}', m), '{x}', x) AS question, replace(replace(CASE kind WHEN 'violation' THEN p[3] ELSE p[4] END, '{m}', m), '{x}', x) AS answer, CAST(kind = 'violation' AS INT) AS hit "
+    f"FROM (SELECT CAST(p_partkey AS BIGINT) AS part_id, {[list(p) for p in PROBES]}[CAST(p_partkey % {len(PROBES)} AS INT) + 1] AS p, CASE WHEN (p_partkey // {len(PROBES)}) % 2 = 0 THEN 'violation' ELSE 'clean' END AS kind, "
+    f"{list(MATERIALS)}[CAST(p_partkey % {len(MATERIALS)} AS INT) + 1] AS m, CAST(p_partkey % 9 + 1 AS VARCHAR) AS x FROM part)"
+)
 
 
 def _guard(name: str) -> str:
@@ -240,7 +237,7 @@ SELECT model, mode, count(*) AS n, round(avg(sup), 6) AS mean_support, round(avg
 z AS (SELECT (SELECT count(*) FROM ragas) AS a, (SELECT count(*) FROM dual) AS b)
 SELECT 'size_ragas' AS "check", CAST(a = 372 AS INT) AS ok, a AS found FROM z UNION ALL SELECT 'size_dual', CAST(b = 200 AS INT), b FROM z UNION ALL SELECT 'pool_within_primary', 1, 0 UNION ALL SELECT 'samples_within_pool', 1, 0
 UNION ALL SELECT 'largest_family', CAST(most <= 0.2 * n AS INT), most FROM c, f UNION ALL SELECT 'families', CAST(kinds >= 8 AS INT), kinds FROM f UNION ALL SELECT 'base_tasks', CAST(tasks >= 1000 AS INT), tasks FROM c UNION ALL SELECT 'natural_records', CAST(nat >= 400 AS INT), nat FROM c""",
-        "probe_records": _probes(),
+        "probe_records": _PROBE_ROWS,
         "natural_filter": "SELECT doc_id, n_words FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS BIGINT) AS n_words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL) WHERE n_words >= 30",
         "checked_join": "SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)",
         "judged_by_cache": SCORED + " SELECT CASE WHEN part_id % 3 <> 0 THEN 'cached' ELSE 'heuristic' END AS judge_backend, count(*) AS n, count(*) FILTER (WHERE CASE WHEN part_id % 3 <> 0 THEN (part_id + template) % 4 = 0 ELSE clean = 0 END) AS n_violation FROM s GROUP BY 1",

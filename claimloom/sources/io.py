@@ -37,6 +37,11 @@ def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
     return normalised(read(spark, path, schema))
 
 
+def head(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in the order, missing numbers as 0; found without a full sort."""
+    return df.orderBy(*order).limit(n).na.fill(0)
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """The usual column of each alias group, whichever name is there; NaN becomes null."""
     have = set(df.columns)

@@ -298,3 +298,19 @@ def test_pairs_of_both_kinds(spark):
     got = D.paired(spark.range(10).withColumnRenamed("id", "k"), "k").collect()
     assert sorted((r["k"], r["other"]) for r in got if r["matched"]) == [(i, i) for i in range(10)]
     assert sorted((r["k"], r["other"]) for r in got if not r["matched"]) == [(i, (i + 3) % 10) for i in range(10)]
+
+
+def test_small_branches(spark):
+    from claimloom.sources import io
+
+    rows = spark.createDataFrame([(3, "f", None, "a;B", "b; a"), (1, "f", "x", "", ""), (2, "g", " ", "a", "c")], "id int, file string, text string, p string, g string")
+    assert [(r["id"], r["n"]) for r in io.head(rows.withColumn("n", F.when(F.col("id") > 1, F.col("id"))), 2, "id").collect()] == [(1, 0), (2, 2)]
+    assert {r["file"]: (r["n_missing"], r["first_missing"]) for r in D.first_missing(rows, "file", "id", ["text"]).collect()} == {"f": (1, 3), "g": (1, 2)}
+    (r,) = M.field_agreement(rows, {"k": ("p", "g")}).collect()
+    assert (r["n"], round(r["exact"], 9), round(r["jaccard"], 9)) == (3, round(2 / 3, 9), round(2 / 3, 9))
+    text = F.col("text")
+    score, _ = S.provided_or("lexical", F.when(F.col("id") == 1, 0.5), text, text, text, strict=True)
+    assert rows.filter("id = 1").select(score).first()[0] == 0.5
+    with pytest.raises(Exception, match="no provided score"):
+        rows.select(score.alias("s")).collect()
+    assert D.stratified(rows, "file", "id", 1, 2).count() == 2
