@@ -1,7 +1,9 @@
 """Quality rules: base counts, and perplexity bands of a Kneser-Ney model (see charlm) for each language.
 
 The model is of characters across words, so the order of words counts: a unit is a whole document, its words
-between single spaces. Documents are in two folds by the hash of their text, copies in one; each is scored under
+between single spaces. It learns from the documents' text without the symbols of the base counts, so a symbol is a
+character that it does not know, whatever junk the corpus holds: a few in a text hardly move its perplexity, many
+do. Documents are in two folds by the hash of their text, copies in one; each is scored under
 the model of its language's other fold, which holds none of its own counts.
 
 Bands: each language has a middle and a scale of log-perplexity a character for every doubling of length, from
@@ -39,6 +41,14 @@ def joined(column: pa.Array) -> list[str]:
     return [str(b" ".join((t or b"").split()), "utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
+_NO_SYMBOL = str.maketrans("", "", SYMBOLS)
+
+
+def plain(column: pa.Array) -> list[str]:
+    """joined() without symbols: what a model learns from."""
+    return [" ".join(t.translate(_NO_SYMBOL).split(" ")) if t else t for t in joined(column)]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, _U)
     have = 1
@@ -127,7 +137,7 @@ def measure(docs: DataFrame, order: int = 4, max_rows: int = 2_000_000, chunk_ch
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string")
     fold = F.pmod(F.xxhash64(text), F.lit(2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"), fold.alias("fold"))
-    fitted = charlm.fit(rows.select(F.concat("lang", F.lit("/"), F.col("fold").cast("string")).alias("grp"), "text"), joined, order, max_rows, own=True)
+    fitted = charlm.fit(rows.select(F.concat("lang", F.lit("/"), F.col("fold").cast("string")).alias("grp"), "text"), plain, order, max_rows, own=True)
     asked = rows.select("doc_id", "lang", F.concat("lang", F.lit("/"), (1 - F.col("fold")).cast("string")).alias("grp"), "text")
     if fitted is None:
         return asked.mapInArrow(lambda batches: _measure(None, batches), _SCHEMA)
