@@ -52,3 +52,8 @@ def once(spark: SparkSession, tag: str, source: DataFrame, make: Callable[[], Da
         (out.partitionBy(*by) if by else out).parquet(path)
         _HELD[key] = path
     return spark.read.parquet(_HELD[key])
+
+
+def forget() -> None:
+    """What once() has written is made anew when it is asked for again."""
+    _HELD.clear()
