@@ -341,6 +341,10 @@ class Model:
         return out, size
 
 
+#: characters of all languages together up to which their rows are broadcast to a model that is itself too large
+MOST_CHARACTERS = 1_000_000
+
+
 class Fitted:
     """What fit() gives: the rows of the model in Spark, and the model itself where it is small enough."""
 
@@ -390,8 +394,13 @@ def scored(docs: DataFrame, fitted: Fitted, units_of: Callable, score: Callable,
                             if len(key):
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64))], names=["chunk", "len", "key"])
 
-    need = rows.select("chunk", "grp", "text").mapInArrow(needed, "chunk long, len int, key long").distinct()
-    shipped = need.join(fitted.rows, ["len", "key"]).select("chunk", F.struct("len", "key", "g", "logp", "backoff").alias("row"))
+    need = saved(rows.select("chunk", "grp", "text").mapInArrow(needed, "chunk long, len int, key long").distinct(), "needed-grams")
+    # every chunk asks for the empty n-gram and for most characters: those do not meet in the task of their key
+    short, long = "len <= 1", "len > 1"
+    few = fitted.rows.filter(short)
+    few = F.broadcast(few) if few.limit(MOST_CHARACTERS + 1).count() <= MOST_CHARACTERS else few
+    found = need.filter(long).join(fitted.rows.filter(long), ["len", "key"]).unionByName(need.filter(short).join(few, ["len", "key"]))
+    shipped = found.select("chunk", F.struct("len", "key", "g", "logp", "backoff").alias("row"))
     both = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast(shipped.schema["row"].dataType).alias("row"), F.struct(*names).alias("doc"))
     both = both.unionByName(shipped.select("chunk", F.lit(0).alias("kind"), "row", F.lit(None).cast(both.schema["doc"].dataType).alias("doc")))
     both = both.repartition(int(min(chunks, 20_000)), "chunk").sortWithinPartitions("chunk", "kind")
