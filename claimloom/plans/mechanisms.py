@@ -15,7 +15,7 @@ from ..operators import metrics as M
 from ..operators import order as O
 from ..operators import physics as P
 from ..operators import resample as B
-from ..operators import rules
+from ..operators import rules, studies
 from ..operators import selection as D
 from ..sources import files, io, scratch
 from ..sources.cache import ScoreCache
@@ -24,6 +24,7 @@ from ..streaming.ledger import Ledger
 from . import render
 from .catalogue import _manifest, _support, r6, records, scored, table, turns
 from .oracle import _MANIFEST, LEX, PHYS, RECORDS, SCORED, TURNS, _boot, _dot, _weighted
+from .oracle import oracle_sql as _oracle
 
 
 def _events(spark, sf_dir):
@@ -378,6 +379,28 @@ TURN_SQL = _claims_sql("SELECT conv_id * 1000 + turn AS p_partkey FROM (SELECT c
 TURN_SQL += f" SELECT part_id // 1000 AS conv_id, part_id % 1000 AS turn, CAST(clean AS DOUBLE) AS constraint_score, array_to_string(v, ';') AS violations FROM s WHERE {_MEANT}"
 
 
+def answer_only_rules(spark, sf_dir):
+    """Rules over answers whose questions are not known: a bare number then says nothing of a quantity."""
+    rows = records(spark, sf_dir).drop("question")
+    return rules.score_rows(rows, question=None).select("response_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
+
+
+ANSWER_SQL = SCORED + " SELECT response_id, CASE WHEN template IN (1, 5) THEN 1.0 ELSE CAST(clean AS DOUBLE) END AS constraint_score, CASE WHEN template IN (1, 5) THEN '' ELSE array_to_string(v, ';') END AS violations FROM s"
+
+
+def four_estimators(spark, sf_dir):
+    """The robustness study with a fourth estimator, the cosine of words and pairs."""
+    rows = _support(scored(spark, sf_dir), "lexical", "nli", "embedding").withColumn("overlap", S.word_overlap(F.col("answer"), F.col("retrieved_context")))
+    each = F.array(*(F.struct(F.lit(n).alias("estimator"), r6(n).alias("support")) for n in ("lexical", "nli", "overlap", "embedding")))
+    out = studies.estimator_robustness(rows.select("constraint_score", F.explode(each).alias("x")).select("constraint_score", "x.*"), "nli")
+    return out.select("estimator", "n", r6("mean").alias("mean"), r6("pearson").alias("pearson"), "n_fixed", "n_fixed_divergent", r6("threshold").alias("threshold"), "n_matched", "n_matched_divergent")
+
+
+_COSINES = f""", cw AS (SELECT response_id, clean, {_W.format('answer')} AS aw, {_W.format('retrieved_context')} AS kw FROM en), cg AS (SELECT response_id, clean, {_PAIRS.format('aw')} AS a, {_PAIRS.format('kw')} AS c FROM cw),
+ch AS (SELECT *, list_distinct(a) AS ka, list_distinct(c) AS kc FROM cg), cn AS (SELECT response_id, clean, {_dot('list_intersect(ka, kc)', 'a', 'c')} AS d, sqrt({_dot('ka', 'a', 'a')}) * sqrt({_dot('kc', 'c', 'c')}) AS n FROM ch), e AS (SELECT response_id, clean"""
+FOUR_SQL = _oracle()["estimator_robustness"].replace(", e AS (SELECT response_id, clean", _COSINES, 1).replace("'overlap', overlap FROM en)", "'overlap', overlap FROM en UNION ALL SELECT response_id, clean, 'embedding', CASE WHEN n > 0 THEN least(1.0, d / n) ELSE 0 END FROM cn)", 1)
+
+
 # Fallbacks, missing values, fields
 
 
@@ -420,7 +443,7 @@ j AS (SELECT len(list_intersect(p, g)) AS i, len(list_distinct(list_concat(p, g)
 SELECT 'violations' AS field, count(*) AS n, round(avg(CAST(i = u AS DOUBLE)), 6) AS exact, round(avg(CASE WHEN u = 0 THEN 1.0 ELSE i::DOUBLE / u END), 6) AS jaccard FROM j UNION ALL SELECT 'family_model', count(*), 0.0, 0.0 FROM s UNION ALL SELECT 'model', count(*), 1.0, 1.0 FROM s"""
 
 QUERIES = {
-    document_claims: DOCUMENT_SQL, conversation_rules: TURN_SQL, fallback_clusters: FALLBACK_SQL, missing_by_file: MISSING_SQL, field_agreement: FIELD_SQL,
+    answer_only_rules: ANSWER_SQL, four_estimators: FOUR_SQL, document_claims: DOCUMENT_SQL, conversation_rules: TURN_SQL, fallback_clusters: FALLBACK_SQL, missing_by_file: MISSING_SQL, field_agreement: FIELD_SQL,
     head_filled: "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN coalesce(n_chars, 0) ELSE 0 END AS n_chars FROM documents ORDER BY doc_id LIMIT 25",
     ledger_log: LEDGER_SQL, watermark_dedupe: WATERMARK_SQL, atom_entries: ATOM_SQL, manifest_digests: DIGEST_SQL, mode_metric_files: MODE_SQL,
     cache_compaction: "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",

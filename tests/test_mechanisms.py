@@ -314,3 +314,26 @@ def test_small_branches(spark):
     with pytest.raises(Exception, match="no provided score"):
         rows.select(score.alias("s")).collect()
     assert D.stratified(rows, "file", "id", 1, 2).count() == 2
+
+
+def test_blank_text_settings_and_documents(spark, tmp_path, monkeypatch):
+    import json
+    import os
+
+    from claimloom.sources import io
+
+    (tmp_path / "c.csv").write_text("id,text\n1,\n2,x\n")
+    kept = io.read_csv(spark, str(tmp_path / "c.csv"), "id string, text string", keep_blank=True, source_column="file")
+    assert {r["id"]: r["text"] for r in kept.collect()} == {"1": "", "2": "x"} and kept.first()["file"].endswith("c.csv")
+    assert io.read_csv(spark, str(tmp_path / "c.csv"), "id string, text string").filter("text IS NULL").count() == 1
+    (tmp_path / "env").write_text("# no=1\nNEW_SETTING = 'a b'\nOLD_SETTING=new\nno line\n")
+    monkeypatch.setenv("OLD_SETTING", "old")
+    monkeypatch.delenv("NEW_SETTING", raising=False)
+    io.load_env(str(tmp_path / "env"))
+    assert os.environ["NEW_SETTING"] == "a b" and os.environ["OLD_SETTING"] == "old"
+    monkeypatch.delenv("NEW_SETTING")
+    io.write_document(spark.createDataFrame([(1, ["a"])], "n int, tags array<string>"), str(tmp_path / "doc"))
+    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "doc")).collect()] == [{"n": 1, "tags": ["a"]}]
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "y.yaml").write_text(yaml.safe_dump({"a": [1]}))
+    assert io.read_yaml(str(tmp_path / "y.yaml")) == {"a": [1]}
