@@ -20,7 +20,8 @@ and deals them by identifier. No task holds an unbounded bucket.
 
 Defined cases: a null text is empty; repeated rows are equal texts; texts of fewer than `length` bytes stay;
 matches never cross documents; rows with a null doc_id count like any other; extra columns are ignored.
-Identifiers have 64 bits; two different strings in a bucket being taken as equal is out of reach.
+Identifiers have 64 bits; two different strings in a bucket being taken as equal is out of reach. Texts are known by a hash of
+64 bits; where two texts share one, which a second hash tells, that second one is theirs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, raw, saved, table
@@ -254,10 +255,31 @@ def _single(length: int):
     return run
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _second(text: Column) -> Column:
+    return F.xxhash64(F.lit("second"), text)
+
+
+def _texts(rows: DataFrame, length: int) -> DataFrame:
+    """key, id, n, and the least and greatest second hash of the texts with `length` bytes or more."""
+    long = rows.filter(F.octet_length("text") >= length).withColumn("second", _second(F.col("text")))
+    return saved(long.groupBy("key", "id").agg(F.count("*").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")), "texts")
+
+
 def repeated(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataFrame:
     """doc_id, text, whole (all of it goes), marks (byte runs to remove, in no order, may overlap): one row for each row of docs."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    own = saved(rows.filter(F.octet_length("text") >= length).groupBy("key", "id").agg(F.count("*").alias("n")), "texts")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id"), doc_id.alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("key", text_key(F.col("text")))
+    own = _texts(rows, length)
+    clash = saved(own.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("key"), "clashes")
+    if not clash.isEmpty():  # different texts of one key go by their second hash
+        rows = rows.join(clash.withColumn("clash", F.lit(True)), "key", "left")
+        rows = rows.withColumn("key", F.when(F.col("clash"), _second(F.col("text"))).otherwise(F.col("key"))).drop("clash")
+        own = _texts(rows, length)
     copies = own.groupBy("key").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
     sample = saved(rows.select("key", "text").mapInArrow(_sample(length), "bucket long, key long, first int, last int").distinct(), "suffixes")
     shared = saved(sample.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")

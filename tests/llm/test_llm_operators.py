@@ -589,3 +589,16 @@ def test_secrets_of_a_text_with_many(spark):
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert masked == {0: "é " + " ".join(["[SECRET]"] * 50_000) + " end", 1: "plain"}
     assert scanned < 15 and time.time() - began < 15
+
+
+def test_substrings_of_texts_whose_keys_are_equal(spark, monkeypatch):
+    """Texts that share a key are told apart by their second hash; equal texts stay one text."""
+    rng = random.Random(19)
+    shared = words(rng, 12, [f"n{i}" for i in range(50)])
+    texts = [words(rng, 20, [f"x{i}" for i in range(400)]) + (" " + shared if i % 3 == 0 else "") for i in range(24)]
+    texts += [texts[1], texts[2], "short"]
+    monkeypatch.setattr(substrings, "text_key", lambda text: F.pmod(F.length(text), F.lit(2)).cast("long"))
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(docs_of(spark, texts), 40).collect()}
+    for i, w in enumerate(brute_repeats(texts, 40)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == w, texts[i]
