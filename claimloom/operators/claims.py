@@ -42,14 +42,21 @@ def formula_candidate(formula: Column) -> Column:
     return ~formula.isin(*L.ACRONYMS) & formula.rlike("[a-z0-9]")
 
 
-def with_claims(rows: DataFrame, question: str | None = "question", answer: str = "answer") -> DataFrame:
+def with_claims(rows: DataFrame, question: str | None = "question", answer: str = "answer", since: Column | None = None) -> DataFrame:
     """rows plus a column for each name of IR: the claims and the answer's flags. Null texts are empty.
+    since: an offset in the answer; claims that start before it do not count, nor do words before it for the flags.
 
     They come out of a generator of one row, through which no filter is pushed and no expression is inlined, so
     the patterns are matched once for a record whatever is asked of the claims."""
     a, q = F.coalesce(F.col(answer), F.lit("")), F.coalesce(F.col(question), F.lit("")) if question else F.lit("")
     kept = rows.columns
     df = rows.withColumns({"_a": a, "_q": q, "_low": F.lower(a), "_quantity": quantity_of(q)})
+    own = F.col("_low") if since is None else F.lower(F.substring(F.col("_a"), since + 1, F.length("_a")))
+    skipped = None if since is None else F.length(F.lower(F.substring(F.col("_a"), F.lit(1), since)))  # a lower text may be longer
+
+    def counted(found: Column, least: Column | None) -> Column:
+        return found if least is None else F.filter(found, lambda c: c["start"] >= least)
+
     bare = F.when(F.col("_quantity") == "band_gap", _kind(spans(F.col("_a"), L.BARE_EV, 1), "bare_gap")).when(F.col("_quantity") == "formation_energy", _kind(spans(F.col("_a"), L.BARE_EV_PER_ATOM, 1), "bare_energy"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,raw:string,text:string>>")
     text = F.col("_a")
@@ -68,11 +75,12 @@ def with_claims(rows: DataFrame, question: str | None = "question", answer: str
             gated("pa", _kind(spans(text, L.PRESSURE, 1), "pressure")),
             F.filter(_kind(spans(text, L.FORMULA), "formula"), lambda c: formula_candidate(c["raw"])),
             F.when(any_in(F.col("_low"), ("space", "sg")), _kind(spans(text, L.SPACE_GROUP, 1), "space_group")).otherwise(none),
-            gated("stab", _kind(_first(spans(F.col("_low"), L.STABLE)), "stable")),
-            gated("superconduct", _kind(_first(spans(F.col("_low"), L.SUPERCONDUCTS)), "superconducts")),
+            gated("stab", _kind(_first(counted(spans(F.col("_low"), L.STABLE), skipped)), "stable")),
+            gated("superconduct", _kind(_first(counted(spans(F.col("_low"), L.SUPERCONDUCTS), skipped)), "superconducts")),
             F.coalesce(bare, none),
         ),
     })
+    df = df if since is None else df.withColumn("_found", F.filter("_found", lambda c: c["start"] >= F.when(c["kind"].isin("stable", "superconducts"), skipped).otherwise(since)))
     df = df.withColumn("_scoped", F.transform("_found", lambda c: F.struct(c.alias("c"), sentence_of(F.col("_a"), F.col("_ends"), c["start"], c["end"]).alias("sentence"))))
     df = df.withColumn("_scoped", F.transform("_scoped", lambda s: F.struct(s["c"].alias("c"), s["sentence"].alias("sentence"), (F.position(s["sentence"], F.col("_a")) - 1).alias("at"))))
     df = df.withColumn("_scoped", F.transform("_scoped", lambda s: F.struct(
@@ -92,7 +100,7 @@ def with_claims(rows: DataFrame, question: str | None = "question", answer: str
         F.when(s["c"]["kind"] == "stable", s["sentence"].rlike(L.OTHER_STABILITY)).alias("other_stability"),
         F.when(s["c"]["kind"] == "superconducts", any_in(F.regexp_replace(s["clause"], L.NO_EVIDENCE, ""), L.SUPERCONDUCTIVITY_EVIDENCE)).alias("evidence"),
     ))
-    low = F.col("_low")
+    low = own
     element = F.regexp_extract(F.trim(F.col("_q")), L.QUESTION_ELEMENT, 1)
     found = {
         "claims": claims, "quantity": F.col("_quantity"), "element": F.when(element.isin(*L.ELEMENTS), element),

@@ -56,9 +56,9 @@ def _outside(numbers: tuple):
     return test
 
 
-def score_rows(rows: DataFrame, question: str | None = "question", answer: str = "answer") -> DataFrame:
-    """rows plus `violations` and `constraint_score` (1.0 without any, else 0.0)."""
-    df = with_claims(rows.drop(*IR.values()), question, answer).withColumn("violations", violations()).drop(*IR.values())
+def score_rows(rows: DataFrame, question: str | None = "question", answer: str = "answer", since: Column | None = None) -> DataFrame:
+    """rows plus `violations` and `constraint_score` (1.0 without any, else 0.0); since: as in with_claims."""
+    df = with_claims(rows.drop(*IR.values()), question, answer, since).withColumn("violations", violations()).drop(*IR.values())
     return df.withColumn("constraint_score", F.when(F.size("violations") == 0, 1.0).otherwise(0.0))
 
 

@@ -353,11 +353,12 @@ def _told(keys):
 
 
 def document_claims(spark, sf_dir):
-    """Rules over whole documents, each with a claim at its end: long texts, of which one sentence counts."""
+    """Rules over whole documents, each with a claim at its end: long texts, of which the last line counts. What else they
+    hold (keys that look like formulas, numbers before a K) is matched, and is not the claim's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.join(_told(docs.select(F.col("doc_id").alias("p_partkey"))), F.col("doc_id") == F.col("part_id"))
-    rows = rows.select("doc_id", F.col("asked").alias("question"), F.concat("text", F.lit(". "), "said").alias("answer"))
-    return rules.score_rows(rows).select("doc_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
+    rows = rows.select("doc_id", F.col("asked").alias("question"), F.concat("text", F.lit(".\n"), "said").alias("answer"), (F.length("text") + 2).alias("since"))
+    return rules.score_rows(rows, since=F.col("since")).select("doc_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
 
 
 def conversation_rules(spark, sf_dir):
