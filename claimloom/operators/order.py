@@ -57,7 +57,12 @@ def ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho: rank correlation; null for a constant side. Works on counts of pairs of values, and ranks the values
     of each side alone."""
-    pairs = scratch.keep(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("times")), "pairs")
+    return spearman_of(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("times")), keys, x, y)
+
+
+def spearman_of(counts: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """spearman() of the table in which each pair of counts(keys, x, y, times) stands `times` times."""
+    pairs = scratch.keep(counts, "pairs")
     for side in (x, y):
         counts = pairs.groupBy(*keys, side).agg(F.sum("times").alias("times"))
         pairs = pairs.join(value_ranks(counts, keys, side, "times", f"{side}_rank"), [*keys, side])

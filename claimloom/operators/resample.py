@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from . import order
+
 #: 2^32 times the chances of at most 0, 1, 2, ... of a Poisson variable of mean 1
 STEPS = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
 #: replicates of a study
@@ -166,6 +169,24 @@ def median_gap(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return median(x) - median(y)
 
 
+def spearman_interval(rows: DataFrame, key: str, x: str, y: str, reps: int = 1000, level: float = 0.95) -> DataFrame:
+    """point, ci_low, ci_high, n: rank correlation with the percentile interval of the plain bootstrap over all rows, whatever
+    their number. The weights of a replicate are added up by pair of values, and all replicates are ranked over ranges at
+    once, as groups of one table; replicate -1 is the table itself. Rows with a null are left out."""
+    known = rows.select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    # rows of a value lie together, so that a task adds up most of their weights before they are shuffled
+    hashed = known.select(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long").alias("hash"), "x", "y")
+    hashed = hashed.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y", "hash")
+    each = weighted(hashed.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1)))))
+    times = F.when(F.col("rep") < 0, 1).otherwise(F.col("weight"))
+    counts = each.select("rep", "x", "y", times.cast("long").alias("times")).filter("times > 0").groupBy("rep", "x", "y").agg(F.sum("times").alias("times"))
+    rho = scratch.keep(order.spearman_of(counts, ["rep"], "x", "y"), "replicates")
+    again, one = rho.filter("rep >= 0"), rho.filter("rep < 0").select(F.col("rho").alias("point"), "n")
+    ends = again.agg(*(F.percentile("rho", F.lit(q)).alias(n) for n, q in (("ci_low", (1 - level) / 2), ("ci_high", (1 + level) / 2))))
+    n = one.agg(F.first("point").alias("point"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return n.join(ends, F.lit(True)).select("point", "ci_low", "ci_high", "n")  # one row each
+
+
 def little_bootstraps(rows: DataFrame, key: str, x: str, y: str, statistic=weighted_spearman, reps: int = 1000, bag_rows: int = 20_000, level: float = 0.95) -> DataFrame:
     """point, ci_low, ci_high, n, bags: a percentile interval of any statistic(x, y, weights) by the bag of little bootstraps.
 

@@ -184,11 +184,11 @@ QUANTILE_SQL = " UNION ALL ".join(f"SELECT l_returnflag, {p}::DOUBLE AS p, round
 
 
 def spearman_interval(spark, sf_dir):
-    """Rank correlation of the length of labelled documents and their quality, with an interval over rows."""
+    """Rank correlation of the length of labelled documents and their quality, with an interval over rows: one bag, the plain bootstrap of all rows."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y")).filter("y IS NOT NULL")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x")).join(labels, "doc_id")
-    out = B.little_bootstraps(rows, "doc_id", "x", "y", B.weighted_spearman, 400)
-    return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")), "n", "bags")
+    out = B.spearman_interval(rows, "doc_id", "x", "y", 400)
+    return out.select(*(r6(c).alias(c) for c in ("point", "ci_low", "ci_high")), "n", F.lit(1).cast("long").alias("bags"))
 
 
 _RHO = """SELECT rep, sum(w * dx * dy) / (sqrt(sum(w * dx * dx)) * sqrt(sum(w * dy * dy))) AS v FROM (SELECT rep, w, rx - sum(w * rx) OVER g / sum(w) OVER g AS dx, ry - sum(w * ry) OVER g / sum(w) OVER g AS dy FROM

@@ -66,6 +66,17 @@ def test_quantiles_are_those_of_percentile(spark, monkeypatch, few):
     assert every["quantile"] == 1.25
 
 
+def test_interval_of_ranks_over_more_rows_than_a_bag(spark):
+    n, reps = 21_000, 12
+    x, y = np.arange(n) % 97, (np.arange(n) * 7 + np.arange(n) % 97) % 11
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(n, None, 1.0)], "k long, x double, y double")
+    got = B.spearman_interval(rows, "k", "x", "y", reps).first()
+    hashes = np.array([r["h"] for r in rows.filter("x IS NOT NULL").orderBy("k").select(F.conv(F.substring(F.md5(F.col("k").cast("string")), 1, 8), 16, 10).cast("long").alias("h")).collect()])
+    again = [B.weighted_spearman(x, y, B.drawn(hashes, rep, B.poisson_steps(1))) for rep in range(reps)]
+    want = (B.weighted_spearman(x, y, np.ones(n, int)), *np.quantile(again, [0.025, 0.975]))
+    assert got["n"] == n and np.allclose([got[c] for c in ("point", "ci_low", "ci_high")], want, rtol=0, atol=1e-12)
+
+
 def test_little_bootstraps(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal(600)
