@@ -77,30 +77,29 @@ def spearman_of(counts: DataFrame, keys: list[str], x: str, y: str) -> DataFrame
 def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
     """wanted(keys, place) plus `found`: the value at this place (from 0) of its group's values in order, nulls and NaN left out.
 
-    Selection by refinement of a histogram: each group's interval that holds the place is split at approximate quantiles,
-    its parts are counted exactly, and the part that holds the place is the next interval. Every pass is one scan with two
+    Selection by refinement of a histogram: each interval that holds a place is split at approximate quantiles, its parts are
+    counted exactly, and the parts that hold its places are the next intervals. A row is read once for each interval that it
+    lies in, however many places that holds; in the first pass that is one. Every pass is one scan with two
     small aggregates and leaves a hundredth of the values or less, or one value; of an interval of FEW values or fewer the
     counts of its values are ordered. So no task orders the values of a group, whatever its size and spread.
     """
-    place = [*keys, "place"]
+    place, part = [*keys, "place"], [*keys, "under"]  # the values under an interval tell it from others of its group
     rows = _numbers(rows, keys, value)
     state = wanted.select(*place).distinct().withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf")), "under": F.lit(0).cast("long")})
     done = None
     while True:
         state = scratch.keep(state, "intervals")
-        live = rows.join(state, keys) if keys else rows.join(state, F.lit(True))  # of each group, its few intervals
-        live = live.filter("v >= low AND v <= high")
-        part = [*place, "under"]
+        live = _inside(rows, keys, state.select(*part, "low", "high").distinct())
         cuts = F.percentile_approx("v", F.array(*(F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS))), F.lit(10_000))
         seen = scratch.keep(live.groupBy(*part).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"), F.array_distinct(cuts).alias("cuts")), "splits")
-        one = seen.filter("low = high").select(*place, F.col("low").alias("found"))
-        few = seen.filter(f"low < high AND n <= {FEW}").select(*part, "low", "high")
+        places = state.select(*part, "place")
+        one = places.join(seen.filter("low = high"), part).select(*place, F.col("low").alias("found"))
         done = one if done is None else done.unionByName(one)
-        done = done.unionByName(_among_few(rows, keys, place, few))
+        done = done.unionByName(_among_few(rows, keys, places, seen.filter(f"low < high AND n <= {FEW}").select(*part, "low", "high")))
         many = seen.filter(f"low < high AND n > {FEW}")
         if many.isEmpty():
             return done
-        state = _narrowed(rows, keys, place, many)
+        state = _narrowed(rows, keys, places, many)
 
 
 def _numbers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -111,21 +110,28 @@ def _inside(rows: DataFrame, keys: list[str], intervals: DataFrame) -> DataFrame
     return (rows.join(intervals, keys) if keys else rows.join(intervals, F.lit(True))).filter("v >= low AND v <= high")
 
 
-def _among_few(rows: DataFrame, keys: list[str], place: list[str], few: DataFrame) -> DataFrame:
-    counts = _inside(rows, keys, few).groupBy(*place, "under", "v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*place).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # FEW values at most
-    return counts.withColumn("upto", upto + F.col("under")).filter("upto > place").groupBy(*place).agg(F.min("v").alias("found"))
+def _among_few(rows: DataFrame, keys: list[str], places: DataFrame, few: DataFrame) -> DataFrame:
+    part = [*keys, "under"]
+    counts = _inside(rows, keys, few).groupBy(*part, "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*part).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # FEW values at most
+    held = counts.withColumn("upto", upto + F.col("under")).join(places, part).filter("upto > place")
+    return held.groupBy(*keys, "place").agg(F.min("v").alias("found"))
 
 
-def _narrowed(rows: DataFrame, keys: list[str], place: list[str], many: DataFrame) -> DataFrame:
+def _narrowed(rows: DataFrame, keys: list[str], places: DataFrame, many: DataFrame) -> DataFrame:
     """The part of each interval that holds the place: a value that is a cut is a part of its own."""
-    below, on = F.size(F.filter("cuts", lambda c: c < F.col("v"))), F.array_contains("cuts", F.col("v")).cast("int")
-    binned = _inside(rows, keys, many.select(*place, "under", "low", "high", "cuts")).withColumn("bin", 2 * below + on)
-    sizes = binned.groupBy(*place, "under", "bin").agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
-    upto = F.sum("c").over(Window.partitionBy(*place).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # some 2 * CUTS parts
-    held = sizes.withColumn("upto", upto + F.col("under")).filter("upto > place")
-    first = held.groupBy(*place).agg(F.min(F.struct("bin", "low", "high", (F.col("upto") - F.col("c")).alias("under"))).alias("b"))
-    return first.select(*place, "b.low", "b.high", "b.under")
+    part = [*keys, "under"]
+    binned = _inside(rows, keys, many.select(*part, "low", "high", "cuts")).withColumn("below", F.lit(0))
+    step = 1 << (CUTS.bit_length() - 1)
+    while step:  # how many cuts are less, by halving; each step is a column, so none is worked out twice
+        binned = binned.withColumn("below", F.col("below") + F.when(F.get("cuts", F.col("below") + (step - 1)) < F.col("v"), step).otherwise(0))
+        step //= 2
+    binned = binned.withColumn("bin", 2 * F.col("below") + F.coalesce((F.get("cuts", "below") == F.col("v")).cast("int"), F.lit(0)))
+    sizes = scratch.keep(binned.groupBy(*part, "bin").agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")), "bins")
+    upto = F.sum("c").over(Window.partitionBy(*part).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # some 2 * CUTS parts
+    held = sizes.withColumn("upto", upto + F.col("under")).join(places, part).filter("upto > place")
+    first = held.groupBy(*keys, "place").agg(F.min(F.struct("bin", "low", "high", (F.col("upto") - F.col("c")).alias("under"))).alias("b"))
+    return first.select(*keys, "place", "b.low", "b.high", "b.under")
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: DataFrame) -> DataFrame:

@@ -66,6 +66,16 @@ def test_quantiles_are_those_of_percentile(spark, monkeypatch, few):
     assert every["quantile"] == 1.25
 
 
+def test_a_row_is_read_once_for_all_places_of_its_interval(spark, monkeypatch):
+    seen, inside = [], O._inside
+    monkeypatch.setattr(O, "_inside", lambda *a: (seen.append(inside(*a).count()), inside(*a))[1])
+    rows = spark.range(10_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 10_007).cast("double").alias("v"))
+    got = O.quantiles(rows, ["g"], "v", rows.select("g").distinct().crossJoin(O.shares([0.1, 0.5, 0.9], rows))).collect()
+    values = {g: np.array([i * 7919 % 10_007 for i in range(g, 10_000, 2)], float) for g in (0, 1)}
+    assert len(got) == 6 and all(math.isclose(r["quantile"], np.quantile(values[r["g"]], r["p"])) for r in got)
+    assert max(seen) == 10_000
+
+
 def test_interval_of_ranks_over_more_rows_than_a_bag(spark):
     n, reps = 21_000, 12
     x, y = np.arange(n) % 97, (np.arange(n) * 7 + np.arange(n) % 97) % 11
