@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,28 @@ def first_missing(rows: DataFrame, file: str, at: str, required: list[str]) -> D
     for c in required:
         lacks = lacks | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     return rows.groupBy(file).agg(F.count_if(lacks).alias("n_missing"), F.min(F.when(lacks, F.col(at))).alias("first_missing"))
+
+
+#: combinations that are broadcast to the rows that hold them, and characters of those
+MOST_VALUES, MOST_CHARS = 100_000, 50_000_000
+
+
+def by_value(rows: DataFrame, columns: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(rows), where what it adds to a row hangs on `columns` alone: it is done once for each combination of their values and
+    written, and rows get it by a join. work keeps the columns, and all rows of what it is given. Where hardly a
+    combination comes twice, the rows are worked on as they are."""
+    spark = rows.sparkSession
+    every, kinds = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*columns))).first()
+    if every < 2 * kinds:
+        return work(rows)
+    values = rows.select(*columns).distinct()
+    values = scratch.keep(values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns), "values")
+    done = scratch.keep(work(values), "by-value")
+    size = sum((F.length(F.col(c).cast("string")) for c in columns), F.lit(0))
+    n, chars = done.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    names = {c: f"_by_{i}" for i, c in enumerate(columns)}
+    there = done.select(*(F.col(c).alias(n) for c, n in names.items()), *(c for c in done.columns if c not in columns))
+    there = F.broadcast(there) if n <= MOST_VALUES and chars <= MOST_CHARS else there
+    same = [rows[c].eqNullSafe(there[n]) for c, n in names.items()]
+    added = [c for c in done.columns if c not in columns]
+    return rows.join(there, same).select(*(rows[c] for c in rows.columns if c not in added), *(there[c] for c in added))

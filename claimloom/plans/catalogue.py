@@ -43,18 +43,36 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with their claims, flags, violations and score, extracted once in a session and read by column from then on."""
+    """Records with their claims, flags, violations and score, extracted once in a session, from equal texts once, and read by
+    column from then on."""
 
-    def make() -> DataFrame:
-        df = C.with_claims(records(spark, sf_dir)).withColumn("violations", rules.violations())
+    def claimed(texts: DataFrame) -> DataFrame:
+        df = C.with_claims(texts).withColumn("violations", rules.violations())
         return df.withColumn("constraint_score", F.when(F.size("violations") == 0, 1.0).otherwise(0.0))
 
+    def make() -> DataFrame:
+        return D.by_value(records(spark, sf_dir), ["question", "answer"], claimed)
+
     return scratch.once(spark, "scored", table(spark, sf_dir, "part"), make)
 
 
-def _support(rows: DataFrame, *names: str) -> DataFrame:
-    args = (F.col("question"), F.col("answer"), F.col("retrieved_context"))
-    return rows.withColumns({n: S.scorer(n)(*args) for n in names})
+TEXTS = ["question", "answer", "retrieved_context"]
+
+
+def _support(rows: DataFrame, *names: str, **more: Column) -> DataFrame:
+    """rows plus the named scorers' columns, and `more` columns of the texts; equal texts are scored once."""
+    return D.by_value(rows, TEXTS, lambda texts: texts.withColumns({n: S.scorer(n)(*map(F.col, TEXTS)) for n in names} | more))
+
+
+def _physics(rows: DataFrame) -> DataFrame:
+    return D.by_value(rows, [*TEXTS, "document_status", "violations"], P.with_physics)
+
+
+def _repaired(rows: DataFrame) -> DataFrame:
+    """P.repair_rows(rows), equal texts once."""
+    slim = rows.select("question", "answer", "violations", "constraint_score", "document_status")
+    done = D.by_value(slim, ["question", "answer", "violations", "constraint_score"], lambda texts: P.repair_rows(texts).withColumns({"violations": "violations_before", "constraint_score": "score_before"}))
+    return done.drop("violations", "constraint_score")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +169,7 @@ def segmented_support(spark, sf_dir):
 
 
 def ngram_cosine(spark, sf_dir):
-    return records(spark, sf_dir).select("response_id", r6(S.ngram_cosine(F.col("question"), F.col("answer"), F.col("retrieved_context"))).alias("cosine"))
+    return _support(records(spark, sf_dir), "embedding").select("response_id", r6("embedding").alias("cosine"))
 
 
 def dense_cosine(spark, sf_dir):
@@ -162,7 +180,7 @@ def dense_cosine(spark, sf_dir):
 
 
 def _estimators(spark, sf_dir):
-    rows = _support(scored(spark, sf_dir), "lexical", "nli").withColumn("overlap", S.word_overlap(F.col("answer"), F.col("retrieved_context")))
+    rows = _support(scored(spark, sf_dir), "lexical", "nli", overlap=S.word_overlap(F.col("answer"), F.col("retrieved_context")))
     return rows.select("response_id", "constraint_score", F.explode(F.array(*(F.struct(F.lit(n).alias("estimator"), F.col(n).alias("support")) for n in ("lexical", "nli", "overlap")))).alias("x")).select("response_id", "constraint_score", "x.*")
 
 
@@ -182,12 +200,14 @@ def threshold_grid(spark, sf_dir):
 
 def segmentation_jaccard(spark, sf_dir):
     """Divergent records under each way of splitting an answer, and how much the sets have in common."""
-    rows = scored(spark, sf_dir).filter("constraint_score < 1").select("response_id", F.explode(F.array(*(F.struct(F.lit(how).alias("how"), S.segmented(F.col("answer"), F.col("retrieved_context"), how).alias("support")) for how in ("whole", "sentence", "atomic")))).alias("x")).select("response_id", "x.*")
+    ways = ("whole", "sentence", "atomic")
+    rows = _support(scored(spark, sf_dir).filter("constraint_score < 1"), **{how: S.segmented(F.col("answer"), F.col("retrieved_context"), how) for how in ways})
+    rows = rows.select("response_id", F.explode(F.array(*(F.struct(F.lit(how).alias("how"), F.col(how).alias("support")) for how in ways))).alias("x")).select("response_id", "x.*")
     return M.set_overlap(rows.filter("support >= 0.8"), "response_id", "how").select("a", "b", "n_both", "n_union", r6("jaccard").alias("jaccard"))
 
 
 def estimator_robustness(spark, sf_dir):
-    rows = _estimators(spark, sf_dir).withColumn("support", r6("support"))
+    rows = scratch.keep(_estimators(spark, sf_dir).select("estimator", "constraint_score", r6("support").alias("support")), "estimators")
     out = studies.estimator_robustness(rows, "nli")
     return out.select("estimator", "n", r6("mean").alias("mean"), r6("pearson").alias("pearson"), "n_fixed", "n_fixed_divergent", r6("threshold").alias("threshold"), "n_matched", "n_matched_divergent")
 
@@ -195,7 +215,7 @@ def estimator_robustness(spark, sf_dir):
 def mode_comparison(spark, sf_dir):
     """Models and modes side by side; the status of a record's document stands for the mode it was generated in."""
     rows = _support(scored(spark, sf_dir), "lexical").select("model", F.col("document_status").alias("mode"), r6("lexical").alias("support"), "constraint_score")
-    out = studies.mode_comparison(rows, "model", "mode")
+    out = studies.mode_comparison(scratch.keep(rows, "modes"), "model", "mode")
     return out.select("model", "mode", "n", *(r6(c).alias(c) for c in ("mean_support", "mean_constraint", "violation_rate", "pearson", "spearman")))
 
 
@@ -281,7 +301,7 @@ def estimator_set_sizes(spark, sf_dir):
 def quantile_matched_threshold(spark, sf_dir):
     """The lexical threshold that passes as many records as nli does at 0.8: linear between order statistics, over
     counts of distinct values."""
-    rows = _support(records(spark, sf_dir), "lexical", "nli").select(r6("lexical").alias("v"), "nli")
+    rows = scratch.keep(_support(records(spark, sf_dir), "lexical", "nli").select(r6("lexical").alias("v"), "nli"), "support")
     found = studies.matched_threshold(rows, "v", "nli")
     return found.select(r6("threshold").alias("threshold"), r6("rate").alias("rate"))
 
@@ -367,16 +387,16 @@ def paired_bootstrap_diff(spark, sf_dir):
 
 
 def physics_scores(spark, sf_dir):
-    rows = P.with_physics(scored(spark, sf_dir))
+    rows = _physics(scored(spark, sf_dir))
     return rows.select("response_id", *(r6(c).alias(c) for c in ("symbolic", "plausibility", "prior", "uncertainty", "total")), "hallucination_type")
 
 
 def taxonomy_counts(spark, sf_dir):
-    return P.with_physics(scored(spark, sf_dir)).groupBy("hallucination_type").agg(F.count("*").alias("n"))
+    return _physics(scored(spark, sf_dir)).groupBy("hallucination_type").agg(F.count("*").alias("n"))
 
 
 def physics_by_status(spark, sf_dir):
-    rows = P.with_physics(scored(spark, sf_dir))
+    rows = _physics(scored(spark, sf_dir))
     return rows.groupBy("document_status").agg(F.count("*").alias("n"), *(r6(F.avg(c)).alias("mean_" + c) for c in ("symbolic", "plausibility", "prior", "uncertainty", "total")))
 
 
@@ -389,19 +409,19 @@ def attribution_accuracy(spark, sf_dir):
 
 
 def repair_metrics(spark, sf_dir):
-    rows = P.repair_rows(scored(spark, sf_dir))
+    rows = _repaired(scored(spark, sf_dir))
     done = F.col("repair_strategy") != "none"
     return rows.groupBy("document_status").agg(F.count("*").alias("n"), F.count_if(done).alias("n_repaired"), r6(F.avg("score_before")).alias("before"), r6(F.avg("score_after")).alias("after"), F.count_if(done & (F.col("score_after") == 1)).alias("n_success"))
 
 
 def repair_usefulness(spark, sf_dir):
-    rows = P.repair_rows(scored(spark, sf_dir)).filter("repair_strategy <> 'none'")
+    rows = _repaired(scored(spark, sf_dir)).filter("repair_strategy <> 'none'")
     return rows.groupBy("repair_strategy").agg(F.count("*").alias("n"), r6(F.avg(S.usefulness(F.col("question"), F.col("repaired_answer")))).alias("usefulness"))
 
 
 def guided_repair(spark, sf_dir):
-    rows = P.guided_repair(P.with_physics(scored(spark, sf_dir)))
-    after = rules.score_rows(rows.drop("violations", "constraint_score"), "question", "guided_answer")
+    rows = P.guided_repair(_physics(scored(spark, sf_dir)))
+    after = D.by_value(rows.select("question", "guided_answer", "guided_action"), ["question", "guided_answer"], lambda texts: rules.score_rows(texts, "question", "guided_answer"))
     return after.groupBy("guided_action").agg(F.count("*").alias("n"), r6(F.avg("constraint_score")).alias("after"))
 
 

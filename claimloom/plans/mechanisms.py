@@ -22,7 +22,7 @@ from ..sources.cache import ScoreCache
 from ..streaming import scoring
 from ..streaming.ledger import Ledger
 from . import render
-from .catalogue import _manifest, _support, r6, records, scored, table, turns
+from .catalogue import _manifest, _physics, _support, r6, records, scored, table, turns
 from .oracle import _MANIFEST, LEX, PHYS, RECORDS, SCORED, TURNS, _boot, _dot, _weighted
 from .oracle import oracle_sql as _oracle
 
@@ -227,7 +227,7 @@ PROVIDED_SQL = RECORDS + f" SELECT response_id, round(CASE WHEN template % 2 = 0
 
 def proxy_support(spark, sf_dir):
     """The greater of word overlap and cosine of words and pairs."""
-    return records(spark, sf_dir).select("response_id", r6(S.scorer("proxy")(F.col("question"), F.col("answer"), F.col("retrieved_context"))).alias("support"))
+    return _support(records(spark, sf_dir), "proxy").select("response_id", r6("proxy").alias("support"))
 
 
 _W = "regexp_extract_all(lower({}), '\\b[a-z0-9_][a-z0-9_]+\\b')"
@@ -255,7 +255,7 @@ d AS (SELECT doc_id, sum(na * nc) AS d, sqrt(sum(na * na)) * sqrt(sum(nc * nc))
 
 def rationales(spark, sf_dir):
     """Why a record was classified as it was."""
-    return P.with_physics(scored(spark, sf_dir)).select("response_id", P.rationale().alias("rationale"))
+    return _physics(scored(spark, sf_dir)).select("response_id", P.rationale().alias("rationale"))
 
 
 RATIONALE_SQL = PHYS + """ SELECT response_id, CASE WHEN hallucination_type = 'no_error' THEN 'No physics-informed inconsistency detected.'
@@ -382,8 +382,8 @@ TURN_SQL += f" SELECT part_id // 1000 AS conv_id, part_id % 1000 AS turn, CAST(c
 
 def answer_only_rules(spark, sf_dir):
     """Rules over answers whose questions are not known: a bare number then says nothing of a quantity."""
-    rows = records(spark, sf_dir).drop("question")
-    return rules.score_rows(rows, question=None).select("response_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
+    rows = records(spark, sf_dir).select("response_id", "answer")
+    return D.by_value(rows, ["answer"], lambda texts: rules.score_rows(texts, question=None)).select("response_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
 
 
 ANSWER_SQL = SCORED + " SELECT response_id, CASE WHEN template IN (1, 5) THEN 1.0 ELSE CAST(clean AS DOUBLE) END AS constraint_score, CASE WHEN template IN (1, 5) THEN '' ELSE array_to_string(v, ';') END AS violations FROM s"
@@ -391,9 +391,9 @@ ANSWER_SQL = SCORED + " SELECT response_id, CASE WHEN template IN (1, 5) THEN 1.
 
 def four_estimators(spark, sf_dir):
     """The robustness study with a fourth estimator, the cosine of words and pairs."""
-    rows = _support(scored(spark, sf_dir), "lexical", "nli", "embedding").withColumn("overlap", S.word_overlap(F.col("answer"), F.col("retrieved_context")))
+    rows = _support(scored(spark, sf_dir), "lexical", "nli", "embedding", overlap=S.word_overlap(F.col("answer"), F.col("retrieved_context")))
     each = F.array(*(F.struct(F.lit(n).alias("estimator"), r6(n).alias("support")) for n in ("lexical", "nli", "overlap", "embedding")))
-    out = studies.estimator_robustness(rows.select("constraint_score", F.explode(each).alias("x")).select("constraint_score", "x.*"), "nli")
+    out = studies.estimator_robustness(scratch.keep(rows.select("constraint_score", F.explode(each).alias("x")).select("constraint_score", "x.*"), "estimators"), "nli")
     return out.select("estimator", "n", r6("mean").alias("mean"), r6("pearson").alias("pearson"), "n_fixed", "n_fixed_divergent", r6("threshold").alias("threshold"), "n_matched", "n_matched_divergent")
 
 

@@ -76,6 +76,25 @@ def test_a_row_is_read_once_for_all_places_of_its_interval(spark, monkeypatch):
     assert max(seen) == 10_000
 
 
+def test_work_is_done_once_for_equal_values(spark):
+    given = []
+
+    def work(rows):
+        given.append(rows.count())
+        return rows.withColumns({"n": (F.coalesce(F.length("a"), F.lit(-1)) if "a" in rows.columns else F.lit(0)), "same": F.lit(True) if "b" not in rows.columns else F.col("b").isNull()})
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, F.repeat(F.lit("x"), (F.col("id") % 4).cast("int"))).alias("a"), F.when(F.col("id") % 2 == 0, 1).alias("b"))
+    for most in (D.MOST_VALUES, 0):  # broadcast, and not
+        D.MOST_VALUES, before = most, D.MOST_VALUES
+        try:
+            got = D.by_value(rows, ["a", "b"], work).orderBy("id").collect()
+        finally:
+            D.MOST_VALUES = before
+        assert [(r["id"], r["n"], r["same"]) for r in got] == [(i, i % 4 or -1, i % 2 == 1) for i in range(4000)]
+    assert given == [4, 4]
+    assert D.by_value(rows, ["id"], work).count() == 4000 and given[2:] == [4000]  # nothing comes twice
+
+
 def test_interval_of_ranks_over_more_rows_than_a_bag(spark):
     n, reps = 21_000, 12
     x, y = np.arange(n) % 97, (np.arange(n) * 7 + np.arange(n) % 97) % 11
