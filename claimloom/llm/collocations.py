@@ -11,8 +11,10 @@
    than a bucket is to hold is spread over several, whose counts are added up.
 4. Phrases are scored, filtered and ranked by joins and windows; products are decimals of 38 digits.
 
-The lexicon that a task needs to number words is broadcast up to a bound (`head` words of at most LONG bytes); words
-beyond it reach the documents that hold them by a join.
+The lexicon that a task needs to number words is broadcast up to a bound (`head` words of at most LONG bytes). Any other
+word has a number of its own from a hash, above all of the lexicon's, whether it is frequent or not: n-grams of infrequent
+words are mined like others and do not reach the least count. So texts are read as they are and joined to nothing. Words
+whose hashes clash are known from the counts: the frequent ones are broadcast too, the others end a fragment.
 
 Defined cases: a null text is empty; a null lang is `und`; repeated rows count each; ties go by phrase; an empty table
 gives no rows; extra columns are ignored. A piece without white space is one word, however long.
@@ -20,6 +22,7 @@ gives no rows; extra columns are ignored. A piece without white space is one wor
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, pieces, raw, saved, ship, shipped, table
@@ -36,6 +39,8 @@ from .common import numbered, pieces, raw, saved, ship, shipped, table
 LONG = 64
 #: tokens that are turned into fragments at once
 BLOCK = 1_000_000
+#: bits of the hash that numbers words beyond the broadcast ones, and how many of those a worker remembers
+BITS, REMEMBERED = 60, 100_000
 #: kinds of words in a bucket up to which a trigram's local numbers fit one 64-bit key
 NARROW = 2**21 - 1
 
@@ -81,75 +86,70 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-def word_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, n): all words of each language; (lang, word, f, id): its frequent ones, id 0 for the most frequent of all."""
+def word_key(lang: bytes, word: bytes, bits: int) -> int:
+    """The leading bits (60 at most) of the MD5 of language and word; key_of() is the same as a Column."""
+    return int(hashlib.md5(lang + b" " + word).hexdigest()[:15], 16) >> (60 - bits)
+
+
+def key_of(bits: int) -> Column:
+    data = F.concat(F.col("lang").cast("binary"), F.lit(" ").cast("binary"), F.col("word").cast("binary"))
+    return F.shiftright(F.conv(F.substring(F.md5(data), 1, 15), 16, 10).cast("long"), 60 - bits)
+
+
+def word_counts(docs: DataFrame, least: int, bits: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, n): all words of each language; (lang, word, f, key, id): its frequent ones, id 0 for the most frequent of all;
+    (key): those that words share, which are few."""
     rows = docs.mapInArrow(_word_counts, "lang string, word string, n long")
-    counted = rows.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    counted = saved(counted.filter((F.col("f") >= least) | F.col("word").isNull()), "word-counts")
-    totals = counted.filter("word IS NULL").select("lang", F.col("f").alias("n"))
-    return totals, numbered(counted.filter("word IS NOT NULL"), "id", F.desc("f"), "lang", "word")
+    counted = rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).withColumn("key", key_of(bits))
+    known = F.when(F.col("f") >= least, F.col("word"))  # of the others only their keys are kept
+    counted = saved(counted.select("lang", known.alias("word"), "f", "key"), "word-counts")
+    totals = counted.filter("key IS NULL").select("lang", F.col("f").alias("n"))
+    clashes = counted.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return totals, numbered(counted.filter("word IS NOT NULL"), "id", F.desc("f"), "lang", "word"), clashes
 
 
 class _Ids(dict):
-    """Numbers of words; -1 for infrequent words and ends of pieces, -2 for what is no word."""
+    """Numbers of a language's words; -1 for ends of pieces, -2 for what is no word. Words that are not known have -1, or with
+    `beyond` a number above it from their key, but for keys that clash."""
 
-    def __init__(self, known: dict, rest: dict | None = None):
+    def __init__(self, lang: str, known: dict, beyond: int = -1, bits: int = BITS, clashes: frozenset = frozenset()):
         super().__init__(known)
-        self.rest = rest
+        self.lang, self.beyond, self.bits, self.clashes = lang.encode(), beyond, bits, clashes
         self[b""], self[b"\n"] = -2, -1
+        self.most = len(self) + REMEMBERED
 
     def __missing__(self, word: bytes) -> int:
-        return -1 if self.rest is None else self.rest[word]
+        if self.beyond < 0:
+            return -1
+        key = word_key(self.lang, word, self.bits)
+        found = -1 if key in self.clashes else self.beyond + key
+        if len(self) < self.most and len(word) <= LONG:
+            self[word] = found
+        return found
 
 
-_LEXICON: dict[str, dict[str, _Ids]] = {}
+class Lexicon:
+    """The broadcast words by language; what is built from them is kept by a worker."""
 
+    def __init__(self, data: Broadcast, beyond: int, bits: int, clashes: frozenset):
+        self.name, self.data, self.beyond, self.bits, self.clashes = uuid.uuid4().hex, data, beyond, bits, clashes
 
-def lexicon(name: str, data: Broadcast) -> dict[str, _Ids]:
-    """The broadcast words by language; built once in a worker."""
-    if name not in _LEXICON:
-        _LEXICON.clear()
-        rows = shipped(data)
-        langs, words, ids = (rows.column(c).combine_chunks() for c in ("lang", "word", "id"))
-        by_lang: dict[str, dict] = {}
-        for lang, word, i in zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist(), ids.to_pylist(), strict=True):
-            by_lang.setdefault(lang, {})[word] = i
-        _LEXICON[name] = {lang: _Ids(known) for lang, known in by_lang.items()}
-    return _LEXICON[name]
+    def ids(self) -> dict[str, _Ids]:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            rows = shipped(self.data)
+            langs, words, ids = (rows.column(c).combine_chunks() for c in ("lang", "word", "id"))
+            by_lang: dict[str, dict] = {}
+            for lang, word, i in zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist(), ids.to_pylist(), strict=True):
+                by_lang.setdefault(lang, {})[word] = i
+            _BUILT[self.name] = {lang: self.of(lang, known) for lang, known in by_lang.items()}
+        return _BUILT[self.name]
 
+    def of(self, lang: str, known: dict) -> _Ids:
+        return _Ids(lang, known, self.beyond, self.bits, self.clashes)
 
-_NOTHING = _Ids({})
 
-
-def with_tail(docs: DataFrame, words: DataFrame, head: int, name: str, data: Broadcast) -> DataFrame:
-    """docs(lang, text) with tail, its frequent words beyond the broadcast ones and their numbers, found by a join. Such a
-    word is rarer than `head` others or longer than LONG bytes."""
-    rows = saved(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
-    tail = words.filter((F.col("id") >= head) | (F.octet_length("word") > LONG))
-    own = rows.select("row", "lang", "text").mapInArrow(_other_words(name, data), "row long, lang string, word string")
-    found = own.join(tail.select("lang", "word", "id"), ["lang", "word"]).groupBy("row").agg(F.collect_list(F.struct("word", "id")).alias("tail"))
-    return rows.join(found, "row", "left").select("lang", "text", "tail")
-
-
-def _other_words(name: str, data: Broadcast):
-    """The distinct words of each text that the broadcast lexicon does not hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon(name, data)
-        for batch in batches:
-            for b in pieces(batch, 1000):
-                at, found = [], []
-                for i, (lang, text) in enumerate(zip(b.column(1).to_pylist(), raw(b), strict=True)):
-                    own: set[bytes] = set()
-                    for words in segments(text):
-                        own.update(words)
-                    own.difference_update(known.get(lang, _NOTHING))
-                    at += [i] * len(own)
-                    found += own
-                words = pa.array(found, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), words], names=["row", "lang", "word"])
-
-    return run
+_BUILT: dict[str, dict[str, _Ids]] = {}
 
 
 def stirred(columns: list[np.ndarray]) -> np.ndarray:
@@ -203,12 +203,12 @@ def _routed(columns: list[np.ndarray], salts: np.ndarray, buckets: int, dtype: s
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=names)
 
 
-def _rewrite(name: str, data: Broadcast, salts: np.ndarray, buckets: int, dtype: str):
+def _rewrite(lexicon: Lexicon, salts: np.ndarray, buckets: int, dtype: str):
     """Texts to fragments. All texts of a task are one stream with -1 between them, cut into blocks of bounded size;
     a block keeps its last four places, two as context, for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = lexicon(name, data), [np.full(2, -1)], 2
+        words, held, size = lexicon.ids(), [np.full(2, -1)], 2
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, size
@@ -218,11 +218,8 @@ def _rewrite(name: str, data: Broadcast, salts: np.ndarray, buckets: int, dtype:
 
         for batch in batches:
             for b in pieces(batch, 1000):
-                tails = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-                for lang, text, tail in zip(b.column(0).to_pylist(), raw(b), tails, strict=True):
-                    known = words.get(lang, _NOTHING)
-                    if tail:
-                        known = _Ids({x["word"].encode(): x["id"] for x in tail}, known)
+                for lang, text in zip(b.column(0).to_pylist(), raw(b), strict=True):
+                    known = words.get(lang) or lexicon.of(lang, {})
                     for part in segments(text):
                         at = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
                         at = at[at != -2]
@@ -279,23 +276,35 @@ def _mine(least: int, n_hot: int, dtype: str):
     return run
 
 
-def phrases(docs: DataFrame, words: DataFrame, totals: DataFrame, least: int, head: int, bucket: int) -> DataFrame:
+def phrases(docs: DataFrame, words: DataFrame, totals: DataFrame, clashes: DataFrame, least: int, head: int, bucket: int, bits: int = BITS) -> DataFrame:
     """a, b, c (numbers of words, c is -1 for two) and f of every phrase of two or three words that occurs `least` times."""
     spark = docs.sparkSession
     n_ids, n_words = words.count(), totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = words.filter((F.col("id") < head) & (F.octet_length("word") <= LONG))
-    found = kept.select("lang", "word", "id").toArrow()  # at most `head` words of at most LONG bytes
-    name, data = uuid.uuid4().hex, ship(spark, found)
-    rows = docs if found.num_rows == n_ids else with_tail(docs, words, head, name, data)
     bucket = max(bucket, n_words // 1_000_000)  # so at most a million pivots are spread
+    whole = not words.filter((F.col("id") >= head) | (F.octet_length("word") > LONG)).limit(1).count()
+    shared = [] if whole else [r[0] for r in clashes.collect()]  # of 60 bits hardly any
+    kept = words if whole else words.filter(known(head, bucket, shared))
+    found = kept.select("lang", "word", "id").toArrow()  # at most `head` words of at most LONG bytes, those that are spread, and clashes
+    lexicon = Lexicon(ship(spark, found), -1 if whole else n_ids, bits, frozenset(shared))
     hot = words.filter(F.col("f") > bucket).select("id", "f").toArrow()
     order = np.argsort(hot.column("id").to_numpy())
     salts = (-(-hot.column("f").to_numpy()[order] // bucket)).astype(np.uint64)
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_words // bucket))
-    dtype = "<i4" if n_ids < 2**31 else "<i8"
-    routed = rows.mapInArrow(_rewrite(name, data, salts, buckets, dtype), "bucket long, sides binary, words binary, weights binary")
+    dtype = "<i4" if whole and n_ids < 2**31 else "<i8"
+    routed = docs.mapInArrow(_rewrite(lexicon, salts, buckets, dtype), "bucket long, sides binary, words binary, weights binary")
     mined = routed.groupBy("bucket").applyInArrow(_mine(least, len(salts), dtype), "a long, b long, c long, f long")
-    return mined.groupBy("a", "b", "c").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    found = mined.groupBy("a", "b", "c").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    if whole:
+        return found
+    other = words.filter(~known(head, bucket, shared)).select((F.col("key") + n_ids).alias("hashed"), "id")
+    for c in ("a", "b", "c"):  # back to the words' own numbers; without a match it is one already
+        found = found.join(other, F.col(c) == F.col("hashed"), "left").withColumn(c, F.coalesce("id", c)).drop("hashed", "id")
+    return found
+
+
+def known(head: int, bucket: int, shared: list[int]) -> Column:
+    """Whether a frequent word is broadcast."""
+    return ((F.col("id") < head) & (F.octet_length("word") <= LONG)) | (F.col("f") > bucket) | F.col("key").isin(shared)
 
 
 def scored(found: DataFrame, words: DataFrame, keep_below: int = 50) -> DataFrame:
@@ -332,14 +341,15 @@ def best_of(rows: DataFrame, top: int, spread: int = 32) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, least: int = 10, keep_below: int = 50, top: int = 2000, head: int = 1_000_000, bucket: int = 500_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, keep_below: int = 50, top: int = 2000, head: int = 1_000_000, bucket: int = 500_000, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases.
 
     a phrase's a is its count; of its cuts the one that scores lowest counts, with l and r the counts of its parts and n that of
-    all words; score is floor(1000000 * a * a / (l * r)). bucket: occurrences that one mining task is to hold."""
+    all words; score is floor(1000000 * a * a / (l * r)). bucket: occurrences that one mining task is to hold. head: words of
+    the broadcast lexicon. bits: of the hash that numbers the others."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    totals, words = word_counts(docs, least)
-    found = saved(phrases(docs, words, totals, least, head, bucket), "phrases")
+    totals, words, clashes = word_counts(docs, least, bits)
+    found = saved(phrases(docs, words, totals, clashes, least, head, bucket, bits), "phrases")
     best = best_of(scored(found, words, keep_below), top)
     long = [F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")]
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *long)

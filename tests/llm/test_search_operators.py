@@ -81,6 +81,22 @@ def test_collocations(spark, monkeypatch, head, bucket, block):
     assert len(want) > 60 and collected(got) == want
 
 
+@pytest.mark.parametrize("bits", [60, 6])
+def test_collocations_of_words_beyond_the_lexicon(spark, monkeypatch, bits):
+    """No text goes through a join, and words whose hashes clash are told apart."""
+    rows = [(t, ["en", "de", None][i % 3]) for i, t in enumerate(some_texts(np.random.default_rng(4), 240, vocab=150))]
+    docs = docs_of(spark, [(i, t, lang, "f", "word") for i, (t, lang) in enumerate(rows)])
+    join = type(docs).join
+
+    def checked(self, *args, **named):
+        assert "text" not in self.columns
+        return join(self, *args, **named)
+
+    monkeypatch.setattr(type(docs), "join", checked)
+    got = collocations.collocations(docs, least=4, top=60, head=4, bits=bits)
+    assert collected(got) == brute_collocations(rows, 4, 60)
+
+
 def test_collocations_with_wide_numbers_and_without_rows(spark, monkeypatch):
     assert collocations.collocations(docs_of(spark, [])).collect() == []
     assert collocations.collocations(docs_of(spark, [(1, None, None, "", "")])).collect() == []
