@@ -590,7 +590,7 @@ def stream_scores(spark, sf_dir):
     schema = spark.read.parquet(run + "/in").schema
     stream = spark.readStream.schema(schema).parquet(run + "/in")
     for _ in range(2):  # the second run finds nothing new
-        scoring.run_available(scoring.scored_stream(stream), run + "/out", run + "/checkpoint")
+        scoring.score_available(stream.select("response_id", "question", "answer"), run + "/out", run + "/checkpoint")
     return spark.read.parquet(run + "/out").select("response_id", "constraint_score", F.array_join("violations", ";").alias("violations"))
 
 

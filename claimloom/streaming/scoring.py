@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.rules import score_rows
+from ..operators.selection import by_value
+from ..sources import folders, scratch
 
 
 def once_within(rows: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
@@ -27,6 +29,26 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def score_available(records: DataFrame, out: str, checkpoint: str, key: str = "response_id") -> None:
+    """Like run_available(scored_stream(records, key)), for large streams: keys that were seen are kept in RocksDB on disk and not in
+    memory, and equal texts of a batch are scored once. A batch is a folder of `out` that appears whole, so one that is replayed adds
+    nothing."""
+    spark, provider = records.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not folders.exists(spark, f"{out}/batch={number}"):
+            rows = by_value(scratch.keep(batch, "batch"), ["question", "answer"], score_rows)
+            folders.publish(rows, out, f"batch={number}", "parquet")
+
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        once = records.dropDuplicates([key])
+        once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+
+
 def finalized(spark: SparkSession, out: str) -> DataFrame:
     """Batch metrics of what has been scored."""
     return spark.read.parquet(out).groupBy("constraint_family").agg(F.count("*").alias("n"), F.avg("constraint_score").alias("mean_constraint"))

@@ -120,6 +120,20 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert scoring.finalized(spark, out).first()["n"] == 7
 
 
+def test_stream_scores_equal_texts_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"r{i % 700}", "What is the band gap?", f"{i % 7 - 3} eV") for i in range(1000)], "response_id string, question string, answer string")
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    given, score = [], scoring.score_rows
+    monkeypatch.setattr(scoring, "score_rows", lambda r: (given.append(r.count()), score(r))[1])
+    rows.write.parquet(src)
+    for more in (3, 0):
+        scoring.score_available(spark.readStream.schema(rows.schema).parquet(src), out, ck)
+        rows.limit(more).write.mode("append").parquet(src)
+    got = {r["response_id"]: r["violations"] for r in spark.read.parquet(out).collect()}
+    assert got == {r["response_id"]: r["violations"] for r in rules.score_rows(rows).collect()} and spark.read.parquet(out).count() == 700
+    assert given[0] == 7
+
+
 def test_audit(spark):
     from claimloom.operators import audit as A
 
