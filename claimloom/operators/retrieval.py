@@ -3,16 +3,18 @@
 postings() reads every text once. Documents are dealt into parts by hash, and all that is known of a term in a part is one
 row, its block: the documents with their counts, how many they are, and the greatest count and least length, from which
 the greatest score that the term can give there follows. The empty term stands for the documents themselves. Blocks are
-written by bucket of the term; they are what is kept, and searching reads no text. Names of documents are unique.
+written by bucket of the term; they are what is kept, and searching reads no text. Names of documents are unique. A task
+holds TASK parts, so its memory does not grow with the documents.
 
 search() first adds up, from the blocks' figures alone, what a part can give a query at the most. The most promising
-parts are scored, which leaves the k-th best score; of the other parts only those that can still reach it are. Terms of
-queries are broadcast where they are few. Spark keeps the best k of a query in each task before it shuffles.
+parts are scored, which leaves the k-th best score; of the other parts only those that can still reach it are. The blocks that
+queries ask for are shuffled once, by part; there they meet the terms of queries, which are broadcast where they are few, and a
+document's score is added up and the best k of a query in each task are picked without another shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -21,8 +23,8 @@ from ..sources import scratch
 
 #: terms of queries, and pairs of query and term, that are broadcast; more are joined by a shuffle
 MOST_TERMS = 500_000
-#: folders of blocks, documents of a part, parts that are scored first
-BUCKETS, PART, FIRST = 32, 64, 4
+#: folders of blocks, documents of a part, parts of a task, parts that are scored first
+BUCKETS, PART, TASK, FIRST = 4, 64, 32, 4
 
 
 def bounded(rows: DataFrame, most: int = MOST_TERMS) -> DataFrame:
@@ -34,20 +36,24 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def tasks_of(spark: SparkSession, parts: int) -> int:
+    """Tasks that parts are dealt to; a stated number, so that Spark does not merge small ones into large ones."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts // TASK))
+
+
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = PART) -> DataFrame:
     """bucket, term, part, n, most, least, words, entries(doc, length, tf): the blocks of all terms, and of the empty one."""
     parts = max(1, -(-docs.count() // size))
     rows = docs.select(F.col(doc).alias("doc"), F.pmod(F.xxhash64(doc), F.lit(parts)).alias("part"), text)
     # a part's texts are shuffled once; its counts and blocks are worked out where they lie
-    rows = rows.repartition("part").select("doc", "part", token_list(F.col(text)).alias("tokens"))
+    rows = rows.repartition(tasks_of(docs.sparkSession, parts), "part").select("doc", "part", token_list(F.col(text)).alias("tokens"))
     rows = rows.select("doc", "part", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
     counts = rows.groupBy("part", "doc", "length", "term").agg(F.count("*").alias("tf"))
     blocks = counts.groupBy("part", "term").agg(
         F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sum("length").alias("words"),
         F.collect_list(F.struct("doc", "length", "tf")).alias("entries"),
     )
-    blocks = blocks.withColumn("bucket", bucket_of(F.col("term")))
-    return blocks.repartition("bucket", F.pmod("part", F.lit(64))).sortWithinPartitions("bucket", "term", "part")
+    return blocks.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term", "part")
 
 
 def kept(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = PART) -> DataFrame:
@@ -80,27 +86,33 @@ def search(
     wanted = bounded(scratch.keep(wanted.join(df, "term").select(query, "term", (F.col("times") * idf).alias("weight")), "weighted-terms"))
 
     reach = figures.join(wanted, "term").groupBy(query, "part").agg(F.sum(F.col("weight") * gain(F.col("most"), F.col("least"), average, k1, b)).alias("reach"))
-    boosted = None
-    if formulas is not None:
+    held = blocks.select("term", "part", "entries", F.lit(False).alias("bonus"))
+    if formulas is not None:  # a formula is a term of its own, with a fixed gain that a document has once
         named = F.array_distinct(F.filter(F.regexp_extract_all(query_text, F.lit(L.ANY_FORMULA), F.lit(0)), lambda f: ~f.isin(*L.QUERY_STOP_FORMULAS)))
-        asked = queries.select(query, F.explode(named).alias("formula"))
-        boosted = formulas.select(F.col(doc).alias("doc"), "formula").join(asked, "formula").select(query, "doc", F.lit(float(L.BM25["boost"])).alias("score"))
-        placed = every.select("part", F.explode("entries").alias("e")).select("part", F.col("e.doc").alias("doc"))
-        boosted = scratch.keep(boosted.distinct().join(placed, "doc"), "boosted")
-        where = boosted.select(query, "part", F.col("score").alias("more")).distinct()
-        reach = reach.join(where, [query, "part"], "full").select(query, "part", (F.coalesce("reach", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("reach"))
+        asked = queries.select(query, F.explode(named).alias("formula")).distinct()
+        placed = every.select("part", F.explode("entries").alias("e")).select("part", "e", F.col("e.doc").alias("doc"))
+        about = formulas.select(F.col(doc).alias("doc"), "formula").join(asked.select("formula").distinct(), "formula", "left_semi").distinct()
+        term = F.concat(F.lit("formula "), F.col("formula")).alias("term")  # no term holds a space
+        bonus = about.join(placed, "doc").groupBy("formula", "part").agg(F.collect_list("e").alias("entries"))
+        bonus = scratch.keep(bonus.select(term, "part", "entries", F.lit(True).alias("bonus")), "boosted")
+        more = asked.select(query, term, F.lit(float(L.BM25["boost"])).alias("weight"))
+        boosts = bonus.select("term", "part").join(bounded(more), "term").groupBy(query, "part").agg(F.sum("weight").alias("reach"))
+        reach = reach.unionByName(boosts).groupBy(query, "part").agg(F.sum("reach").alias("reach"))
+        held, wanted = held.unionByName(bonus), bounded(scratch.keep(wanted.unionByName(more), "weighted-terms"))
     reach = scratch.keep(reach, "reach")
+    held = held.join(bounded(wanted.select("term").distinct()), "term", "left_semi")
+    tasks = tasks_of(blocks.sparkSession, -(-int(totals["n_docs"]) // PART))
+    order = Window.partitionBy(query).orderBy(F.round("score", 4).desc(), "doc")  # sums differ in their last bits with the order of terms
 
     def scores(pairs: DataFrame) -> DataFrame:
-        """query, doc, score of all documents of the parts of pairs(query, part) that hold a term."""
-        mine = pairs.join(wanted, query)  # the terms of the queries in these parts
-        held = blocks.select("term", "part", "entries").join(mine, ["term", "part"]).select(query, "weight", F.explode("entries").alias("e"))
-        part = F.col("weight") * gain(F.col("e.tf"), F.col("e.length"), average, k1, b)
-        out = held.groupBy(query, F.col("e.doc").alias("doc")).agg(F.sum(part).alias("score"))
-        if boosted is not None:
-            out = out.unionByName(boosted.join(pairs, [query, "part"]).select(query, "doc", "score"))
-            out = out.groupBy(query, "doc").agg(F.sum("score").alias("score"))
-        return out
+        """query, doc, score: of each query the best k documents of its parts in pairs(query, part)."""
+        asking = pairs.groupBy("part").agg(F.collect_set(query).alias("asking"))  # a row a part, so the join by part multiplies nothing
+        there = held.repartition(tasks, "part").join(asking.repartition(tasks, "part"), "part")
+        mine = there.join(wanted, "term").filter(F.array_contains("asking", F.col(query))).select(query, "part", "weight", "bonus", F.explode("entries").alias("e"))
+        own = F.sum(F.when(~F.col("bonus"), F.col("weight") * gain(F.col("e.tf"), F.col("e.length"), average, k1, b)))
+        once = F.max(F.when(F.col("bonus"), F.col("weight")))
+        out = mine.groupBy("part", query, F.col("e.doc").alias("doc")).agg((F.coalesce(own, F.lit(0.0)) + F.coalesce(once, F.lit(0.0))).alias("score"))
+        return out.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select(query, "doc", "score")
 
     best = reach.withColumn("nth", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("reach"), "part"))).filter(F.col("nth") <= first)
     probe = scratch.keep(best.select(query, "part"), "first-parts")
@@ -113,7 +125,6 @@ def search(
     lowest = every.select(F.explode("entries").alias("e")).select(F.col("e.doc").alias("doc")).orderBy("doc").limit(k)
     filler = queries.select(query).join(F.broadcast(lowest), F.lit(True)).select(query, "doc", F.lit(0.0).alias("score"))  # k rows a query
     every_score = found.unionByName(filler).groupBy(query, "doc").agg(F.max("score").alias("score"))
-    order = Window.partitionBy(query).orderBy(F.round("score", 4).desc(), "doc")  # sums differ in their last bits with the order of terms
     ranked = every_score.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(query, F.col("doc").alias(doc), "score", "rank")
 

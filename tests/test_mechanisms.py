@@ -169,6 +169,13 @@ def test_block_maxima_lose_no_document(spark, boosts):
         assert got == plain_bm25(docs, queries, 5, boosts)
 
 
+def test_tasks_of_an_index_grow_with_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 9} x") for i in range(400)], "doc_id long, text string")
+    sizes = [r["count"] for r in R.postings(docs, size=8).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10  # 50 parts, two a task
+
+
 def test_kept_index_is_made_once(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
