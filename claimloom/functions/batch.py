@@ -8,6 +8,7 @@ the Column scorers; scorer(), its aliases and provided_or() take both alike.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -51,4 +52,39 @@ def trigram_profile() -> Score:
     return lambda questions, answers, contexts: list(map(one, answers, contexts))
 
 
+#: grams of contexts that a worker keeps counted
+MOST_GRAMS = 500_000
+
+
+def ascii_ngrams(most: int = MOST_GRAMS) -> Score:
+    """Cosine of the counts of words and pairs of words of answer and context, as support.ngram_cosine has it of texts in which all but
+    ASCII letters, digits and underscores is a space. Contexts that come again are counted once, up to `most` grams of them."""
+    word, held, size = re.compile("[A-Za-z0-9_]{2,}"), {}, 0
+
+    def counted(text: str) -> tuple[Counter, float]:
+        words = [w.lower() for w in word.findall(text)]
+        found = Counter(words)
+        found.update(map(" ".join, zip(words, words[1:])))
+        return found, math.sqrt(sum(v * v for v in found.values()))
+
+    def kept(text: str) -> tuple[Counter, float]:
+        nonlocal size
+        if text not in held:
+            new = counted(text)
+            if size + len(new[0]) > most:
+                held.clear()
+                size = 0
+            held[text] = new
+            size += len(new[0])
+        return held[text]
+
+    def one(answer: str, context: str) -> float:
+        (a, own), (c, other) = counted(answer), kept(context)
+        norm = own * other
+        return min(1.0, sum(a[k] * c[k] for k in a.keys() & c.keys()) / norm) if norm else 0.0
+
+    return lambda questions, answers, contexts: list(map(one, answers, contexts))
+
+
 register_batch("trigram", trigram_profile)
+register_batch("ascii_ngrams", ascii_ngrams)

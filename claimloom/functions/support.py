@@ -37,16 +37,20 @@ def lexical(question: Column, answer: Column, context: Column) -> Column:
     return share(tokens(answer), tokens(context))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, as a lambda's variable; written plainly, each use of it would be a copy."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _grams(text: Column) -> Column:
     """Words of two or more letters, digits or underscores, and pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(_text(text)), F.lit(r"\b[a-z0-9_][a-z0-9_]+\b"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.concat(words, pairs)
 
+    def with_pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with the value worked out once, as a lambda's variable; written plainly, each use of it would be a copy."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+    return let(words, with_pairs)
 
 
 def ngram_cosine(question: Column, answer: Column, context: Column) -> Column:
@@ -56,7 +60,7 @@ def ngram_cosine(question: Column, answer: Column, context: Column) -> Column:
     def side(grams: Column, n: int) -> Column:
         return F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(n).alias("side")))
 
-    both = F.array_sort(F.concat(side(_grams(answer), 0), side(_grams(context), 1)))
+    both = F.sort_array(F.concat(side(_grams(answer), 0), side(_grams(context), 1)))
 
     def runs(s: Column) -> Column:
         new = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
@@ -70,8 +74,7 @@ def ngram_cosine(question: Column, answer: Column, context: Column) -> Column:
         # a gram of both sides is two runs, one after the other
         shared = F.transform(r, lambda x, k: F.when((x["x"]["side"] == 0) & (F.get(r, k + 1)["x"]["g"] == x["x"]["g"]), x["n"] * F.get(r, k + 1)["n"]))
         dot = F.aggregate(shared, F.lit(0.0), lambda t, v: t + F.coalesce(v, F.lit(0.0)))
-        norm = square(0) * square(1)
-        return F.when(norm > 0, F.least(F.lit(1.0), dot / norm)).otherwise(0.0)
+        return let(square(0) * square(1), lambda norm: F.when(norm > 0, F.least(F.lit(1.0), dot / norm)).otherwise(0.0))
 
     none = F.array().cast("array<struct<x:struct<g:string,side:int>,n:double>>")
     return let(both, lambda s: F.when(F.size(s) == 0, 0.0).otherwise(let(F.when(F.size(s) > 0, runs(s)).otherwise(none), cosine)))

@@ -22,7 +22,7 @@ from ..sources.cache import ScoreCache
 from ..streaming import scoring
 from ..streaming.ledger import Ledger
 from . import render
-from .catalogue import _manifest, _physics, _support, r6, records, scored, table, turns
+from .catalogue import _manifest, _physics, _support, r6, records, scored, spread, table, turns
 from .oracle import _MANIFEST, LEX, PHYS, RECORDS, SCORED, TURNS, _boot, _dot, _weighted
 from .oracle import oracle_sql as _oracle
 
@@ -240,10 +240,12 @@ SELECT response_id, round(greatest(lex, CASE WHEN n > 0 THEN least(1.0, d / n) E
 def document_ngram_cosine(spark, sf_dir):
     """Whole documents against the first document of their source, by words and pairs of words; letters beyond ASCII part words,
     as engines do not agree where words with such letters end."""
-    plain = F.regexp_replace("text", "[^A-Za-z0-9_]", " ").alias("text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", plain).filter("source IS NOT NULL")
-    first = D.first_of(docs.filter("text IS NOT NULL"), ["source"], "doc_id").select("source", F.col("text").alias("context"))
-    return docs.join(first, "source").select("doc_id", r6(S.ngram_cosine(F.lit(""), F.col("text"), F.col("context"))).alias("cosine"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").filter("source IS NOT NULL")
+    there = docs.filter("text IS NOT NULL")
+    least = scratch.keep(D.first_of(there.select("source", "doc_id"), ["source"], "doc_id"), "firsts")  # no text is carried along
+    first = D.first_of(there.join(least, ["source", "doc_id"]), ["source"], "doc_id").select("source", F.col("text").alias("context"))
+    rows = spread(docs, "doc_id").join(scratch.keep(first, "firsts"), "source")
+    return rows.select("doc_id", r6(S.scorer("ascii_ngrams")(F.lit(""), F.col("text"), F.col("context"))).alias("cosine"))
 
 
 _PLAIN = "regexp_replace({}, '[^A-Za-z0-9_]', ' ', 'g')"

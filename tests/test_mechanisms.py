@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -335,6 +337,19 @@ def test_ngram_cosine_counts_runs(spark):
         assert math.isclose(got[r["i"]], min(1.0, sum(v * b[k] for k, v in a.items()) / norm) if norm else 0.0, abs_tol=1e-12)
 
 
+def test_ascii_ngrams_counts_a_context_once(spark):
+    texts = ["aa bb aa", "Aa_1 bb-cc é dd", "", "x y", "aa bb cc " * 40]
+    plain = [re.sub("[^A-Za-z0-9_]", " ", t) for t in texts]
+    rows = spark.createDataFrame([(i, j, texts[i], texts[j], plain[i], plain[j]) for i in range(5) for j in range(5)], "i int, j int, a string, b string, pa string, pb string")
+    got = rows.select(S.scorer("ascii_ngrams")(F.lit(""), F.col("a"), F.col("b")).alias("s"), S.ngram_cosine(F.lit(""), F.col("pa"), F.col("pb")).alias("t")).collect()
+    assert [r["s"] for r in got] == [r["t"] for r in got] and sum(r["s"] > 0 for r in got) >= 9
+    for most in (1, 500_000):  # contexts that are dropped on the way are counted again
+        assert batch.ascii_ngrams(most)([""] * 4, ["aa bb", "cc", "aa bb", "cc"], ["aa bb", "cc dd", "aa bb", "cc dd"]) == pytest.approx([1, 3**-0.5, 1, 3**-0.5])
+    began = time.time()  # a long context for many answers
+    assert len(batch.ascii_ngrams()([""] * 2000, ["aa bb"] * 2000, ["aa bb cc dd " * 5000] * 2000)) == 2000
+    assert time.time() - began < 10
+
+
 def test_overlap_of_sets_refuses_many(spark):
     rows = spark.range(70).select(F.col("id").alias("k"), F.col("id").cast("string").alias("name"))
     with pytest.raises(ValueError, match="64"):
