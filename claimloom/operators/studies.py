@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..sources import scratch
 from . import metrics as M
 from . import order as O
 from . import resample as B
@@ -51,9 +52,11 @@ def guard_sweep(rows: DataFrame, guards: dict[str, dict] = L.GUARDS) -> DataFram
 
 def threshold_grid(rows: DataFrame, support: str, score: str, cluster: str, reps: int = B.REPS) -> DataFrame:
     """For each pair of thresholds the cases of high support, of low score and of both, their rate over all and among
-    those of high support, and intervals of both over clusters. Clusters are counted for all cells at once."""
+    those of high support, and intervals of both over clusters. Rows are counted by cluster and values once, and the counts
+    written; all cells read those."""
     cells = F.explode(F.array(*(F.struct(F.lit(f).alias("tau_f"), F.lit(g).alias("tau_g")) for f in L.TAU_F for g in L.TAU_G)))
-    per = rows.groupBy(cluster, support, score).agg(F.count("*").alias("k")).select(cluster, support, score, "k", cells.alias("cell")).select("*", "cell.*")
+    held = scratch.keep(rows.groupBy(cluster, support, score).agg(F.count("*").alias("k")), "grid")
+    per = held.select(cluster, support, score, "k", cells.alias("cell")).select("*", "cell.*")
     high, low = F.col(support) >= F.col("tau_f"), F.col(score) < F.col("tau_g")
     sums = {"n": F.sum("k"), "n_high": F.sum(F.when(high, F.col("k")).otherwise(0)), "n_low": F.sum(F.when(low, F.col("k")).otherwise(0)), "n_divergent": F.sum(F.when(high & low, F.col("k")).otherwise(0))}
     stats = {"rate": M.ratio(F.col("n_divergent"), F.col("n")), "risk": M.ratio(F.col("n_divergent"), F.col("n_high"))}

@@ -159,3 +159,17 @@ def test_progress_listener():
     for _ in range(4):
         p.onQueryProgress(Event)
     assert told == [40, 60, 80]
+
+
+def test_threshold_grid_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def support(x):
+        seen.add(1)
+        return x / 10
+
+    rows = spark.range(30).select((F.col("id") % 3).cast("string").alias("c"), support(F.col("id") % 10).alias("s"), (F.col("id") % 2).cast("double").alias("g"))
+    got = studies.threshold_grid(rows, "s", "g", "c", reps=20).collect()
+    assert len(got) == len(L.TAU_F) * len(L.TAU_G) and all(r["n"] == 30 for r in got)
+    assert all(r["n_high"] == sum(i % 10 / 10 >= r["tau_f"] for i in range(30)) for r in got) and seen.value == 30
