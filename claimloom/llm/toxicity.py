@@ -20,6 +20,7 @@ labels; repeated rows are scored each on its own; extra columns are ignored by s
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -148,20 +149,25 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(x @ self.score, -30, 30)))
 
 
-def induce(docs: list[tuple[list[str], int]], ratio: float = 20.0) -> set[str]:
+def induce(docs: list[tuple[str, int]], ratio: float = 20.0) -> set[str]:
     """Features (words and beginnings) that are so many times as frequent in toxic documents. Documents that share
-    their least words by hash count once, lest copies make their words look telling."""
-    seen, df, n = set(), (Counter(), Counter()), [0, 0]
-    for words, y in docs:
-        kinds = {w.lower() for w in words}
-        mark = (y, *sorted(map(hash_word, kinds))[:3])
-        if mark in seen:
-            continue
-        seen.add(mark)
-        n[y] += 1
-        df[y].update({f for w in kinds for f in features(w) if f[0] != "e"})
-    clean, toxic = df
-    return {f for f, k in toxic.items() if k >= LEAST and k / max(1, n[1]) >= ratio * (clean[f] + 0.5) / max(1, n[0])}
+    their least words by hash count once, lest copies make their words look telling. Of clean documents only what
+    enough toxic ones have is counted."""
+    df, n = {}, [0, 0]
+    for y in (1, 0):
+        seen, count = set(), Counter()
+        for text, label in docs:
+            if label != y:
+                continue
+            kinds = {w.lower() for w in TOKEN.findall(text)}
+            mark = tuple(sorted(map(hash_word, kinds))[:3])
+            if mark in seen:
+                continue
+            seen.add(mark)
+            n[y] += 1
+            count.update({f for w in kinds for f in features(w) if f[0] != "e" and (y or f in df[1])})
+        df[y] = {f: k for f, k in count.items() if k >= LEAST or not y}
+    return {f for f, k in df[1].items() if k / max(1, n[1]) >= ratio * (df[0].get(f, 0) + 0.5) / max(1, n[0])}
 
 
 def hash_word(w: str) -> int:
@@ -175,33 +181,38 @@ def fit(docs: list[tuple[str, int]], window: int = 16, toxic_windows: int = 6, c
     n1 = sum(y for _, y in docs)
     if not n1 or n1 == len(docs):
         return Field({}, PAD, np.zeros((2, 2)), None, n1 / len(docs) if docs else 0.0)
-    tokens = [(TOKEN.findall(t), y) for t, y in docs]
-    telling = induce(tokens)
+    telling = induce(docs)
     rng = np.random.default_rng(seed)
-    rows: list[tuple[list[str], list[int]]] = []
-    for words, y in tokens:
+    index: dict[str, int] = {}
+    row, col, tags = array("q"), array("q"), []
+
+    def add(words: list[str], tag: list[int]) -> None:
+        for i, w in enumerate(words, len(tags) * window):
+            for f in features(w):
+                row.append(i)
+                col.append(index.setdefault(f, len(index)))
+        tags.append(tag)
+
+    for text, y in docs:  # words are split anew where they are needed: those of all documents take many times the texts' memory
+        words = TOKEN.findall(text)
         if not words:
             continue
         if y:
-            tag = [int(any(f in telling for f in features(w))) for w in words]
+            bad = {w for w in set(words) if not telling.isdisjoint(features(w))}
+            tag = [int(w in bad) for w in words]
             for i in rng.permutation(np.flatnonzero(tag))[:toxic_windows].tolist():
                 a = max(0, i - int(rng.integers(window)))
-                rows.append((words[a : a + window], tag[a : a + window]))
+                add(words[a : a + window], tag[a : a + window])
         else:
             for a in rng.integers(0, max(1, len(words) - window), clean_windows):
-                rows.append((words[a : a + window], [0] * len(words[a : a + window])))
-    if not rows:
+                add(words[a : a + window], [0] * len(words[a : a + window]))
+    if not tags:
         return Field({}, PAD, np.zeros((2, 2)), None, n1 / len(docs))
-    index: dict[str, int] = {}
-    row, col, y = [], [], np.zeros((len(rows), window))
-    mask = np.zeros((len(rows), window), bool)
-    for r, (words, tag) in enumerate(rows):
-        for i, (w, t) in enumerate(zip(words, tag, strict=True)):
-            mask[r, i], y[r, i] = True, t
-            for f in features(w):
-                row.append(r * window + i)
-                col.append(index.setdefault(f, len(index)))
-    row, col = np.array(row), np.array(col)
+    y = np.zeros((len(tags), window))
+    mask = np.zeros((len(tags), window), bool)
+    for r, tag in enumerate(tags):
+        mask[r, : len(tag)], y[r, : len(tag)] = True, tag
+    row, col = np.frombuffer(row, np.int64), np.frombuffer(col, np.int64)
     w, bias, t = np.zeros(len(index)), -3.0, np.zeros((2, 2))
     gold = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & mask[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)])
     hw, hb, ht = np.full(len(w), 1e-3), 1e-3, np.full((2, 2), 1e-3)
@@ -221,8 +232,9 @@ def fit(docs: list[tuple[str, int]], window: int = 16, toxic_windows: int = 6, c
         w, bias, t = w + 50 * gw / np.sqrt(hw), bias + 50 * gb / np.sqrt(hb), t + 10 * gt / np.sqrt(ht)
     names = list(index)
     field = Field({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, float(bias), t, np.zeros(3))
-    x = np.array([field.summary(z) for i in range(0, len(tokens), 500) for z in field.marginals([d for d, _ in tokens[i : i + 500]])])
+    x = np.array([field.summary(z) for i in range(0, len(docs), 100) for z in field.marginals([TOKEN.findall(t) for t, _ in docs[i : i + 100]])])
     field.score = logistic(x, np.array([y for _, y in docs], float))
+    field.cache.clear()
     return field
 
 

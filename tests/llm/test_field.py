@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -47,3 +48,21 @@ def test_bounds_of_training():
     for windows in (1, 6, 100):
         f = toxicity.fit(docs, toxic_windows=windows, clean_windows=windows)
         assert f.scores(f.marginals([["vile"] * 3, plain[:30]])).round().tolist() == [1, 0]
+
+
+def test_training_holds_no_words_of_all_documents():
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(800)]
+    docs = []
+    for i in range(400):
+        said = [words[j] for j in rng.integers(0, len(words), 400)]
+        if i % 2:
+            said[::40] = ["scumbag"] * 10
+        docs.append((" ".join(said), i % 2))
+    tracemalloc.start()
+    f = toxicity.fit(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 18 * sum(len(t) for t, _ in docs)
+    assert not f.cache
+    assert f.scores(f.marginals([["scumbag"] * 3, words[:30]])).round().tolist() == [1, 0]
