@@ -46,6 +46,18 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(spread > 0, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
 
 
+def pearson_of(counts: DataFrame, keys: list[str], x: str, y: str, times: str) -> DataFrame:
+    """keys, pearson: pearson() of the table in which each pair of counts(keys, x, y, times) stands `times` times. A row of
+    means for each group is broadcast."""
+    t, pairs = F.col(times), counts.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    means = pairs.groupBy(*keys).agg(varies.alias("varies"), *((F.sum(t * F.col(c)) / F.sum(t)).alias(m) for c, m in ((x, "mean_x"), (y, "mean_y"))))
+    dx, dy = F.col(x) - F.col("mean_x"), F.col(y) - F.col("mean_y")
+    xy, xx, yy = (F.sum(t * a * b) for a, b in ((dx, dy), (dx, dx), (dy, dy)))
+    held = pairs.join(F.broadcast(means), keys).groupBy(*keys, "varies").agg(xy.alias("xy"), (F.sqrt(xx) * F.sqrt(yy)).alias("spread"))
+    return held.select(*keys, F.when(F.col("varies"), F.col("xy") / F.nullif(F.col("spread"), F.lit(0.0))).alias("pearson"))
+
+
 def fractional_rank(keys: list[str], value: str) -> Column:
     """Average rank of ties."""
     w = Window.partitionBy(*keys)

@@ -38,14 +38,20 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return placed.join(before, "range_id").withColumn(name, F.col("before") + F.col("range_place")).drop("range_id", "range_place", "before")
 
 
-def value_ranks(counts: DataFrame, keys: list[str], value: str, times: str, out: str) -> DataFrame:
-    """keys, value, out: the fractional rank of each distinct value within keys, from counts(keys, value, times). A group
-    of any size lies in as many ranges as it fills."""
+def lesser(counts: DataFrame, keys: list[str], value: str, times: str) -> DataFrame:
+    """counts(keys, value, times) plus `less`: how many rows of the group have a lesser value. A group of any size lies in as
+    many ranges as it fills."""
     placed = _ranged(counts, *map(F.col, keys), F.col(value))
     sums = placed.groupBy(*keys, "range_id").agg(F.sum(times).alias("all_times"))
     inside = F.sum(times).over(Window.partitionBy(*keys, "range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    held = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(_before(sums, "all_times", *keys), [*keys, "range_id"])
-    return held.select(*keys, value, (F.col("before") + F.col("inside") + (F.col(times) + 1) / 2).alias(out))
+    before = _before(sums, "all_times", *keys).hint("merge")  # else placed may be broadcast, by the few bytes that its file takes
+    held = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, [*keys, "range_id"])
+    return held.select(*keys, value, times, (F.col("before") + F.col("inside")).alias("less"))
+
+
+def value_ranks(counts: DataFrame, keys: list[str], value: str, times: str, out: str) -> DataFrame:
+    """keys, value, out: the fractional rank of each distinct value within keys, from counts(keys, value, times)."""
+    return lesser(counts, keys, value, times).select(*keys, value, (F.col("less") + (F.col(times) + 1) / 2).alias(out))
 
 
 def ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -147,6 +153,20 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: DataFrame) -> Da
     return asked.select(*keys, "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))).alias("quantile"), "n")
 
 
+def quantiles_of(counts: DataFrame, keys: list[str], value: str, times: str, at: DataFrame) -> DataFrame:
+    """quantiles() of the table in which each row of counts(keys, value, times) stands `times` times. at, a few shares for
+    each group, is broadcast."""
+    v = F.col(value).cast("double")
+    values = counts.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("v")).agg(F.sum(times).alias("times"))
+    spans = scratch.keep(lesser(values, keys, "v", "times"), "spans")
+    n = spans.groupBy(*keys).agg(F.sum("times").alias("n"))
+    asked = at.join(n, keys).withColumn("h", (F.col("n") - 1) * F.col("p"))
+    held = spans.join(F.broadcast(asked), keys)
+    low, high = ((F.col("less") <= place) & (place < F.col("less") + F.col("times")) for place in (F.floor("h"), F.ceil("h")))
+    ends = held.filter(low | high).groupBy(*keys, "p", "n", "h").agg(F.min(F.when(low, F.col("v"))).alias("low"), F.min(F.when(high, F.col("v"))).alias("high"))
+    return ends.select(*keys, "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))).alias("quantile"), "n")
+
+
 def shares(p: list[float], rows: DataFrame) -> DataFrame:
     """A table p of the given shares, for quantiles() without keys."""
     return rows.sparkSession.createDataFrame([(float(x),) for x in p], "p double")

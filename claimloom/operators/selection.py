@@ -133,3 +133,14 @@ def by_value(rows: DataFrame, columns: list[str], work: Callable[[DataFrame], Da
     same = [rows[c].eqNullSafe(there[n]) for c, n in names.items()]
     added = [c for c in done.columns if c not in columns]
     return rows.join(there, same).select(*(rows[c] for c in rows.columns if c not in added), *(there[c] for c in added))
+
+
+def counted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, times: each combination of their values once, and written, with how many rows hold it. Where hardly a
+    combination comes twice, the rows as they are, each counted as one."""
+    spark = rows.sparkSession
+    every, kinds = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*columns))).first()
+    if every < 2 * kinds:
+        return rows.select(*columns, F.lit(1).cast("long").alias("times"))
+    values = rows.groupBy(*columns).agg(F.count("*").alias("times"))
+    return scratch.keep(values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns), "values")

@@ -64,11 +64,6 @@ def threshold_grid(rows: DataFrame, support: str, score: str, cluster: str, reps
     return counts.join(B.intervals(per, cluster, sums, stats, reps, ("tau_f", "tau_g")), ["tau_f", "tau_g"])
 
 
-def quantile_by(rows: DataFrame, key: str, value: str, at: DataFrame) -> DataFrame:
-    """key, threshold: the linearly interpolated quantile of value at `p` of at(key, p)."""
-    return O.quantiles(rows, [key], value, at).select(key, F.col("quantile").alias("threshold"))
-
-
 def matched_threshold(rows: DataFrame, value: str, reference: str, fixed: float = 0.8) -> DataFrame:
     """threshold, rate: the threshold of value that as large a share passes as passes the reference at the fixed one."""
     rate = rows.agg(O.share_passing(F.col(reference), fixed).alias("rate"))
@@ -76,19 +71,29 @@ def matched_threshold(rows: DataFrame, value: str, reference: str, fixed: float
     return found.select("threshold", (1 - F.col("p")).alias("rate"))
 
 
-def estimator_robustness(rows: DataFrame, reference: str, key: str = "estimator", value: str = "support", score: str = "constraint_score", fixed: float = 0.8) -> DataFrame:
+def estimator_robustness(
+    rows: DataFrame, reference: str, key: str = "estimator", value: str = "support", score: str = "constraint_score", fixed: float = 0.8, times: str | None = None
+) -> DataFrame:
     """For each estimator: mean, correlation with the score, cases and divergent cases at the fixed threshold and at the one
-    that passes as large a share as the reference does at the fixed one."""
-    rate = rows.filter(F.col(key) == reference).agg(F.avg((F.col(value) >= fixed).cast("double")).alias("rate"))
-    names = rows.select(key).distinct()
-    at = names.join(rate, F.lit(True)).select(key, (1 - F.col("rate")).alias("p"))  # a name each, one rate
-    matched = quantile_by(rows, key, value, at)
+    that passes as large a share as the reference does at the fixed one. times: the column that says how many rows a row
+    stands for. All but one pass is over counts of equal values. What is broadcast is named, a row for each estimator: by the size of
+    its file Spark would take a table of many equal rows."""
+    counts = rows.groupBy(key, value, score).agg((F.sum(times) if times else F.count("*")).alias("times"))
+    counts = scratch.keep(counts, "estimators")
     v, bad = F.col(value), F.col(score) < 1
-    own = rows.join(matched, key)
-    return own.groupBy(key).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), M.pearson(v, F.col(score)).alias("pearson"), F.count_if(v >= fixed).alias("n_fixed"), F.count_if((v >= fixed) & bad).alias("n_fixed_divergent"),
-        F.first("threshold").alias("threshold"), F.count_if(v >= F.col("threshold")).alias("n_matched"), F.count_if((v >= F.col("threshold")) & bad).alias("n_matched_divergent"),
+
+    def number(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("times")).otherwise(0))
+
+    rate = counts.filter(F.col(key) == reference).agg(M.ratio(number(v >= fixed), number(v.isNotNull())).alias("rate"))
+    at = counts.select(key).distinct().join(rate, F.lit(True)).select(key, (1 - F.col("rate")).alias("p"))  # a name each, one rate
+    matched = O.quantiles_of(counts, [key], value, "times", at).select(key, F.col("quantile").alias("threshold"))
+    own = counts.join(F.broadcast(matched), key)
+    out = own.groupBy(key).agg(
+        F.sum("times").alias("n"), M.ratio(F.sum(v * F.col("times")), number(v.isNotNull())).alias("mean"), number(v >= fixed).alias("n_fixed"), number((v >= fixed) & bad).alias("n_fixed_divergent"),
+        F.first("threshold").alias("threshold"), number(v >= F.col("threshold")).alias("n_matched"), number((v >= F.col("threshold")) & bad).alias("n_matched_divergent"),
     )
+    return out.join(F.broadcast(M.pearson_of(counts, [key], value, score, "times")), key)
 
 
 def mode_comparison(rows: DataFrame, *keys: str, support: str = "support", score: str = "constraint_score") -> DataFrame:

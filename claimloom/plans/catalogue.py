@@ -61,7 +61,11 @@ TEXTS = ["question", "answer", "retrieved_context"]
 
 def _support(rows: DataFrame, *names: str, **more: Column) -> DataFrame:
     """rows plus the named scorers' columns, and `more` columns of the texts; equal texts are scored once."""
-    return D.by_value(rows, TEXTS, lambda texts: texts.withColumns({n: S.scorer(n)(*map(F.col, TEXTS)) for n in names} | more))
+    return D.by_value(rows, TEXTS, lambda texts: texts.withColumns(_scorers(*names) | more))
+
+
+def _scorers(*names: str) -> dict[str, Column]:
+    return {n: S.scorer(n)(*map(F.col, TEXTS)) for n in names}
 
 
 def _physics(rows: DataFrame) -> DataFrame:
@@ -207,8 +211,16 @@ def segmentation_jaccard(spark, sf_dir):
 
 
 def estimator_robustness(spark, sf_dir):
-    rows = scratch.keep(_estimators(spark, sf_dir).select("estimator", "constraint_score", r6("support").alias("support")), "estimators")
-    out = studies.estimator_robustness(rows, "nli")
+    return _robustness(scored(spark, sf_dir), "lexical", "nli")
+
+
+def _robustness(rows: DataFrame, *names: str) -> DataFrame:
+    """The study of the named scorers and the overlap of words. No row of its own is kept for a record: equal texts are
+    counted and scored once, then equal supports are counted."""
+    texts = D.counted(rows, [*TEXTS, "constraint_score"])
+    every = _scorers(*names) | {"overlap": S.word_overlap(F.col("answer"), F.col("retrieved_context"))}
+    each = F.array(*(F.struct(F.lit(n).alias("estimator"), r6(c).alias("support")) for n, c in every.items()))
+    out = studies.estimator_robustness(texts.select("constraint_score", "times", F.explode(each).alias("x")).select("constraint_score", "times", "x.*"), "nli", times="times")
     return out.select("estimator", "n", r6("mean").alias("mean"), r6("pearson").alias("pearson"), "n_fixed", "n_fixed_divergent", r6("threshold").alias("threshold"), "n_matched", "n_matched_divergent")
 
 

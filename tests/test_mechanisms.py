@@ -17,7 +17,8 @@ from claimloom.operators import order as O
 from claimloom.operators import resample as B
 from claimloom.operators import retrieval as R
 from claimloom.operators import selection as D
-from claimloom.sources import files
+from claimloom.operators import studies
+from claimloom.sources import files, scratch
 from claimloom.sources.cache import ScoreCache
 from claimloom.streaming import scoring
 from claimloom.streaming.ledger import Ledger
@@ -52,6 +53,59 @@ def test_spearman_on_counts(spark):
     assert got["a"][0] == 400 and abs(got["a"][1] - want) < 1e-12 and got["b"] == (9, None) and "c" not in got
 
 
+def test_robustness_is_worked_out_from_counts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    kept, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, tag: (out := keep(df, tag), kept.append(out.count()))[0])
+    v = {"a": rng.integers(0, 40, 3000) / 39, "b": rng.integers(0, 7, 3000) / 6, "flat": np.full(3000, 0.1)}
+    score = rng.integers(0, 2, 3000).astype(float)
+    rows = spark.createDataFrame([(n, float(x), float(s)) for n, xs in v.items() for x, s in zip(xs, score, strict=True)], "estimator string, support double, constraint_score double")
+    twice = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    for got in (studies.estimator_robustness(rows, "b"), studies.estimator_robustness(twice, "b", times="times")):
+        got = {r["estimator"]: r for r in got.collect()}
+        assert got.keys() == v.keys() and max(kept) < 120  # counts alone are written, not 9,000 rows
+        for n, xs in v.items():
+            r, least = got[n], np.quantile(xs, 1 - np.mean(v["b"] >= 0.8))
+            assert (r["n"], r["n_fixed"], r["n_fixed_divergent"]) == (3000, (xs >= 0.8).sum(), ((xs >= 0.8) & (score < 1)).sum())
+            assert math.isclose(r["threshold"], least) and (r["n_matched"], r["n_matched_divergent"]) == ((xs >= least).sum(), ((xs >= least) & (score < 1)).sum())
+            assert math.isclose(r["mean"], xs.mean()) and (r["pearson"] is None if n == "flat" else math.isclose(r["pearson"], np.corrcoef(xs, score)[0, 1], abs_tol=1e-12))
+
+
+@pytest.mark.parametrize("name", ["estimator_robustness"])
+def test_robustness_keeps_no_row_for_a_record(spark, monkeypatch, tmp_path, name):
+    """Such rows take few bytes in a file, and by those Spark broadcast them all."""
+    import duckdb
+
+    import __spark_entry__
+
+    spark.range(2000).select((F.col("id") % 40).alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    kept, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, tag: (out := keep(df, tag), kept.append(out.count()))[0])
+    got = sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect())
+    assert max(kept) <= 40 * 16  # of 32,000 records
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    assert [r[0] for r in got] == [r[0] for r in want] and all(r[1] == 32_000 for r in got)
+    assert all(x == y or math.isclose(x, y, abs_tol=2e-6) for g, w in zip(got, want, strict=True) for x, y in zip(g[1:], w[1:], strict=True))
+
+
+def test_quantiles_of_counts(spark):
+    rng = np.random.default_rng(6)
+    values = {"wide": 10.0 ** rng.uniform(-300, 300, 500) * rng.choice([-1, 1], 500), "ties": rng.integers(0, 3, 2000).astype(float), "one": np.full(50, 7.0)}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("ties", None), ("ties", math.nan), ("none", None)], "g string, v double")
+    at = frame.select("g").distinct().crossJoin(O.shares([0.0, 0.01, 0.5, 0.937, 1.0], frame))
+    counts = frame.groupBy("g", "v").agg(F.count("*").alias("times"))
+    got = {(r["g"], r["p"]): (r["quantile"], r["n"]) for r in O.quantiles_of(counts, ["g"], "v", "times", at).collect()}
+    assert len(got) == 15 and all(math.isclose(x, np.quantile(values[g], p), rel_tol=1e-12) and n == len(values[g]) for (g, p), (x, n) in got.items())
+
+
+def test_equal_rows_are_counted_once(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 4).alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("b"))
+    assert sorted((r["a"], r["b"], r["times"]) for r in D.counted(rows, ["a", "b"]).collect()) == [(0, "x", 1000), (1, None, 1000), (2, "x", 1000), (3, None, 1000)]
+    assert D.counted(rows, ["id"]).agg(F.count("*"), F.sum("times")).first()[:] == (4000, 4000)  # nothing comes twice
+
+
 @pytest.mark.parametrize("few", [4096, 3])
 def test_quantiles_are_those_of_percentile(spark, monkeypatch, few):
     monkeypatch.setattr(O, "FEW", few)
