@@ -22,7 +22,7 @@ from ..sources.cache import ScoreCache
 from ..streaming import scoring
 from ..streaming.ledger import Ledger
 from . import render
-from .catalogue import _manifest, _physics, _support, r6, records, scored, spread, table, turns
+from .catalogue import _manifest, _physics, _robustness, _support, r6, records, scored, spread, table, turns
 from .oracle import _MANIFEST, LEX, PHYS, RECORDS, SCORED, TURNS, _boot, _dot, _weighted
 from .oracle import oracle_sql as _oracle
 
@@ -393,10 +393,7 @@ ANSWER_SQL = SCORED + " SELECT response_id, CASE WHEN template IN (1, 5) THEN 1.
 
 def four_estimators(spark, sf_dir):
     """The robustness study with a fourth estimator, the cosine of words and pairs."""
-    rows = _support(scored(spark, sf_dir), "lexical", "nli", "embedding", overlap=S.word_overlap(F.col("answer"), F.col("retrieved_context")))
-    each = F.array(*(F.struct(F.lit(n).alias("estimator"), r6(n).alias("support")) for n in ("lexical", "nli", "overlap", "embedding")))
-    out = studies.estimator_robustness(scratch.keep(rows.select("constraint_score", F.explode(each).alias("x")).select("constraint_score", "x.*"), "estimators"), "nli")
-    return out.select("estimator", "n", r6("mean").alias("mean"), r6("pearson").alias("pearson"), "n_fixed", "n_fixed_divergent", r6("threshold").alias("threshold"), "n_matched", "n_matched_divergent")
+    return _robustness(scored(spark, sf_dir), "lexical", "nli", "embedding")
 
 
 _COSINES = f""", cw AS (SELECT response_id, clean, {_W.format('answer')} AS aw, {_W.format('retrieved_context')} AS kw FROM en), cg AS (SELECT response_id, clean, {_PAIRS.format('aw')} AS a, {_PAIRS.format('kw')} AS c FROM cw),

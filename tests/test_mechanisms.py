@@ -71,7 +71,7 @@ def test_robustness_is_worked_out_from_counts(spark, monkeypatch):
             assert math.isclose(r["mean"], xs.mean()) and (r["pearson"] is None if n == "flat" else math.isclose(r["pearson"], np.corrcoef(xs, score)[0, 1], abs_tol=1e-12))
 
 
-@pytest.mark.parametrize("name", ["estimator_robustness"])
+@pytest.mark.parametrize("name", ["estimator_robustness", "four_estimators"])
 def test_robustness_keeps_no_row_for_a_record(spark, monkeypatch, tmp_path, name):
     """Such rows take few bytes in a file, and by those Spark broadcast them all."""
     import duckdb
